@@ -117,7 +117,7 @@ def rule_results(traffic: Traffic, durable: bool = True) -> RuleResults:
     With `durable`, contacts and each detector's details are written once to the shared folder, as
     alerts and members are both made from them.
     """
-    if durable:
+    if durable and not traffic.is_prepared:
         traffic = traffic.prepared()
     alerts, members = [], []
     for detector in DETECTORS:

@@ -86,13 +86,18 @@ class Traffic:
 
     packets: DataFrame
     logs: DataFrame | None = None
-    contacts: DataFrame | None = None
+    _contacts: DataFrame | None = field(default=None, repr=False)
     _origins: DataFrame | None = field(default=None, repr=False)
+    is_prepared: bool = False
 
     def __post_init__(self) -> None:
         pin_utc(self.packets.sparkSession)
-        if self.contacts is None:
-            self.contacts = as_contacts(self.packets)
+
+    @property
+    def contacts(self) -> DataFrame:
+        if self._contacts is None:
+            self._contacts = as_contacts(self.packets)
+        return self._contacts
 
     @property
     def spark(self):
@@ -101,19 +106,26 @@ class Traffic:
     def prepared(self) -> Traffic:
         """The same traffic with the contact table written out, for running many rules."""
         table = scratch_table(roll_up(as_contacts(self.packets), *_CONTACT_KEY), "contacts")
-        return Traffic(self.packets, self.logs, table, self._origins)
+        return Traffic(self.packets, self.logs, table, self._origins, is_prepared=True)
 
     @property
     def origins(self) -> DataFrame:
         """Earliest and latest packet time per capture, broadcastable while captures are few."""
         if self._origins is None:
             self._origins = small_side(
-                self.contacts.groupBy("capture_id").agg(
-                    F.min("first_us").alias("origin_us"), F.max("last_us").alias("end_us")
-                )
+                self._bounds()
             )
         return self._origins
 
+    def _bounds(self) -> DataFrame:
+        first, last = "ts_us", "ts_us"
+        rows = self.packets
+        if self._contacts is not None:
+            rows, first, last = self._contacts, "first_us", "last_us"
+        return rows.groupBy("capture_id").agg(
+            F.min(first).alias("origin_us"), F.max(last).alias("end_us")
+        )
+
     def anchored(
         self, df: DataFrame, width_us: int, ts: str = "ts_us", how: str = "inner"
     ) -> DataFrame:
