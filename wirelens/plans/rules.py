@@ -8,8 +8,9 @@ from typing import Callable, NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wirelens.functions import net
 from wirelens.operators import brute_force, dns_tunneling, floods, scans, suspicious
-from wirelens.operators.alerts import Detector, alert_rows, single_members
+from wirelens.operators.alerts import Detector, single_members
 from wirelens.plans.traffic import Traffic
 from wirelens.schemas import ALERT_SEVERITIES, ALERTS
 from wirelens.session import scratch_table
@@ -85,6 +86,7 @@ def _as_alerts(df: DataFrame, name: str) -> DataFrame:
         "rule_name": F.lit(name),
         "rule_ord": F.lit(1000),
         "n_source_ips": F.lit(1),
+        "source_set": net.single_signature("source_ip"),
         "n_dest_ips": F.when(F.col("dest_ip").isNotNull(), 1).otherwise(0)
         if "dest_ip" in df.columns
         else F.lit(0),
@@ -96,6 +98,11 @@ def _as_alerts(df: DataFrame, name: str) -> DataFrame:
     return df.select(*columns)
 
 
+def user_alerts(name: str, traffic: Traffic) -> DataFrame:
+    """Alerts of one rule added with `register_rule`."""
+    return _as_alerts(_user_rules[name](traffic), name)
+
+
 class RuleResults(NamedTuple):
     alerts: DataFrame
     members: DataFrame
@@ -130,8 +137,8 @@ def rule_results(traffic: Traffic, durable: bool = True) -> RuleResults:
         alerts.append(found)
         if detector.members:
             members.append(detector.members(details, found))
-    for name, rule in _user_rules.items():
-        alerts.append(_as_alerts(rule(traffic), name))
+    for name in _user_rules:
+        alerts.append(user_alerts(name, traffic))
     every = reduce(DataFrame.unionByName, alerts)
     if durable:
         every = scratch_table(every, "alerts")
@@ -151,11 +158,11 @@ __all__ = [
     "DETECTORS",
     "RULES",
     "RuleResults",
-    "alert_rows",
     "register_rule",
     "rule_results",
     "run_rule",
     "run_rules",
     "severity_rank",
     "unregister_rule",
+    "user_alerts",
 ]
