@@ -26,12 +26,13 @@ def line_format(line: Column) -> Column:
     ).when(line.rlike(ACCESS_PATTERN), F.lit("apache"))
 
 
-def syslog_field(line: Column, group: int) -> Column:
-    return F.regexp_extract(line, SYSLOG_PATTERN, group)
+def fields(line: Column, pattern: str, groups: int) -> Column:
+    """All groups of a pattern as an array, from one pass over the line.
 
-
-def access_field(line: Column, group: int) -> Column:
-    return F.regexp_extract(line, ACCESS_PATTERN, group)
+    A line has no newline, so it serves as the separator. Only for lines that match.
+    """
+    template = "\n".join(f"${i + 1}" for i in range(groups)) + "\n"
+    return F.split(F.regexp_replace(line, pattern, template), "\n")
 
 
 def first_ipv4(message: Column) -> Column:

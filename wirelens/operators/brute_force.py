@@ -10,22 +10,16 @@ from wirelens.functions.text import fixed, json_of, seconds
 from wirelens.operators.alerts import Detector, Group, alert_rows, member_rows
 from wirelens.operators.time_windows import first_burst
 from wirelens.plans.traffic import MINUTE_US, Traffic
-from wirelens.schemas import LOGS, empty
 
 CATEGORY = "BRUTE_FORCE"
 KEYS = ["capture_id", "source_ip"]
 
 
-def _logs(traffic: Traffic) -> DataFrame:
-    return traffic.logs if traffic.logs is not None else empty(traffic.spark, LOGS)
-
-
 def _with_burst(entries: DataFrame, at_least: int, window_us: int) -> DataFrame:
     """Entries of sources that burst, with the burst and the source's arrival extremes."""
-    timed = entries.filter(F.col("ts_us").isNotNull())
-    bursts = first_burst(timed.select(*KEYS, "ts_us"), KEYS, at_least, window_us)
+    bursts = first_burst(entries.select(*KEYS, "ts_us"), KEYS, at_least, window_us)
     bursts = bursts.withColumnsRenamed({"first_us": "burst_us0", "last_us": "burst_us1"})
-    return timed.join(bursts, KEYS)
+    return entries.join(bursts, KEYS)
 
 
 def _arrivals() -> list:
@@ -41,7 +35,7 @@ BURST = ["burst_n", "burst_us0", "burst_us1"]
 def ssh_details(
     traffic: Traffic, ssh_at_least: int = 5, window_us: int = MINUTE_US, **_
 ) -> DataFrame:
-    entries = _logs(traffic).filter(
+    entries = traffic.troubles.filter(
         F.lower("service").contains("ssh") & (F.col("severity") == "high")
     )
     found = _with_burst(entries, ssh_at_least, window_us)
@@ -88,7 +82,7 @@ def http_details(
     traffic: Traffic, http_at_least: int = 10, window_us: int = MINUTE_US, **_
 ) -> DataFrame:
     """One row per bursting source and requested path."""
-    entries = _logs(traffic).filter(is_login_attempt())
+    entries = traffic.troubles.filter(is_login_attempt())
     found = _with_burst(entries, http_at_least, window_us)
     return found.groupBy(*KEYS, *BURST, request_path("message").alias("path")).agg(
         *_arrivals(), F.min("seq").alias("seq0"), F.max("seq").alias("seq1")

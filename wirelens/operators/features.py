@@ -152,9 +152,7 @@ def window_features(traffic: Traffic, window_seconds: int = 60) -> DataFrame:
         .join(_flag_entropy(packets), ["capture_id", "w"], "left")
     )
     if traffic.logs is not None:
-        failing = traffic.logs.filter(
-            F.col("severity").isin(ERROR_SEVERITIES) & F.col("ts_us").isNotNull()
-        )
+        failing = traffic.troubles.filter(F.col("severity").isin(ERROR_SEVERITIES))
         errors = (
             traffic.anchored(failing, width)
             .groupBy("capture_id", "w")

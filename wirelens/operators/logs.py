@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from wirelens.functions import logs as L
 from wirelens.schemas import LOGS
-from wirelens.session import small_side
+from wirelens.session import adopt, small_side
 
 
 def detect_format(lines: DataFrame) -> DataFrame:
@@ -33,6 +33,7 @@ def parse_lines(
     The format is decided per file; with `per_line` each line is read by its own. Times that do not
     parse leave `ts_us` NULL and keep `ts_raw`.
     """
+    adopt(lines.sparkSession)
     text = lines.withColumn("line", L.stripped("line")).filter(F.col("line") != "")
     if per_line:
         text = text.withColumn("log_format", L.line_format(F.col("line")))
@@ -45,21 +46,24 @@ def parse_lines(
             line.rlike(L.ACCESS_PATTERN)
         )
     )
-    status, path = L.access_field(line, 5), L.access_field(line, 4)
-    fields = matched.select(
+    part = F.col("part")
+    status, path = part[4], part[3]
+    parts = matched.withColumn(
+        "part",
+        F.when(fmt == "syslog", L.fields(line, L.SYSLOG_PATTERN, 4)).otherwise(
+            L.fields(line, L.ACCESS_PATTERN, 6)
+        ),
+    )
+    fields = parts.select(
         "capture_id",
         "source_file",
         "seq",
         "log_format",
         "line",
-        _entry("ts_raw", L.syslog_field(line, 1), L.access_field(line, 2)),
-        _entry("origin", L.syslog_field(line, 2), L.access_field(line, 1)),
-        _entry("service", L.syslog_field(line, 3), F.lit("httpd")),
-        _entry(
-            "message",
-            L.syslog_field(line, 4),
-            F.concat(L.access_field(line, 3), F.lit(" "), path, F.lit(" → "), status),
-        ),
+        _entry("ts_raw", part[0], part[1]),
+        _entry("origin", part[1], part[0]),
+        _entry("service", part[2], F.lit("httpd")),
+        _entry("message", part[3], F.concat(part[2], F.lit(" "), path, F.lit(" → "), status)),
         F.when(fmt == "apache", L.access_severity(status, path)).alias("access_severity"),
     )
     is_syslog = fmt == "syslog"

@@ -151,10 +151,12 @@ def beacon_alerts(details: DataFrame, **_) -> DataFrame:
 
 
 def exfiltration_details(traffic: Traffic, bytes_above: int = 10_000_000, **_) -> DataFrame:
-    outbound = traffic.packets.filter(
-        net.is_internal_ip("src_ip") & ~net.is_internal_ip("dst_ip")
+    """Large flows first: the address test then runs on few rows."""
+    return build_flows(traffic.packets).filter(
+        (F.col("total_bytes") > bytes_above)
+        & net.is_internal_ip("src_ip")
+        & ~net.is_internal_ip("dst_ip")
     )
-    return build_flows(outbound).filter(F.col("total_bytes") > bytes_above)
 
 
 def exfiltration_alerts(details: DataFrame, **_) -> DataFrame:

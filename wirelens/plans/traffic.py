@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wirelens.functions import net
-from wirelens.session import pin_utc, scratch_table, small_side
+from wirelens.schemas import LOGS, empty
+from wirelens.session import adopt, scratch_table, small_side
 
 MINUTE_US = 60_000_000
 LARGE_PAYLOAD = 100  # bytes; a larger DNS payload is oversized
@@ -88,10 +89,11 @@ class Traffic:
     logs: DataFrame | None = None
     _contacts: DataFrame | None = field(default=None, repr=False)
     _origins: DataFrame | None = field(default=None, repr=False)
+    _troubles: DataFrame | None = field(default=None, repr=False)
     is_prepared: bool = False
 
     def __post_init__(self) -> None:
-        pin_utc(self.packets.sparkSession)
+        adopt(self.packets.sparkSession)
 
     @property
     def contacts(self) -> DataFrame:
@@ -106,7 +108,20 @@ class Traffic:
     def prepared(self) -> Traffic:
         """The same traffic with the contact table written out, for running many rules."""
         table = scratch_table(roll_up(as_contacts(self.packets), *_CONTACT_KEY), "contacts")
-        return Traffic(self.packets, self.logs, table, self._origins, is_prepared=True)
+        troubles = None
+        if self.logs is not None:
+            troubles = scratch_table(self.troubles, "troubles")
+        return Traffic(self.packets, self.logs, table, self._origins, troubles, is_prepared=True)
+
+    @property
+    def troubles(self) -> DataFrame:
+        """Timed log entries above `info`: all that rules and features look at."""
+        if self._troubles is not None:
+            return self._troubles
+        entries = self.logs if self.logs is not None else empty(self.spark, LOGS)
+        return entries.filter((F.col("severity") != "info") & F.col("ts_us").isNotNull()).select(
+            "capture_id", "seq", "ts_us", "source_ip", "message", "severity", "service"
+        )
 
     @property
     def origins(self) -> DataFrame:

@@ -26,7 +26,7 @@ def build_session(app: str = "wirelens", master: str | None = None, **conf: str)
     if master:
         builder = builder.master(master)
     settings = {
-        "spark.sql.session.timeZone": "UTC",
+        **RUNTIME_SETTINGS,
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
@@ -39,10 +39,20 @@ def build_session(app: str = "wirelens", master: str | None = None, **conf: str)
     return builder.getOrCreate()
 
 
-def pin_utc(spark: SparkSession) -> SparkSession:
-    """All text forms of times are UTC, as in the record schemas."""
-    if spark.conf.get("spark.sql.session.timeZone", "") != "UTC":
-        spark.conf.set("spark.sql.session.timeZone", "UTC")
+RUNTIME_SETTINGS = {
+    # All text forms of times are UTC, as in the record schemas.
+    "spark.sql.session.timeZone": "UTC",
+    # The JVM does not compile methods above this size. Wide projections (parsed log lines, packet
+    # measures) would run interpreted as one method; operator by operator they are compiled.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
+}
+
+
+def adopt(spark: SparkSession) -> SparkSession:
+    """Put the settings results and speed depend on into a session made elsewhere."""
+    for key, value in RUNTIME_SETTINGS.items():
+        if spark.conf.get(key, None) != value:
+            spark.conf.set(key, value)
     return spark
 
 
