@@ -748,6 +748,90 @@ BODIES: dict[str, str] = {
           time_range from placed where place <= 10""",
 }
 
+# Streams give out what the watermark (two minutes behind the last packet) has closed.
+CTES["mark"] = "select max(ts_us) - 120000000 as mark from packets"
+# The mark has millisecond steps.
+CTES["settled"] = "select mark // 1000 * 1000 as settled from mark"
+
+
+def streamed_flood(kind: str, test: str, packets: int, sources: int) -> str:
+    return f"""
+        select capture_id, '{kind}_flood' as rule_name, b * 10000000 as window_start, dst_ip,
+          count(*) as packets, count(distinct src_ip) as sources, count(*) / 10 as rate
+        from (select *, ts_us // 10000000 as b from packets where {test}), settled
+        where (b + 1) * 10000000 <= settled group by capture_id, b, dst_ip
+        having count(*) > {packets} and count(distinct src_ip) > {sources}"""
+
+
+CTES["sessions"] = """
+select *, sum(opens) over (partition by capture_id, src_ip, dst_ip, src_port, dst_port, protocol
+    order by ts_us) as session
+from (select *, case when ts_us - lag(ts_us) over (partition by capture_id, src_ip, dst_ip,
+      src_port, dst_port, protocol order by ts_us) < 300000000 then 0 else 1 end as opens
+  from packets)"""
+CTES["epoch_windows"] = "select *, ts_us // 60000000 as b from packets"
+CTES["epoch_entropies"] = """
+select capture_id, b, -sum(c / n * log2(c / n)) as h from (
+  select capture_id, b, dst_port, count(*) c, sum(count(*)) over (partition by capture_id, b) n
+  from epoch_windows group by capture_id, b, dst_port) group by all"""
+
+BODIES.update(
+    {
+        "decoded_frames": """
+        with f as (select *, least(payload_size, 200) as body,
+          case protocol when 'TCP' then 20 else 8 end as head from packets)
+        select capture_id, seq, ts_us, src_ip, dst_ip,
+          case when protocol = 'ICMP' then 0 else src_port end as src_port,
+          case when protocol = 'ICMP' then 0 else dst_port end as dst_port,
+          case when protocol = 'TCP' and dst_port = 53 and body > 0 then 'DNS' else protocol end
+            as protocol,
+          14 + 20 + head + body as size, head + body as payload_size,
+          array_to_string(list_filter(['FIN', 'SYN', 'RST', 'PSH', 'ACK', 'URG'],
+            lambda x: list_contains(tcp_flags, x)), '|') as tcp_flags
+        from f""",
+        "streamed_floods": " union all ".join(
+            [
+                streamed_flood("syn", SYN_ONLY, 100, 5),
+                streamed_flood("udp", "upper(protocol) = 'UDP'", 500, 0),
+                streamed_flood("icmp", "upper(protocol) = 'ICMP'", 50, 0),
+                streamed_flood("http", "dst_port in (80, 443)", 100, 5),
+            ]
+        ),
+        "streamed_features": """
+        select capture_id, b * 60000000 as window_start, round(count(*) / 60, 6) as packets_per_second,
+          round(sum(size) / 60, 6) as bytes_per_second, count(distinct src_ip) as unique_src_ips,
+          count(distinct dst_ip) as unique_dst_ips, count(distinct dst_port) as unique_dst_ports,
+          round(count_if(list_contains(tcp_flags,'SYN')) / count(*), 6) as syn_ratio,
+          round(count_if(list_contains(tcp_flags,'RST')) / count(*), 6) as rst_ratio,
+          round(count_if(protocol = 'ICMP') / count(*), 6) as icmp_ratio,
+          count_if(protocol = 'DNS') as dns_query_count,
+          round(avg(size), 6) as avg_packet_size, round(any_value(h), 6) as port_entropy,
+          count(distinct (src_ip, dst_ip, dst_port)) as connection_count
+        from epoch_windows join epoch_entropies using (capture_id, b), settled
+        where (b + 1) * 60000000 <= settled group by capture_id, b""",
+        "streamed_flows": """
+        select capture_id, src_ip, dst_ip, src_port, dst_port, protocol, count(*) as packet_count,
+          sum(size) as total_bytes, min(ts_us) as start_us, max(ts_us) as end_us
+        from sessions, settled
+        group by capture_id, src_ip, dst_ip, src_port, dst_port, protocol, session, settled
+        having max(ts_us) + 300000000 <= settled""",
+        "streamed_query_bursts": """
+        select capture_id, src_ip as source, n as burst_n, t0 as first_us, t1 as last_us
+        from dns_bursts, settled where t0 + 60000000 < settled""",
+        "streamed_vertical_scans": """
+        select capture_id, src_ip, dst_ip, items, open_us, close_us
+        from vertical_windows, settled where open_us + 60000000 < settled""",
+        "streamed_beacons": """
+        select capture_id, src_ip, dst_ip, count(*) as n, min(ts_us) as first_us,
+          max(ts_us) as last_us, round(avg(gap) / 1e6, 5) as mean_gap_s,
+          round(stddev_samp(gap) / 1e6, 5) as std_gap_s
+        from (select *, ts_us - lag(ts_us) over (partition by capture_id, src_ip, dst_ip
+                order by ts_us) as gap from packets, settled where ts_us < settled)
+        group by capture_id, src_ip, dst_ip
+        having count(*) > 5 and stddev_samp(gap) < 5000000""",
+    }
+)
+
 
 def oracle_sql() -> dict[str, str]:
     return {name: statement(body) for name, body in BODIES.items()}

@@ -26,12 +26,17 @@ def _entry(name: str, syslog: Column, access: Column) -> Column:
 
 
 def parse_lines(
-    lines: DataFrame, *, year: int = 1970, tz: str = "UTC", per_line: bool = False
+    lines: DataFrame,
+    *,
+    year: int = 1970,
+    tz: str = "UTC",
+    per_line: bool = False,
+    required: bool = False,
 ) -> DataFrame:
     """Entries of (capture_id, source_file, seq, line). Lines that do not match are skipped.
 
     The format is decided per file; with `per_line` each line is read by its own. Times that do not
-    parse leave `ts_us` NULL and keep `ts_raw`.
+    parse leave `ts_us` NULL and keep `ts_raw`. With `required`, no readable file is an error.
     """
     adopt(lines.sparkSession)
     text = lines.withColumn("line", L.stripped("line")).filter(F.col("line") != "")
@@ -39,6 +44,8 @@ def parse_lines(
         text = text.withColumn("log_format", L.line_format(F.col("line")))
     else:
         formats = small_side(detect_format(lines).filter(F.col("log_format").isNotNull()))
+        if required and formats.isEmpty():
+            raise ValueError("Unsupported log format")
         text = text.join(formats, "source_file")
     line, fmt = F.col("line"), F.col("log_format")
     matched = text.filter(

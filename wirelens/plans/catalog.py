@@ -15,8 +15,11 @@ from wirelens.operators.flows import build_flows
 from wirelens.operators.time_windows import first_burst, gap_statistics
 from wirelens.plans import rules
 from wirelens.plans.traffic import MINUTE_US, Traffic
-from wirelens.session import scratch_table
+from wirelens.session import adopt, scratch_table
 from wirelens.sources import derived
+from wirelens.sources.frames import decode_frames
+from wirelens.streaming import aggregates, stateful
+from wirelens.streaming.sources import run_available
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -498,3 +501,83 @@ def recommendations(spark, sf_dir):
 @query
 def top_threats(spark, sf_dir):
     return reports.top_threats(threats_of(spark, sf_dir).threats)
+
+
+# --- raw frames -----------------------------------------------------------------------------
+
+
+@query
+def decoded_frames(spark, sf_dir):
+    """Frames put together from the packets by SQL, and decoded again."""
+    return decode_frames(derived.frames_from_packets(packets_of(spark, sf_dir))).withColumn(
+        "tcp_flags", F.array_join("tcp_flags", "|")
+    )
+
+
+# --- streams --------------------------------------------------------------------------------
+
+
+def packet_stream_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    schema = derived.events(spark, sf_dir).schema
+    landed = (
+        spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    )
+    return derived.packets_from_events(landed)
+
+
+@query
+def streamed_floods(spark, sf_dir):
+    adopt(spark)
+    rows = run_available(aggregates.flood_stream(packet_stream_of(spark, sf_dir)), "floods")
+    return rows.withColumn("window_start", F.unix_micros("window_start"))
+
+
+@query
+def streamed_features(spark, sf_dir):
+    adopt(spark)
+    rows = run_available(aggregates.feature_stream(packet_stream_of(spark, sf_dir)), "features")
+    doubles = [f.name for f in rows.schema.fields if f.dataType.typeName() == "double"]
+    return rows.withColumns(
+        {
+            "window_start": F.unix_micros("window_start"),
+            **{c: F.round(c, 6) for c in doubles},
+        }
+    )
+
+
+@query
+def streamed_flows(spark, sf_dir):
+    adopt(spark)
+    return run_available(aggregates.flow_stream(packet_stream_of(spark, sf_dir)), "flows")
+
+
+@query
+def streamed_query_bursts(spark, sf_dir):
+    adopt(spark)
+    dns = packet_stream_of(spark, sf_dir).filter(net.is_dns())
+    return run_available(stateful.burst_stream(dns, "src_ip", 101), "bursts")
+
+
+@query
+def streamed_vertical_scans(spark, sf_dir):
+    adopt(spark)
+    found = stateful.scan_stream(
+        packet_stream_of(spark, sf_dir), ("src_ip", "dst_ip"), "dst_port", 20
+    )
+    return run_available(found, "scans")
+
+
+@query
+def streamed_beacons(spark, sf_dir):
+    adopt(spark)
+    rows = run_available(stateful.beacon_stream(packet_stream_of(spark, sf_dir)), "beacons")
+    return rows.select(
+        "capture_id",
+        "src_ip",
+        "dst_ip",
+        "n",
+        "first_us",
+        "last_us",
+        F.round(F.col("mean_gap_us") / 1e6, 5).alias("mean_gap_s"),
+        F.round(F.col("std_gap_us") / 1e6, 5).alias("std_gap_s"),
+    )

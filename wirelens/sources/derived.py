@@ -115,3 +115,40 @@ def access_lines_from_events(ev: DataFrame, capture: str = "'events'") -> DataFr
             if(event_id % 17 = 0, '-', cast(floor(value * 10) as string)),
             ' "-" "Mozilla/5.0"') as line""",
     )
+
+
+def frames_from_packets(packets: DataFrame) -> DataFrame:
+    """Ethernet frames (capture_id, seq, ts_us, link, frame) with the packets' headers.
+
+    Payloads are zeros, as many as `payload_size` up to 200 bytes.
+    """
+    hex_ip = "upper(array_join(transform(split({0}, '[.]'), o -> lpad(hex(cast(o as bigint)), 2, '0')), ''))"
+    flags = " + ".join(
+        f"if(array_contains(tcp_flags, '{name}'), {bit}, 0)"
+        for name, bit in (("FIN", 1), ("SYN", 2), ("RST", 4), ("PSH", 8), ("ACK", 16), ("URG", 32))
+    )
+    return (
+        packets.selectExpr(
+            "*",
+            "least(payload_size, 200) as body",
+            "case protocol when 'TCP' then 20 else 8 end as head",
+            "lpad(hex(src_port), 4, '0') as sp",
+            "lpad(hex(dst_port), 4, '0') as dp",
+        )
+        .selectExpr(
+            "capture_id",
+            "seq",
+            "ts_us",
+            "1 as link",
+            f"""unhex(concat(
+                '0000000000000000000000000800',
+                '4500', lpad(hex(20 + head + body), 4, '0'), '0000000040',
+                case protocol when 'TCP' then '06' when 'ICMP' then '01' else '11' end, '0000',
+                {hex_ip.format('src_ip')}, {hex_ip.format('dst_ip')},
+                case protocol when 'TCP' then concat(sp, dp, '000000000000000050',
+                        lpad(hex({flags}), 2, '0'), '000000000000')
+                    when 'ICMP' then '0800000000000000'
+                    else concat(sp, dp, lpad(hex(8 + body), 4, '0'), '0000') end,
+                repeat('00', body))) as frame""",
+        )
+    )
