@@ -97,7 +97,7 @@ def gap_statistics(
             F.sum(F.col("c") - 1).alias("ties"),
             F.min("t").alias("lo"),
             F.max("t").alias("hi"),
-            F.count("gap").alias("k"),
+            F.count("gap").alias("gap_n"),
             F.coalesce(F.avg("gap"), F.lit(0.0)).alias("gap_mean"),
             F.coalesce(F.var_pop("gap"), F.lit(0.0)).alias("gap_var"),
         )
@@ -111,7 +111,7 @@ def gap_statistics(
         {"between": F.col("lo") - F.lag("hi").over(ordered), "mean_gap": mean}
     )
     squares = (
-        F.col("k") * (F.col("gap_var") + F.pow(F.col("gap_mean") - F.col("mean_gap"), F.lit(2)))
+        F.col("gap_n") * (F.col("gap_var") + F.pow(F.col("gap_mean") - F.col("mean_gap"), F.lit(2)))
         + F.col("ties") * F.col("mean_gap") * F.col("mean_gap")
         + F.coalesce(F.pow(F.col("between") - F.col("mean_gap"), F.lit(2)), F.lit(0.0))
     )
