@@ -15,14 +15,19 @@ MONTHS = ["Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct",
 SCAN_PATHS = ["/admin", "/wp-admin", "/phpmyadmin", "/.env", "/config"]
 
 
+BLANKS = " \t\n\r\x0b\x0c"
+
+
 def stripped(line: Column | str) -> Column:
-    return F.regexp_replace(line, r"^\s+|\s+$", "")
+    return F.btrim(F.col(line) if isinstance(line, str) else line, F.lit(BLANKS))
 
 
 def line_format(line: Column) -> Column:
-    """`syslog` or `apache` for a line that decides the format, NULL for one that does not."""
+    """`syslog` or `apache` for a stripped line that decides the format, NULL for another one."""
+    after = F.substring(line, 4, 1)
+    first_token_ends = (after == "") | F.lit(BLANKS).contains(after)
     return F.when(
-        F.split(line, r"\s+", 2).getItem(0).isin(MONTHS), F.lit("syslog")
+        F.substring(line, 1, 3).isin(MONTHS) & first_token_ends, F.lit("syslog")
     ).when(line.rlike(ACCESS_PATTERN), F.lit("apache"))
 
 

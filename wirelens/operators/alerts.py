@@ -142,6 +142,7 @@ class Detector:
     alerts: Callable[..., DataFrame]
     members: Callable[[DataFrame, DataFrame], DataFrame] | None = None
     needs_logs: bool = False
+    costly: bool = False  # details are worth writing down when members are wanted too
 
     def run(self, traffic, **params) -> DataFrame:
         return self.alerts(self.details(traffic, **params), **params)

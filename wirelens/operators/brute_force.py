@@ -35,7 +35,7 @@ BURST = ["burst_n", "burst_us0", "burst_us1"]
 def ssh_details(
     traffic: Traffic, ssh_at_least: int = 5, window_us: int = MINUTE_US, **_
 ) -> DataFrame:
-    entries = traffic.troubles.filter(
+    entries = traffic.kept_troubles.filter(
         F.lower("service").contains("ssh") & (F.col("severity") == "high")
     )
     found = _with_burst(entries, ssh_at_least, window_us)
@@ -82,7 +82,7 @@ def http_details(
     traffic: Traffic, http_at_least: int = 10, window_us: int = MINUTE_US, **_
 ) -> DataFrame:
     """One row per bursting source and requested path."""
-    entries = traffic.troubles.filter(is_login_attempt())
+    entries = traffic.kept_troubles.filter(is_login_attempt())
     found = _with_burst(entries, http_at_least, window_us)
     return found.groupBy(*KEYS, *BURST, request_path("message").alias("path")).agg(
         *_arrivals(), F.min("seq").alias("seq0"), F.max("seq").alias("seq1")
@@ -121,4 +121,4 @@ def http_members(details: DataFrame, alerts: DataFrame) -> DataFrame:
 
 
 SSH = Detector("ssh_brute_force", ssh_details, ssh_alerts, needs_logs=True)
-HTTP = Detector("http_brute_force", http_details, http_alerts, http_members, needs_logs=True)
+HTTP = Detector("http_brute_force", http_details, http_alerts, http_members, True, True)

@@ -127,7 +127,11 @@ def _dns_members(rule: str):
 
 
 VOLUME = Detector(
-    "dns_tunneling_volume", volume_details, volume_alerts, _dns_members("dns_tunneling_volume")
+    "dns_tunneling_volume",
+    volume_details,
+    volume_alerts,
+    _dns_members("dns_tunneling_volume"),
+    costly=True,
 )
 OVERSIZED = Detector(
     "dns_tunneling_oversized_queries",

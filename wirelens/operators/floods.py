@@ -178,4 +178,4 @@ def one_kind(kind: str) -> Detector:
     )
 
 
-FLOODS = Detector("floods", flood_details, flood_alerts, flood_members)
+FLOODS = Detector("floods", flood_details, flood_alerts, flood_members, costly=True)

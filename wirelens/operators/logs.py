@@ -53,24 +53,28 @@ def parse_lines(
             line.rlike(L.ACCESS_PATTERN)
         )
     )
-    part = F.col("part")
-    status, path = part[4], part[3]
     parts = matched.withColumn(
         "part",
         F.when(fmt == "syslog", L.fields(line, L.SYSLOG_PATTERN, 4)).otherwise(
             L.fields(line, L.ACCESS_PATTERN, 6)
         ),
     )
+
+    def part(i: int) -> Column:
+        # `get` gives NULL where a filter above is evaluated before the match.
+        return F.get("part", F.lit(i))
+
+    status, path = part(4), part(3)
     fields = parts.select(
         "capture_id",
         "source_file",
         "seq",
         "log_format",
         "line",
-        _entry("ts_raw", part[0], part[1]),
-        _entry("origin", part[1], part[0]),
-        _entry("service", part[2], F.lit("httpd")),
-        _entry("message", part[3], F.concat(part[2], F.lit(" "), path, F.lit(" → "), status)),
+        _entry("ts_raw", part(0), part(1)),
+        _entry("origin", part(1), part(0)),
+        _entry("service", part(2), F.lit("httpd")),
+        _entry("message", part(3), F.concat(part(2), F.lit(" "), path, F.lit(" → "), status)),
         F.when(fmt == "apache", L.access_severity(status, path)).alias("access_severity"),
     )
     is_syslog = fmt == "syslog"

@@ -208,7 +208,7 @@ def flag_alerts(details: DataFrame, **params) -> DataFrame:
 
 VERTICAL = Detector("vertical_port_scan", vertical_details, vertical_alerts)
 HORIZONTAL = Detector(
-    "horizontal_port_scan", horizontal_details, horizontal_alerts, horizontal_members
+    "horizontal_port_scan", horizontal_details, horizontal_alerts, horizontal_members, costly=True
 )
 SYN = Detector("syn_scan", flag_details, syn_alerts, _source_members("syn_scan", "n_tcp"))
 XMAS = Detector("xmas_scan", flag_details, xmas_alerts, _source_members("xmas_scan", "n_xmas"))

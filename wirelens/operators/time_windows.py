@@ -12,7 +12,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wirelens.session import broadcast_table, scratch_table
+from wirelens.session import broadcast_table, measured_table, scratch_table
 
 FOLD_ROWS = 100_000
 
@@ -48,8 +48,8 @@ def first_burst(
         .filter(F.col("certain").isNull() | (F.col("slot") <= F.col("certain")))
         .select(*keys, "slot")
     )
-    candidates = broadcast_table(scratch_table(candidates, "burst-slots"))
-    wanted = candidates.select(
+    table, size = measured_table(candidates, "burst-slots")
+    wanted = broadcast_table(table, size["n"]).select(
         *keys,
         F.col("slot").alias("home"),
         F.explode(F.array("slot", F.col("slot") + 1)).alias("slot"),
@@ -281,11 +281,13 @@ def greedy_windows(
     items in a window are walked. Runs of up to `fold_rows` events are walked in one pass; longer
     ones by `_walk_long_runs`.
     """
-    runs = scratch_table(occupied_runs(items, keys, more_than), "runs")
-    longest = (
-        runs.filter(F.col("run_n") > fold_rows).agg(F.max("run_slots").alias("slots")).first()
+    is_long = F.col("run_n") > fold_rows
+    runs, size = measured_table(
+        occupied_runs(items, keys, more_than),
+        "runs",
+        longest=F.max(F.when(is_long, F.col("run_slots"))),
     )
-    kept = broadcast_table(runs)
+    kept = broadcast_table(runs, size["n"])
     ticks = (
         events.withColumn("slot", slot(window_us))
         .join(kept.select(*keys, "slot", "run", "run_n"), [*keys, "slot"])
@@ -294,15 +296,14 @@ def greedy_windows(
     windows = _walk_short_runs(
         ticks.filter(F.col("run_n") <= fold_rows), keys, window_us
     )
-    if longest["slots"] is not None:
-        is_long = F.col("run_n") > fold_rows
+    if size["longest"] is not None:
         windows = windows.unionByName(
             _walk_long_runs(
                 ticks.filter(is_long).drop("run_n").distinct(),
                 runs.filter(is_long),
                 keys,
                 window_us,
-                longest["slots"],
+                size["longest"],
             )
         )
     spread = windows.withColumn(

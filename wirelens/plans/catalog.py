@@ -15,7 +15,7 @@ from wirelens.operators.flows import build_flows
 from wirelens.operators.time_windows import first_burst, gap_statistics
 from wirelens.plans import rules
 from wirelens.plans.traffic import MINUTE_US, Traffic
-from wirelens.session import adopt, scratch_table
+from wirelens.session import adopt, scratch_table, spread
 from wirelens.sources import derived
 from wirelens.sources.frames import decode_frames
 from wirelens.streaming import aggregates, stateful
@@ -54,17 +54,17 @@ def packets_of(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def syslog_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = derived.syslog_lines_from_events(derived.events(spark, sf_dir))
+    lines = derived.syslog_lines_from_events(spread(derived.events(spark, sf_dir)))
     return logs.parse_lines(lines, year=2024)
 
 
 def access_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = derived.access_lines_from_events(derived.events(spark, sf_dir))
+    lines = derived.access_lines_from_events(spread(derived.events(spark, sf_dir)))
     return logs.parse_lines(lines)
 
 
 def both_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ev = derived.events(spark, sf_dir)
+    ev = spread(derived.events(spark, sf_dir))
     return derived.syslog_lines_from_events(ev).unionByName(derived.access_lines_from_events(ev))
 
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
-from typing import Callable, NamedTuple
+from typing import Callable, Iterator, NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -118,37 +118,47 @@ def run_rule(name: str, traffic: Traffic, **params) -> DataFrame:
     return RULES[name].run(traffic, **params)
 
 
-def rule_results(traffic: Traffic, durable: bool = True) -> RuleResults:
-    """Alerts of every rule and their members.
-
-    With `durable`, contacts and each detector's details are written once to the shared folder, as
-    alerts and members are both made from them.
-    """
-    if durable and not traffic.is_prepared:
-        traffic = traffic.prepared()
-    alerts, members = [], []
+def _evaluate(
+    traffic: Traffic, keep: bool
+) -> Iterator[tuple[Detector | None, DataFrame | None, DataFrame]]:
+    """(detector, details, alerts) of every rule; costly details are written down with `keep`."""
     for detector in DETECTORS:
         if detector.needs_logs and traffic.logs is None:
             continue
         details = detector.details(traffic)
-        if durable and detector.members:
+        if keep and detector.costly:
             details = scratch_table(details, f"details-{detector.name}")
-        found = detector.alerts(details)
-        alerts.append(found)
-        if detector.members:
-            members.append(detector.members(details, found))
+        yield detector, details, detector.alerts(details)
     for name in _user_rules:
-        alerts.append(user_alerts(name, traffic))
-    every = reduce(DataFrame.unionByName, alerts)
+        yield None, None, user_alerts(name, traffic)
+
+
+def rule_results(traffic: Traffic, durable: bool = True) -> RuleResults:
+    """Alerts of every rule and their members.
+
+    With `durable`, contacts, costly details and the alerts are written once to the shared folder,
+    as alerts and members are both made from them.
+    """
+    if durable and not traffic.is_prepared:
+        traffic = traffic.prepared()
+    found = list(_evaluate(traffic, keep=durable))
+    every = reduce(DataFrame.unionByName, [alerts for _, _, alerts in found])
     if durable:
         every = scratch_table(every, "alerts")
-    members.append(single_members(every))
+    members = [single_members(every)]
+    for detector, details, _ in found:
+        if detector is not None and detector.members:
+            members.append(detector.members(details, every))
     return RuleResults(every, reduce(DataFrame.unionByName, members))
 
 
 def run_rules(traffic: Traffic) -> DataFrame:
     """Alerts of every rule, most severe first; equal severities in rule order."""
-    alerts = rule_results(traffic).alerts
+    if not traffic.is_prepared:
+        traffic = traffic.prepared()
+    alerts = reduce(
+        DataFrame.unionByName, [alerts for _, _, alerts in _evaluate(traffic, keep=False)]
+    )
     return alerts.withColumn("severity_rank", severity_rank()).orderBy(
         "capture_id", "severity_rank", "rule_ord", "alert_id"
     )

@@ -108,11 +108,16 @@ class Traffic:
     def prepared(self) -> Traffic:
         """The same traffic with the contact table written out, for running many rules."""
         table = scratch_table(roll_up(as_contacts(self.packets), *_CONTACT_KEY), "contacts")
-        troubles = None
-        if self.logs is not None:
-            troubles = scratch_table(self.troubles, "troubles")
+        troubles = self.kept_troubles if self.logs is not None else None
         return Traffic(self.packets, self.logs, table, self._origins, troubles, is_prepared=True)
 
+    @property
+    def kept_troubles(self) -> DataFrame:
+        """`troubles` written once, for operators that go over them several times."""
+        if self._troubles is None:
+            self._troubles = scratch_table(self.troubles, "troubles")
+        return self._troubles
+
     @property
     def troubles(self) -> DataFrame:
         """Timed log entries above `info`: all that rules and features look at."""

@@ -1,9 +1,10 @@
-"""Session settings, and the two ways this library cuts a plan in pieces.
+"""Session settings, and the ways this library cuts a plan in pieces.
 
 `scratch_table` writes an intermediate result to the shared folder the cluster names in
 ``spark.checkpoint.dir`` and reads it back. It survives the loss of executors, is columnar (so later
 readers prune columns) and tells the planner its size.
 
+`measured_table` does the same and observes its size, so that a broadcast is decided on a known size.
 `small_side` decides whether a per-capture lookup may be broadcast. It looks at the number of rows
 first; a larger lookup is joined by shuffle.
 """
@@ -13,7 +14,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 SMALL_ROWS = 10_000
@@ -65,14 +66,43 @@ def scratch_root(spark: SparkSession) -> str:
     return root
 
 
+def scratch_folder(spark: SparkSession) -> str:
+    """Where this application keeps its intermediate tables."""
+    return f"{scratch_root(spark)}/wirelens/{spark.sparkContext.applicationId}"
+
+
+def release_scratch(spark: SparkSession) -> None:
+    """Delete this application's intermediate tables, once its results are written."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(scratch_folder(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def scratch_table(df: DataFrame, name: str) -> DataFrame:
     """Write `df` to the shared folder and read it back: a durable cut of the lineage."""
     spark = df.sparkSession
-    path = f"{scratch_root(spark)}/wirelens/{name}-{uuid.uuid4().hex}"
+    path = f"{scratch_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def measured_table(df: DataFrame, name: str, **measures: Column) -> tuple[DataFrame, dict]:
+    """A scratch table, its number of rows `n` and further aggregates, observed while writing."""
+    seen = Observation()
+    watched = df.observe(
+        seen, F.count(F.lit(1)).alias("n"), *[m.alias(key) for key, m in measures.items()]
+    )
+    return scratch_table(watched, name), seen.get
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Share out rows that come in fewer pieces than there are cores, as from one compressed file.
+
+    A table of many pieces is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def small_side(df: DataFrame, max_rows: int = SMALL_ROWS) -> DataFrame:
     """`df` as a broadcastable table if it has at most `max_rows` rows, else `df` unchanged.
 
@@ -85,6 +115,6 @@ def small_side(df: DataFrame, max_rows: int = SMALL_ROWS) -> DataFrame:
     return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
 
 
-def broadcast_table(table: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast hint for a scratch table whose counted rows are few enough; else no hint."""
-    return F.broadcast(table) if table.count() <= max_rows else table
+def broadcast_table(table: DataFrame, rows: int, max_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Broadcast hint for a scratch table whose measured rows are few enough; else no hint."""
+    return F.broadcast(table) if rows <= max_rows else table

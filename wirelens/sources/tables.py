@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from wirelens.functions.text import iso_to_us
 from wirelens.operators.logs import parse_lines
 from wirelens.schemas import PACKETS, with_packet_defaults
-from wirelens.session import small_side
+from wirelens.session import small_side, spread
 
 # Packets as exported by other tools: ISO times as text, no capture or arrival columns.
 RECORD_SCHEMA = (
@@ -83,7 +83,7 @@ def read_logs(
     per_line: bool = False,
 ) -> DataFrame:
     """Log entries of text files. A path without any readable format is an error."""
-    lines = read_log_lines(spark, path, capture_id)
+    lines = spread(read_log_lines(spark, path, capture_id))
     return parse_lines(lines, year=year, tz=tz, per_line=per_line, required=True)
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from wirelens.schemas import PACKETS, with_packet_defaults
-from wirelens.session import scratch_root
+from wirelens.session import scratch_folder
 
 LATENESS = "2 minutes"
 
@@ -64,7 +64,7 @@ def start_batches(df: DataFrame, write, checkpoint: str, mode: str = "update") -
 def run_available(df: DataFrame, name: str) -> DataFrame:
     """Run the stream over everything that has landed and read back what it wrote."""
     spark = df.sparkSession
-    root = f"{scratch_root(spark)}/wirelens/{name}-{uuid.uuid4().hex}"
+    root = f"{scratch_folder(spark)}/{name}-{uuid.uuid4().hex}"
     query = start(df, f"{root}/rows", f"{root}/checkpoint")
     query.awaitTermination()
     return spark.read.schema(df.schema).parquet(f"{root}/rows")
