@@ -9,11 +9,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wirelens.session import adopt
+
 EPOCH_US = 1704067200000000  # 2024-01-01T00:00:00Z, start of the event stream
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/events.parquet")
+    return adopt(spark).read.parquet(f"{sf_dir}/events.parquet")
 
 
 def _numbered(ev: DataFrame) -> DataFrame:
