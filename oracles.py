@@ -774,6 +774,11 @@ CTES["epoch_entropies"] = """
 select capture_id, b, -sum(c / n * log2(c / n)) as h from (
   select capture_id, b, dst_port, count(*) c, sum(count(*)) over (partition by capture_id, b) n
   from epoch_windows group by capture_id, b, dst_port) group by all"""
+CTES["epoch_flag_entropies"] = """
+select capture_id, b, -sum(c / n * log2(c / n)) as fh from (
+  select capture_id, b, flag, count(*) c, sum(count(*)) over (partition by capture_id, b) n
+  from (select capture_id, b, unnest(tcp_flags) as flag from epoch_windows)
+  group by capture_id, b, flag) group by all"""
 
 BODIES.update(
     {
@@ -806,8 +811,14 @@ BODIES.update(
           round(count_if(protocol = 'ICMP') / count(*), 6) as icmp_ratio,
           count_if(protocol = 'DNS') as dns_query_count,
           round(avg(size), 6) as avg_packet_size, round(any_value(h), 6) as port_entropy,
-          count(distinct (src_ip, dst_ip, dst_port)) as connection_count
-        from epoch_windows join epoch_entropies using (capture_id, b), settled
+          round(stddev_pop(size), 6) as packet_size_std,
+          round(count_if(size < 100) / count(*), 6) as small_packet_ratio,
+          round(count_if(size > 1400) / count(*), 6) as large_packet_ratio,
+          round(coalesce(any_value(fh), 0), 6) as tcp_flag_entropy,
+          count(distinct (src_ip, dst_ip, dst_port)) as connection_count,
+          round(count(*) / count(distinct (src_ip, dst_ip, dst_port)), 6) as avg_flow_packets
+        from epoch_windows join epoch_entropies using (capture_id, b)
+          left join epoch_flag_entropies using (capture_id, b), settled
         where (b + 1) * 60000000 <= settled group by capture_id, b""",
         "streamed_flows": """
         select capture_id, src_ip, dst_ip, src_port, dst_port, protocol, count(*) as packet_count,

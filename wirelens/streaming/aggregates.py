@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from wirelens.operators.flows import FLOW_KEY
 from wirelens.operators.floods import KINDS, WINDOW_SECONDS, _belongs
+from wirelens.schemas import FLAG_NAMES
 from wirelens.streaming.sources import LATENESS, timed
 
 
@@ -61,21 +62,37 @@ def flood_stream(
     )
 
 
+def _entropy_of(counts: list) -> F.Column:
+    """Base-2 entropy of a fixed list of counts; zero for at most one occurrence."""
+    total = reduce(lambda x, y: x + y, counts)
+    weighted = reduce(
+        lambda x, y: x + y, [F.when(c > 0, c * F.log2(c)).otherwise(0.0) for c in counts]
+    )
+    value = F.when(total > 1, F.log2(total) - weighted / total)
+    return F.greatest(F.coalesce(value, F.lit(0.0)), F.lit(0.0))
+
+
 def feature_stream(
     packets: DataFrame, window_seconds: int = 60, lateness: str = LATENESS
 ) -> DataFrame:
-    """Packet features per window: counts, distinct counts, ratios and the port entropy."""
+    """The packet features of each window with packets; log errors are a batch join."""
     window = F.window("ts", f"{window_seconds} seconds")
+    flags = {f"flag_{name}": F.array_contains("tcp_flags", name) for name in FLAG_NAMES.values()}
+    tests = {
+        **flags,
+        "n_icmp": F.col("protocol") == "ICMP",
+        "n_dns": F.col("protocol") == "DNS",
+        "n_small": F.col("size") < 100,
+        "n_large": F.col("size") > 1400,
+    }
     base = (
         timed(packets, lateness)
         .groupBy("capture_id", window.alias("window"), "src_ip", "dst_ip", "dst_port")
         .agg(
             F.count("*").alias("n"),
             F.sum("size").alias("bytes"),
-            F.count_if(F.array_contains("tcp_flags", "SYN")).alias("n_syn"),
-            F.count_if(F.array_contains("tcp_flags", "RST")).alias("n_rst"),
-            F.count_if(F.col("protocol") == "ICMP").alias("n_icmp"),
-            F.count_if(F.col("protocol") == "DNS").alias("n_dns"),
+            F.sum((F.col("size").cast("bigint") * F.col("size")).cast("decimal(38,0)")).alias("squares"),
+            *[F.count_if(test).alias(name) for name, test in tests.items()],
         )
     )
 
@@ -88,7 +105,7 @@ def feature_stream(
         facet("dst", F.col("dst_ip")),
         facet("port", F.col("dst_port")),
     )
-    counts = ["n", "bytes", "n_syn", "n_rst", "n_icmp", "n_dns"]
+    counts = ["n", "bytes", "squares", *tests]
     per_value = (
         base.select("capture_id", "window", F.explode(facets).alias("f"), *counts)
         .groupBy("capture_id", "window", "f.kind", "f.value")
@@ -104,6 +121,8 @@ def feature_stream(
         F.sum(port_n * F.log2(port_n)).alias("weighted"),
     )
     n = F.col("n")
+    n_dec, bytes_dec = n.cast("decimal(19,0)"), F.col("bytes").cast("decimal(19,0)")
+    spread = (n_dec * F.col("squares") - bytes_dec * bytes_dec).cast("double")
     return merged.select(
         "capture_id",
         F.col("window.start").alias("window_start"),
@@ -112,13 +131,18 @@ def feature_stream(
         "unique_src_ips",
         "unique_dst_ips",
         "unique_dst_ports",
-        (F.col("n_syn") / n).alias("syn_ratio"),
-        (F.col("n_rst") / n).alias("rst_ratio"),
+        (F.col("flag_SYN") / n).alias("syn_ratio"),
+        (F.col("flag_RST") / n).alias("rst_ratio"),
         (F.col("n_icmp") / n).alias("icmp_ratio"),
         F.col("n_dns").alias("dns_query_count"),
         (F.col("bytes") / n).alias("avg_packet_size"),
+        (F.sqrt(F.greatest(spread, F.lit(0.0))) / n).alias("packet_size_std"),
+        (F.col("n_small") / n).alias("small_packet_ratio"),
+        (F.col("n_large") / n).alias("large_packet_ratio"),
+        _entropy_of([F.col(name) for name in flags]).alias("tcp_flag_entropy"),
         F.greatest(F.log2(n) - F.col("weighted") / n, F.lit(0.0)).alias("port_entropy"),
         F.col("connections").alias("connection_count"),
+        (n / F.col("connections")).alias("avg_flow_packets"),
     )
 
 
