@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wirelens.llm import bpe, token_files
+from wirelens.llm import bpe, order_minhash, token_files
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -40,6 +40,12 @@ def op1_bpe_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op2_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents, and their likeness to the edited text and the next document."""
+    return order_minhash.compare_with_next(table(spark, sf_dir, "documents"))
+
+
 @query
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Byte-level ids of all documents through packed files and back."""
