@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wirelens.llm import bpe, order_minhash, token_files
+from wirelens.llm import bpe, order_minhash, token_files, url_rules
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -46,6 +46,32 @@ def op2_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order_minhash.compare_with_next(table(spark, sf_dir, "documents"))
 
 
+@query
+def op4_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts on all pages by five nested rules."""
+    rules = spark.sql(
+        """select * from values ('org', '/', 'allow'), ('example.org', '/es/', 'block'),
+        ('example.org', '/en/1', 'block'), ('com', '/fr/', 'allow'), ('com', '/de/', 'block')
+        as rules(host, path, verdict)"""
+    )
+    return url_rules.judge(table(spark, sf_dir, "pages"), rules)
+
+
+ORACLES["op4_url_rules"] = """
+with rules(host, path, verdict) as (values ('org', '/', 'allow'), ('example.org', '/es/', 'block'),
+  ('example.org', '/en/1', 'block'), ('com', '/fr/', 'allow'), ('com', '/de/', 'block')),
+parts as (select page_id, url,
+  case when contains(url, '://') then substr(url, strpos(url, '://') + 3) else '' end as rest from pages),
+split as (select page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+  'abcdefghijklmnopqrstuvwxyz') as host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) as path from parts)
+select page_id, coalesce(s.host, '') as host, coalesce(s.path, '') as path,
+  (select arg_max(r.host || r.path, length(r.host || r.path)) from rules r where starts_with(s.path, r.path)
+    and (s.host = r.host or ends_with(s.host, '.' || r.host))) as rule,
+  coalesce((select arg_max(r.verdict, length(r.host || r.path)) from rules r where starts_with(s.path, r.path)
+    and (s.host = r.host or ends_with(s.host, '.' || r.host))), 'allow') as verdict
+from split s"""
+
+
 @query
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Byte-level ids of all documents through packed files and back."""
