@@ -16,6 +16,7 @@ import json
 import os
 import tempfile
 from collections import Counter
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 
 from wirelens.llm.common import PieceCoder, chunks, text_of
 from wirelens.llm.lexicon import Lexicon, compile_lexicon
-from wirelens.llm.pieces import WordSplitter, load
+from wirelens.llm.pieces import WordSplitter, byte_letters, load
 
 #: The lexicon has at most so many words, of at most so many bytes.
 LEXICON_WORDS = 131_072
@@ -36,15 +37,6 @@ COUNTED_WORDS = 400_000
 WORD_END = "</w>"
 
 
-def _byte_letters() -> list[str]:
-    """The printable character that stands for each byte in byte-level vocabularies."""
-    plain = [*range(ord("!"), ord("~") + 1), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    letters = {b: chr(b) for b in plain}
-    for b in range(256):
-        letters.setdefault(b, chr(0x100 + len(letters) - len(plain)))
-    return [letters[b] for b in range(256)]
-
-
 class Merges:
     """Exact merging of one word: always the pair of lowest rank, and of equal ones the leftmost."""
 
@@ -52,7 +44,7 @@ class Merges:
         with open(path, encoding="utf-8") as file:
             model = json.load(file)["model"]
         vocab = model["vocab"]
-        letters = _byte_letters()
+        letters = byte_letters()
         self.inner = [vocab[c] for c in letters]
         self.last = [vocab[c + WORD_END] for c in letters]
         pairs = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
@@ -111,15 +103,21 @@ def frequent_words(docs: DataFrame, tokenizer: str, text: str = "text") -> DataF
         held: Counter = Counter()
 
         def rows():
-            words = pa.array(list(held.keys()), pa.string())
-            return pa.RecordBatch.from_arrays([words, pa.array(held.values(), pa.int64())], names=["word", "n"])
+            words: Counter = Counter()
+            for between, n in held.items():  # each text between two spaces is split once
+                for word in splitter.split(between):
+                    words[word] += n
+            held.clear()
+            return pa.RecordBatch.from_arrays(
+                [pa.array(list(words.keys()), pa.string()), pa.array(list(words.values()), pa.int64())],
+                names=["word", "n"],
+            )
 
         for _, texts in chunks(batches):
             for t in texts:
-                held.update(splitter.split(t))
+                held.update(splitter.words(t))
             if len(held) > COUNTED_WORDS:
                 yield rows()
-                held.clear()
         if held:
             yield rows()
 
@@ -148,19 +146,23 @@ def ship(spark: SparkSession, content: bytes, kind: str) -> str:
     return name
 
 
-def _coder(tokenizer: str, lexicon: str | None) -> tuple[WordSplitter, PieceCoder]:
+def _coder(tokenizer: str, lexicon: str | None) -> PieceCoder:
     splitter = WordSplitter(load(tokenizer))
     merges = Merges(tokenizer)
     known = Lexicon(SparkFiles.get(lexicon)) if lexicon else None
 
     def resolve(words):
-        ranks = known.ranks(words).tolist() if known else [-1] * len(words)
-        return [
-            [splitter.special[w]] if w in splitter.special else known.ids_of(r) if r >= 0 else merges.ids(w)
-            for w, r in zip(words, ranks)
-        ]
+        """Ids of what stands between spaces; its pieces are looked up all at once."""
+        pieces = [splitter.split(w) for w in words]
+        distinct = list(dict.fromkeys(chain.from_iterable(pieces)))
+        ranks = known.ranks(distinct).tolist() if known else [-1] * len(distinct)
+        ids = {
+            p: [splitter.special[p]] if p in splitter.special else known.ids_of(r) if r >= 0 else merges.ids(p)
+            for p, r in zip(distinct, ranks)
+        }
+        return [[i for p in one for i in ids[p]] for one in pieces]
 
-    return splitter, PieceCoder(resolve)
+    return PieceCoder(resolve, splitter.words)
 
 
 class _Decoder:
@@ -187,9 +189,9 @@ def encode(docs: DataFrame, tokenizer: str, lexicon: str | None, key: str = "doc
     """(key, ids) of every document."""
 
     def run(batches):
-        splitter, coder = _coder(tokenizer, lexicon)
+        coder = _coder(tokenizer, lexicon)
         for batch, texts in chunks(batches):
-            lists, _, _ = _id_lists(*coder.encode([splitter.split(t) for t in texts]))
+            lists, _, _ = _id_lists(*coder.encode(texts))
             yield pa.RecordBatch.from_arrays([batch.column("key"), lists], names=[key, "ids"])
 
     rows = docs.select(F.col(key).cast("long").alias("key"), text_of(text).alias("text"))
@@ -215,10 +217,10 @@ def round_trip(docs: DataFrame, tokenizer: str, lexicon: str | None, key: str =
     """(key, ids, decoded): `encode` and `decode` in one pass over the texts."""
 
     def run(batches):
-        splitter, coder = _coder(tokenizer, lexicon)
+        coder = _coder(tokenizer, lexicon)
         decoder = _Decoder(tokenizer)
         for batch, texts in chunks(batches):
-            lists, flat, cuts = _id_lists(*coder.encode([splitter.split(t) for t in texts]))
+            lists, flat, cuts = _id_lists(*coder.encode(texts))
             decoded = decoder.texts(flat, cuts)
             yield pa.RecordBatch.from_arrays([batch.column("key"), lists, decoded], names=[key, "ids", "decoded"])
 

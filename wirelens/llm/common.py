@@ -7,6 +7,7 @@ input can have any name. A null text counts as the empty text.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -51,11 +52,18 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 class PieceCoder:
     """Ids of text pieces, remembered per piece. `resolve` gives the id lists of new pieces.
 
-    At most `limit` pieces are remembered between two calls; then it starts anew.
+    A piece that `resolve` answers with None can't stand alone: `split` then gives other pieces for the
+    texts that hold it. At most `limit` pieces are remembered between two calls; then it starts anew.
     """
 
-    def __init__(self, resolve: Callable[[list[str]], list], limit: int = 400_000):
-        self.resolve, self.limit = resolve, limit
+    def __init__(
+        self,
+        resolve: Callable[[list[str]], list],
+        first: Callable[[str], list[str]],
+        split: Callable[[str], list[str]] | None = None,
+        limit: int = 600_000,
+    ):
+        self.resolve, self.first, self.split, self.limit = resolve, first, split, limit
         self._forget()
 
     def _forget(self) -> None:
@@ -71,11 +79,12 @@ class PieceCoder:
         self.flat = np.empty(1 << 16, np.uint32)
         self.used = 0
         self.starts = np.zeros(1 << 15, np.int64)
-        self.lengths = np.zeros(1 << 15, np.int64)
+        self.lengths = np.zeros(1 << 15, np.int64)  # -1: can't stand alone
 
     def _learn(self) -> None:
         known = len(self.codes) - len(self.new)
-        ids = self.resolve(self.new)
+        found = self.resolve(self.new)
+        ids = [one or () for one in found]
         lengths = np.fromiter(map(len, ids), np.int64, len(ids))
         total = self.used + int(lengths.sum())
         while total > len(self.flat):
@@ -83,26 +92,37 @@ class PieceCoder:
         while len(self.codes) > len(self.starts):
             self.starts = np.concatenate([self.starts, np.zeros_like(self.starts)])
             self.lengths = np.concatenate([self.lengths, np.zeros_like(self.lengths)])
-        self.flat[self.used : total] = np.fromiter(
-            (i for one in ids for i in one), np.uint32, total - self.used
-        )
+        self.flat[self.used : total] = np.fromiter(chain.from_iterable(ids), np.uint32, total - self.used)
         self.starts[known : len(self.codes)] = self.used + np.cumsum(lengths) - lengths
         self.lengths[known : len(self.codes)] = lengths
+        for i, one in enumerate(found):
+            if one is None:
+                self.lengths[known + i] = -1
         self.used = total
         self.new.clear()
 
-    def encode(self, pieces: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids of all lists of pieces in one array, and the number of ids of each list."""
-        if len(self.codes) > self.limit:
-            self._forget()
+    def _coded(self, pieces: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
         counts = np.fromiter(map(len, pieces), np.int64, len(pieces))
-        code = self.codes.__getitem__
         codes = np.fromiter(
-            (c for one in pieces for c in map(code, one)), np.int64, int(counts.sum())
+            map(self.codes.__getitem__, chain.from_iterable(pieces)), np.int64, int(counts.sum())
         )
         if self.new:
             self._learn()
+        return codes, counts
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of all texts in one array, and the number of ids of each text."""
+        if len(self.codes) > self.limit:
+            self._forget()
+        pieces = [self.first(t) for t in texts]
+        codes, counts = self._coded(pieces)
         lengths = self.lengths[codes]
+        if self.split and (lengths < 0).any():
+            ends = np.cumsum(counts)
+            for i in np.unique(np.searchsorted(ends, np.flatnonzero(lengths < 0), side="right")):
+                pieces[i] = self.split(texts[i])
+            codes, counts = self._coded(pieces)
+            lengths = self.lengths[codes]
         ids = self.flat[ragged(self.starts[codes], lengths)]
         ends = np.concatenate([[0], np.cumsum(lengths)])[np.cumsum(np.concatenate([[0], counts]))]
         return ids, np.diff(ends)

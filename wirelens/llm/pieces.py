@@ -40,6 +40,15 @@ BYTE_LEVEL = re.compile(f"{ENDINGS}| ?[{L}]+| ?[{N}]+| ?[^{S}{L}{N}]+|[{S}]+(?![
 WORD_LEVEL = re.compile(f"{ENDINGS}|[{L}]+|[{N}]|[^{S}{L}{N}]+")
 
 
+def byte_letters() -> list[str]:
+    """The printable character that stands for each byte in byte-level vocabularies."""
+    plain = [*range(ord("!"), ord("~") + 1), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    letters = {b: chr(b) for b in plain}
+    for b in range(256):
+        letters.setdefault(b, chr(0x100 + len(letters) - len(plain)))
+    return [letters[b] for b in range(256)]
+
+
 def load(path: str) -> Tokenizer:
     """The tokenizer of a file, without truncation and padding."""
     tokenizer = Tokenizer.from_file(path)
@@ -57,7 +66,11 @@ def _around(names) -> re.Pattern | None:
 
 
 class Splitter:
-    """Pieces of a text; strings of special tokens are pieces of their own."""
+    """Pieces of a text; strings of special tokens are pieces of their own.
+
+    `words` cuts a text at its spaces, which is much faster than the patterns; what stands between
+    spaces is split once and remembered by the caller.
+    """
 
     def __init__(self, tokenizer: Tokenizer):
         self.tokenizer = tokenizer
@@ -78,7 +91,12 @@ class Splitter:
 
 
 class ByteSplitter(Splitter):
-    """Pieces as they stand in the text."""
+    """Pieces as they stand in the text. A piece may begin with the space in front of it.
+
+    Among `words`, the text's first is marked by a space. A word that is empty, or begins or ends with
+    white space, says that the text has several spaces in a row; such a text is split as a whole, into
+    pieces marked by two spaces.
+    """
 
     def plain(self, text: str) -> list[str]:
         if text.isascii() or not RARE.search(text):
@@ -86,9 +104,32 @@ class ByteSplitter(Splitter):
         cuts = self.tokenizer.pre_tokenizer.pre_tokenize_str(text)
         return [text[a:b] for _, (a, b) in cuts]
 
+    def words(self, text: str) -> list[str]:
+        out = text.split(" ")
+        out[0] = " " + out[0]
+        return out
+
+    def whole(self, text: str) -> list[str]:
+        return ["  " + piece for piece in self.split(text)]
+
+    def pieces_of(self, word: str) -> list[str] | None:
+        """The pieces that stand for one of `words` or `whole`; None for a word that can't stand alone."""
+        if word.startswith("  "):
+            return [word[2:]]
+        first = word.startswith(" ")
+        bare = word[1:] if first else word
+        if first and bare == "":
+            return []
+        if bare == "" or bare[0].isspace() or bare[-1].isspace():
+            return None
+        return self.split(bare if first else " " + bare)
+
 
 class WordSplitter(Splitter):
-    """Lower-cased words; white space goes. Composed and lower-cased as the file asks."""
+    """Lower-cased words; white space goes. Composed and lower-cased as the file asks.
+
+    No piece holds a space, and neither composing nor lower-casing looks across one.
+    """
 
     def plain(self, text: str) -> list[str]:
         if text.isascii() or not RARE.search(text):
@@ -97,3 +138,6 @@ class WordSplitter(Splitter):
                 return WORD_LEVEL.findall(low)
         low = self.tokenizer.normalizer.normalize_str(text)
         return [low[a:b] for _, (a, b) in self.tokenizer.pre_tokenizer.pre_tokenize_str(low)]
+
+    def words(self, text: str) -> list[str]:
+        return text.split(" ")

@@ -15,6 +15,8 @@ Repeated rows are all written. An empty table gives no files and no rows.
 
 from __future__ import annotations
 
+import gc
+import os
 import uuid
 from collections.abc import Iterator
 
@@ -26,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wirelens.llm.common import PieceCoder, chunks, text_of
-from wirelens.llm.pieces import ByteSplitter, load
+from wirelens.llm.pieces import ByteSplitter, byte_letters, load
 from wirelens.session import broadcast_table, measured_table, scratch_folder
 
 # Ids per word and bits per id of selectors 2 to 15.
@@ -42,20 +44,22 @@ def _selectors(ids: np.ndarray) -> np.ndarray:
     """For every place, the selector that packs most ids from there on; a last word may be padded."""
     n = len(ids)
     chosen = np.full(n, 15, np.uint8)
-    chosen[ids >> np.uint64(60) > 0] = ESCAPE
     top = int(ids.max()) if n else 0
+    if top >> 60:
+        chosen[ids >> np.uint64(60) > 0] = ESCAPE
     ids = ids.astype(np.uint32) if top < 1 << 32 else ids
-    padded = np.concatenate([ids, np.zeros(120, ids.dtype)])
-    at = np.arange(n)
+    fits = np.ones(n, bool)
+    narrow = np.ones(n + 120, bool)  # ids behind the end are zeros
     # What fits a layout also fits the ones before, with fewer and wider ids.
     for selector in range(14, ZEROS - 1, -1):
         count, bits = (120, 0) if selector == ZEROS else LAYOUTS[selector - 2]
         if top >> bits:
+            np.less(ids, ids.dtype.type(1 << bits), out=narrow[:n])
             for k in range(count):
-                at = at[padded[at + k] >> ids.dtype.type(bits) == 0]
-        if not len(at):
-            break
-        chosen[at] = selector
+                fits &= narrow[k : k + n]
+            if not fits.any():
+                break
+        chosen[fits] = selector
     return chosen
 
 
@@ -64,7 +68,7 @@ def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     ids = ids.astype(np.uint64, copy=False)
     n = len(ids)
     chosen = _selectors(ids)
-    steps = COUNTS[chosen].tolist()
+    steps = COUNTS.astype(np.uint8)[chosen].tobytes()
     heads, at = [], 0
     while at < n:
         heads.append(at)
@@ -155,6 +159,41 @@ def parse_file(content: bytes) -> Iterator[tuple[list, np.ndarray, np.ndarray]]:
         yield names[first:], lengths[first:], np.zeros(0, np.uint64)
 
 
+class _Words:
+    """Ids of words from the tokenizers library, piece by piece."""
+
+    def __init__(self, splitter: ByteSplitter, limit: int = 400_000):
+        self.splitter, self.limit = splitter, limit
+        self.tokenize = splitter.tokenizer.model.tokenize
+        self.letters = dict(enumerate(byte_letters()))
+        self.known: dict[str, list[int]] = {}
+
+    def ids(self, words: list[str]) -> list[list[int] | None]:
+        if len(self.known) > self.limit:
+            self.known.clear()
+        out = []
+        for word in words:
+            pieces = self.splitter.pieces_of(word)
+            if pieces is None:
+                out.append(None)
+            elif len(pieces) == 1:
+                out.append(self.piece(pieces[0]))
+            else:
+                out.append([i for piece in pieces for i in self.piece(piece)])
+        return out
+
+    def piece(self, piece: str) -> list[int]:
+        ids = self.known.get(piece)
+        if ids is None:
+            if piece in self.splitter.special:
+                ids = [self.splitter.special[piece]]
+            else:
+                spelled = piece.encode().decode("latin-1").translate(self.letters)
+                ids = [token.id for token in self.tokenize(spelled)]
+            self.known[piece] = ids
+        return ids
+
+
 def _store(folder: str):
     """The file system of a folder, and the folder's path in it."""
     if "://" not in folder and not folder.startswith("file:"):
@@ -180,16 +219,14 @@ def write_token_files(
     folder = folder or f"{scratch_folder(spark)}/tokens-{uuid.uuid4().hex}"
 
     def write(batches):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
+        gc.disable()  # millions of remembered pieces and no cycles
         store, root = _store(folder)
         store.create_dir(root, recursive=True)
         part, seq = TaskContext.get().partitionId(), 0
         splitter = ByteSplitter(load(tokenizer))
 
-        def resolve(pieces):
-            found = splitter.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)
-            return [one.ids for one in found]
-
-        coder = PieceCoder(resolve)
+        coder = PieceCoder(_Words(splitter).ids, splitter.words, splitter.whole)
         names, lengths, ids, held = [], [], [], 0
 
         def flush():
@@ -204,7 +241,7 @@ def write_token_files(
             return pa.RecordBatch.from_pydict(row)
 
         for batch, texts in chunks(batches):
-            found, counts = coder.encode([splitter.split(t) for t in texts])
+            found, counts = coder.encode(texts)
             ends = np.cumsum(counts)
             lengths.append(counts + 1)
             ids.append(np.insert(found, ends, end_id))
