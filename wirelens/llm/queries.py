@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wirelens.llm import bpe, order_minhash, token_files, url_rules
+from wirelens.llm import bpe, multi_index, order_minhash, simhash, token_files, url_rules
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -46,6 +46,12 @@ def op2_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order_minhash.compare_with_next(table(spark, sf_dir, "documents"))
 
 
+@query
+def op3_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of vectors of one label with a cosine of 0.93 or more."""
+    return multi_index.near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.93)
+
+
 @query
 def op4_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdicts on all pages by five nested rules."""
@@ -72,6 +78,16 @@ select page_id, coalesce(s.host, '') as host, coalesce(s.path, '') as path,
 from split s"""
 
 
+@query
+def op7_simhash_balls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose fingerprints differ in up to three bits."""
+    found = simhash.fingerprints(table(spark, sf_dir, "documents"), shingle=3)
+    groups = simhash.near_duplicates(found, radius=3)
+    return groups.select(
+        "doc_id", simhash.hexadecimal().alias("fingerprint"), F.col("component").alias("component_id")
+    )
+
+
 @query
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Byte-level ids of all documents through packed files and back."""
