@@ -6,6 +6,8 @@ input can have any name. A null text counts as the empty text.
 
 from __future__ import annotations
 
+import sys
+import types
 from collections.abc import Callable, Iterable, Iterator
 from itertools import chain
 
@@ -49,6 +51,17 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.repeat(starts - (ends - lengths), lengths) + np.arange(total, dtype=np.int64)
 
 
+def per_worker(key: tuple, make: Callable):
+    """What `make` gives, once in each Python worker, which serves many tasks.
+
+    Functions come to workers by value, with globals of their own, so what is to last is kept in `sys`.
+    """
+    held = sys.modules.setdefault("wirelens-held-by-worker", types.ModuleType("held")).__dict__
+    if key not in held:
+        held[key] = make()
+    return held[key]
+
+
 class PieceCoder:
     """Ids of text pieces, remembered per piece. `resolve` gives the id lists of new pieces.
 
@@ -61,7 +74,7 @@ class PieceCoder:
         resolve: Callable[[list[str]], list],
         first: Callable[[str], list[str]],
         split: Callable[[str], list[str]] | None = None,
-        limit: int = 600_000,
+        limit: int = 500_000,
     ):
         self.resolve, self.first, self.split, self.limit = resolve, first, split, limit
         self._forget()

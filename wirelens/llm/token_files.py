@@ -18,6 +18,7 @@ from __future__ import annotations
 import gc
 import os
 import uuid
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from wirelens.llm.common import PieceCoder, chunks, text_of
+from wirelens.llm.common import PieceCoder, chunks, per_worker, text_of
 from wirelens.llm.pieces import ByteSplitter, byte_letters, load
 from wirelens.session import broadcast_table, measured_table, scratch_folder
 
@@ -162,13 +163,13 @@ def parse_file(content: bytes) -> Iterator[tuple[list, np.ndarray, np.ndarray]]:
 class _Words:
     """Ids of words from the tokenizers library, piece by piece."""
 
-    def __init__(self, splitter: ByteSplitter, limit: int = 400_000):
+    def __init__(self, splitter: ByteSplitter, limit: int = 300_000):
         self.splitter, self.limit = splitter, limit
         self.tokenize = splitter.tokenizer.model.tokenize
         self.letters = dict(enumerate(byte_letters()))
-        self.known: dict[str, list[int]] = {}
+        self.known: dict[str, array] = {}
 
-    def ids(self, words: list[str]) -> list[list[int] | None]:
+    def ids(self, words: list[str]) -> list:
         if len(self.known) > self.limit:
             self.known.clear()
         out = []
@@ -182,18 +183,23 @@ class _Words:
                 out.append([i for piece in pieces for i in self.piece(piece)])
         return out
 
-    def piece(self, piece: str) -> list[int]:
+    def piece(self, piece: str) -> array:
         ids = self.known.get(piece)
         if ids is None:
             if piece in self.splitter.special:
-                ids = [self.splitter.special[piece]]
+                ids = array("I", [self.splitter.special[piece]])
             else:
                 spelled = piece.encode().decode("latin-1").translate(self.letters)
-                ids = [token.id for token in self.tokenize(spelled)]
+                ids = array("I", [token.id for token in self.tokenize(spelled)])
             self.known[piece] = ids
         return ids
 
 
+def _coder(tokenizer: str) -> PieceCoder:
+    splitter = ByteSplitter(load(tokenizer))
+    return PieceCoder(_Words(splitter).ids, splitter.words, splitter.whole)
+
+
 def _store(folder: str):
     """The file system of a folder, and the folder's path in it."""
     if "://" not in folder and not folder.startswith("file:"):
