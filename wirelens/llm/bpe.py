@@ -10,6 +10,7 @@ gives no rows.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import heapq
 import json
@@ -25,7 +26,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wirelens.llm.common import PieceCoder, chunks, text_of
+from wirelens.llm.common import PieceCoder, chunks, per_worker, text_of
 from wirelens.llm.lexicon import Lexicon, compile_lexicon
 from wirelens.llm.pieces import WordSplitter, byte_letters, load
 
@@ -99,7 +100,8 @@ def frequent_words(docs: DataFrame, tokenizer: str, text: str = "text") -> DataF
     """(word, n) over all documents; tasks add up their own counts first."""
 
     def count(batches):
-        splitter = WordSplitter(load(tokenizer))
+        splitter = per_worker(("splitter", tokenizer), lambda: WordSplitter(load(tokenizer)))
+        gc.disable()  # many words and no cycles
         held: Counter = Counter()
 
         def rows():
@@ -189,7 +191,7 @@ def encode(docs: DataFrame, tokenizer: str, lexicon: str | None, key: str = "doc
     """(key, ids) of every document."""
 
     def run(batches):
-        coder = _coder(tokenizer, lexicon)
+        coder = per_worker(("word ids", tokenizer, lexicon), lambda: _coder(tokenizer, lexicon))
         for batch, texts in chunks(batches):
             lists, _, _ = _id_lists(*coder.encode(texts))
             yield pa.RecordBatch.from_arrays([batch.column("key"), lists], names=[key, "ids"])
@@ -202,7 +204,7 @@ def decode(rows: DataFrame, tokenizer: str, key: str = "doc_id", ids: str = "ids
     """(key, text) of every list of ids; null lists and null ids count as absent."""
 
     def run(batches):
-        decoder = _Decoder(tokenizer)
+        decoder = per_worker(("decoder", tokenizer), lambda: _Decoder(tokenizer))
         for batch in batches:
             lists = batch.column("ids")
             cuts = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))])
@@ -217,8 +219,8 @@ def round_trip(docs: DataFrame, tokenizer: str, lexicon: str | None, key: str =
     """(key, ids, decoded): `encode` and `decode` in one pass over the texts."""
 
     def run(batches):
-        coder = _coder(tokenizer, lexicon)
-        decoder = _Decoder(tokenizer)
+        coder = per_worker(("word ids", tokenizer, lexicon), lambda: _coder(tokenizer, lexicon))
+        decoder = per_worker(("decoder", tokenizer), lambda: _Decoder(tokenizer))
         for batch, texts in chunks(batches):
             lists, flat, cuts = _id_lists(*coder.encode(texts))
             decoded = decoder.texts(flat, cuts)
