@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wirelens.llm import bpe, multi_index, order_minhash, simhash, token_files, url_rules
+from wirelens.llm import bpe, length_buckets, multi_index, order_minhash, simhash, token_files, url_rules
+from wirelens.llm.common import WORD
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -78,6 +79,17 @@ select page_id, coalesce(s.host, '') as host, coalesce(s.path, '') as path,
 from split s"""
 
 
+def n_words(column: str = "text"):
+    """Words between ASCII white space."""
+    return F.regexp_count(F.coalesce(column, F.lit("")), F.lit(WORD)).cast("long")
+
+
+@query
+def op5_length_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Batches of all documents, each counted as its words and an end."""
+    return length_buckets.pack(table(spark, sf_dir, "documents"), n_words() + 1)
+
+
 @query
 def op7_simhash_balls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose fingerprints differ in up to three bits."""
