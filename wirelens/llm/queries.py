@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wirelens.llm import bpe, length_buckets, multi_index, order_minhash, simhash, token_files, url_rules
+from wirelens.llm import bpe, length_buckets, multi_index, order_minhash, quality, simhash, token_files, url_rules
 from wirelens.llm.common import WORD
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -108,3 +108,10 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     found = token_files.read_token_files(spark, folder, files, n)
     return found.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+@query
+def op10_site_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of all documents from their text and their source and language as host and path."""
+    found = quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), "quality")
+    return found.select("row.doc_id", "evidence", "site_share", "probability", "accepted")
