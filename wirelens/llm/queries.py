@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wirelens.llm import bpe, length_buckets, multi_index, order_minhash, quality, simhash, token_files, url_rules
+from wirelens.llm import bpe, length_buckets, multi_index, order_minhash, quality, repeats, simhash, token_files, url_rules
 from wirelens.llm.common import WORD
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -90,6 +90,19 @@ def op5_length_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return length_buckets.pack(table(spark, sf_dir, "documents"), n_words() + 1)
 
 
+@query
+def op6_previous_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the strings of 50 bytes that an earlier document has too."""
+    found = repeats.remove_repeats(table(spark, sf_dir, "documents"), length=50)
+    return found.select(
+        "doc_id",
+        "n_bytes",
+        (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"),
+        F.size("starts").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 @query
 def op7_simhash_balls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose fingerprints differ in up to three bits."""
