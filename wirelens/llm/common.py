@@ -13,6 +13,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,7 +35,7 @@ def chunks(
     """Slices of Arrow batches of about `size` bytes of text each, with the texts as strings."""
     for batch in batches:
         column = batch.column(text)
-        ends = np.cumsum(pa.compute.binary_length(column).fill_null(0).to_numpy(zero_copy_only=False))
+        ends = np.cumsum(pc.binary_length(column).fill_null(0).to_numpy(zero_copy_only=False))
         first, n = 0, batch.num_rows
         while first < n:
             before = ends[first - 1] if first else 0

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wirelens.llm import bpe, length_buckets, multi_index, order_minhash, quality, repeats, simhash, token_files, url_rules
+from wirelens.llm import bpe, interpolation, length_buckets, multi_index, order_minhash, quality, repeats, simhash, token_files, url_rules
 from wirelens.llm.common import WORD
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -113,6 +113,22 @@ def op7_simhash_balls(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op8_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all documents by models that learn from six sevenths of them."""
+    held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 7 == 2
+    found = interpolation.score(table(spark, sf_dir, "documents"), ~held_out)
+    return found.select(
+        "doc_id",
+        (~F.col("learn")).alias("held_out"),
+        "n_tokens",
+        "n_known",
+        "train_tokens",
+        "base_score",
+        "score",
+    )
+
+
 @query
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Byte-level ids of all documents through packed files and back."""
