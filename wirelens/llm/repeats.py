@@ -39,10 +39,10 @@ from wirelens.llm.order_minhash import BASE, mix
 from wirelens.session import scratch_table
 
 K = 24
-#: Windows handled at a time within a block; places in such a slice fit 24 bits.
-SLICE = 1 << 22
+#: Windows whose hashes are made at a time; places in such a slice fit 24 bits.
+SLICE = 1 << 19
 #: Keys that one task compares.
-TASK_KEYS = 1_500_000
+TASK_KEYS = 1_000_000
 
 
 def _hashes(buffer: np.ndarray, sizes: tuple[int, ...]) -> list[np.ndarray]:
@@ -203,7 +203,9 @@ def earlier_windows(buffer: np.ndarray, counts: np.ndarray, docs: np.ndarray, le
     """For stretches one after the other in `buffer`: bits of the windows that a smaller document has too."""
     sizes = counts + (length - 1)
     first = np.cumsum(sizes) - sizes
-    (whole,) = _hashes(buffer, (length,))
+    whole = np.concatenate(
+        [_hashes(buffer[at : at + SLICE + length - 1], (length,))[0] for at in range(0, len(buffer) - length + 1, SLICE)]
+    )
     last = first + counts - 1
     names = mix(whole[first] * np.uint64(BASE) + whole[last]) ^ mix(counts.astype(np.uint64))
     order = np.lexsort((docs, names))
