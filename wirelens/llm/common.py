@@ -75,7 +75,7 @@ class PieceCoder:
         resolve: Callable[[list[str]], list],
         first: Callable[[str], list[str]],
         split: Callable[[str], list[str]] | None = None,
-        limit: int = 500_000,
+        limit: int = 300_000,
     ):
         self.resolve, self.first, self.split, self.limit = resolve, first, split, limit
         self._forget()

@@ -38,7 +38,7 @@ COUNTS = np.array([1, 120, *(n for n, _ in LAYOUTS)], np.int64)
 ESCAPE, ZEROS = 0, 1
 MAGIC = b"SIMPLE8B"
 BLOCK = 1 << 17
-FILE_IDS = 4_000_000
+FILE_IDS = 2_000_000
 
 
 def _selectors(ids: np.ndarray) -> np.ndarray:
@@ -163,7 +163,7 @@ def parse_file(content: bytes) -> Iterator[tuple[list, np.ndarray, np.ndarray]]:
 class _Words:
     """Ids of words from the tokenizers library, piece by piece."""
 
-    def __init__(self, splitter: ByteSplitter, limit: int = 300_000):
+    def __init__(self, splitter: ByteSplitter, limit: int = 150_000):
         self.splitter, self.limit = splitter, limit
         self.tokenize = splitter.tokenizer.model.tokenize
         self.letters = dict(enumerate(byte_letters()))
