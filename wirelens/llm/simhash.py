@@ -30,12 +30,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wirelens.llm.common import chunks, components, text_of
-from wirelens.session import broadcast_table, measured_table
+from wirelens.llm.order_minhash import mix
+from wirelens.session import broadcast_table, measured_table, scratch_table
 
 BITS = 64
 SEED = 42
 #: Fingerprints whose variants are made at a time, and bytes of variants that one task compares.
 EMITTED = 1024
+#: Similar documents: shingles of a signature, its tables and their bits, and the bits that may differ.
+SIGNED_SHINGLE, TABLES, TABLE_BITS, TABLE_RADIUS = 2, 16, 32, 2
 TASK_BYTES = 16_000_000
 
 
@@ -75,13 +78,13 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", shing
     return rows.mapInArrow(run, f"`{key}` long, fingerprint long")
 
 
-def _masks(radius: int, odd: bool) -> np.ndarray:
-    """Changes that a fingerprint makes to get its variants."""
+def _masks(radius: int, odd: bool, bits: int = BITS) -> np.ndarray:
+    """Changes that a fingerprint makes to its lower `bits` to get its variants."""
     most = radius - radius // 2 if odd else radius // 2
     out = []
     for n in range(most + 1):
-        for at in combinations(range(BITS), n):
-            if radius == 3 and n == 2 and at[0] // 32 != at[1] // 32:
+        for at in combinations(range(bits), n):
+            if radius == 3 and n == 2 and 2 * at[0] // bits != 2 * at[1] // bits:
                 continue
             if not n and odd and radius % 2:
                 continue  # at odd distances the even side can stay as it is
@@ -99,12 +102,13 @@ def _values(planes: bytes, kind) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(width, -1).T).reshape(-1).view(kind)
 
 
-def links(nodes: DataFrame, n: int, radius: int = 3) -> DataFrame:
+def links(nodes: DataFrame, n: int, radius: int = 3, bits: int = BITS) -> DataFrame:
     """(a, b) of distinct fingerprints at most `radius` apart: a star at each variant where some meet.
 
-    `nodes` has `fingerprint`, each value once; `n` is their number. A link may come several times.
+    `nodes` has `fingerprint`, each value once; `n` is their number. Only the lower `bits` may differ. A
+    link may come several times.
     """
-    sides = [_masks(radius, False), _masks(radius, True)]
+    sides = [_masks(radius, False, bits), _masks(radius, True, bits)]
     masks = np.unique(np.concatenate(sides))
     codes = [np.searchsorted(masks, side).astype(np.uint16) for side in sides]
     per_node = sum(map(len, sides)) / 2
@@ -183,3 +187,115 @@ def near_duplicates(found: DataFrame, key: str = "doc_id", radius: int = 3) -> D
 def hexadecimal(fingerprint: str = "fingerprint"):
     """The fingerprint as 16 lower-case hex digits."""
     return F.lower(F.lpad(F.hex(fingerprint), 16, "0"))
+
+
+def _signature(words: list[bytes]) -> bytes:
+    """`TABLES` SimHashes of `TABLE_BITS` bits each, over one set of shingles."""
+    parts = shingles(words, SIGNED_SHINGLE)
+    ones = np.zeros(TABLES * TABLE_BITS, np.int64)
+    hashes = np.fromiter((xxhash.xxh64_intdigest(s, SEED) for s in parts), np.uint64, len(parts))
+    steps = np.arange(TABLES * TABLE_BITS // 64, dtype=np.uint64) << np.uint64(57)
+    for i in range(0, len(hashes), 255):  # sums of bytes that fit a byte
+        several = mix(hashes[i : i + 255, None] ^ steps)
+        bits = np.unpackbits(several.view(np.uint8).reshape(len(several), -1), axis=1, bitorder="little")
+        ones += bits.sum(axis=0, dtype=np.uint8)
+    return np.packbits(2 * ones > len(parts), bitorder="little").tobytes()
+
+
+def _shingle_set(text: str, size: int) -> np.ndarray:
+    parts = shingles(words_of(text), size)
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(s, SEED) for s in parts), np.uint64, len(parts)))
+
+
+def similar_documents(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8
+) -> DataFrame:
+    """(key, component) of documents whose shingle sets have a Jaccard similarity of `similarity` or more.
+
+    At a similarity of 0.8, 64-bit fingerprints differ in 10 bits and more, too many for one ball. So a
+    signature has `TABLES` fingerprints of `TABLE_BITS` bits over pairs of words, which a changed word moves
+    less; documents that come within `TABLE_RADIUS` bits of each other in any table are compared shingle by
+    shingle. Copies are one document throughout. Documents of one table value are compared with one of
+    them, another one in each table, and values that meet in a variant by a star as in `links`; groups of
+    any size give as many pairs as members. Rows with a null key are left out; documents without words are
+    copies of each other.
+    """
+
+    def sign(batches):
+        for batch, texts in chunks(batches):
+            words = [words_of(t) for t in texts]
+            whole = [b" ".join(w) for w in words]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column("key"),
+                    pa.array([xxhash.xxh3_128_digest(w) for w in whole], pa.binary()),
+                    pa.array([_signature(w) for w in words], pa.binary()),
+                ],
+                names=["key", "copy", "signature"],
+            )
+
+    rows = docs.select(F.col(key).cast("long").alias("key"), text_of(text).alias("text")).where("key is not null")
+    signed = scratch_table(rows.mapInArrow(sign, "key long, copy binary, signature binary"), "signatures")
+    copies = scratch_table(
+        signed.groupBy("copy").agg(F.min("key").alias("least"), F.first("signature").alias("signature")), "signature-copies"
+    )
+
+    def spread(batches):
+        table = np.arange(TABLES, dtype=np.int64) << TABLE_BITS
+        for batch in batches:
+            raw = b"".join(batch.column("signature").to_pylist())
+            values = np.frombuffer(raw, np.uint32).reshape(-1, TABLES).astype(np.int64) | table
+            names = np.repeat(batch.column("least").to_numpy(), TABLES)
+            yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(values.ravel())], names=["least", "fingerprint"])
+
+    placed = scratch_table(
+        copies.select("least", "signature").mapInArrow(spread, "least long, fingerprint long"), "signature-tables"
+    )
+    lead = F.min_by("least", F.xxhash64("least", F.shiftrightunsigned("fingerprint", TABLE_BITS)))
+    nodes, seen = measured_table(placed.groupBy("fingerprint").agg(lead.alias("lead")), "signature-values")
+    met = scratch_table(links(nodes, seen["n"], TABLE_RADIUS, TABLE_BITS).distinct(), "signature-links")
+    leads = [nodes.select(F.col("fingerprint").alias(side), F.col("lead").alias(f"lead_{side}")) for side in "ab"]
+    across = met.join(leads[0], "a").join(leads[1], "b").select("lead_a", "lead_b")
+    inside = placed.join(nodes, "fingerprint").select("lead", "least")
+    pairs, _ = measured_table(
+        across.union(inside)
+        .toDF("a", "b")
+        .where("a != b")
+        .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        .distinct(),
+        "signature-pairs",
+    )
+    asked, n_asked = measured_table(
+        pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct(), "signature-asked"
+    )
+
+    def collect_sets(batches):
+        for batch, texts in chunks(batches):
+            sets = [_shingle_set(t, shingle).tobytes() for t in texts]
+            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(sets, pa.binary())], names=["key", "set"])
+
+    sets = scratch_table(
+        rows.join(broadcast_table(asked, n_asked["n"]), "key", "left_semi")
+        .mapInArrow(collect_sets, "key long, set binary")
+        .dropDuplicates(["key"]),
+        "shingle-sets",
+    )
+
+    def compare(batches):
+        for batch in batches:
+            near = []
+            for one, other in zip(batch.column("set_a").to_pylist(), batch.column("set_b").to_pylist()):
+                one, other = np.frombuffer(one, np.uint64), np.frombuffer(other, np.uint64)
+                both = len(np.intersect1d(one, other, assume_unique=True))
+                near.append(both >= similarity * (len(one) + len(other) - both))
+            keep = pa.array(near, pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(keep) for c in "ab"], names=["a", "b"])
+
+    with_sets = pairs
+    for side in "ab":
+        with_sets = with_sets.join(sets.select(F.col("key").alias(side), F.col("set").alias(f"set_{side}")), side)
+    reached = components(with_sets.mapInArrow(compare, "a long, b long"))
+    named = copies.join(reached.withColumnRenamed("node", "least"), "least", "left").select(
+        "copy", F.coalesce("component", "least").alias("component")
+    )
+    return signed.select(F.col("key").alias(key), "copy").join(named, "copy").select(key, "component")
