@@ -192,9 +192,9 @@ def score(docs: DataFrame, learn: Column, key: str = "doc_id", text: str = "text
     """(doc_id, learn, n_tokens, n_known, train_tokens, base_score, score) of every document.
 
     Scores are log10 probabilities; `base_score` is that of the add-one unigram model. `learn` says which
-    documents the models learn from.
+    documents the models learn from (null: not).
     """
-    rows = docs.select(F.col(key).cast("long").alias("doc_id"), text_of(text).alias("text"), learn.alias("learn"))
+    rows = docs.select(F.col(key).cast("long").alias("doc_id"), text_of(text).alias("text"), F.coalesce(learn, F.lit(False)).alias("learn"))
     blocks, total = text_blocks(rows)
     parts = max(16, total // 5 // TASK_KEYS)
     answers, seen = measured_table(_ask(blocks, parts), "ngram-counts", tokens=F.sum("tokens"), distinct=F.sum("distinct"))

@@ -81,13 +81,12 @@ class Model:
     """Logistic regression on standardised measures, with a small ridge, by Newton steps."""
 
     def __init__(self, x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 30):
-        self.center, self.scale = x.mean(axis=0), x.std(axis=0) + 1e-6
-        self.weights = np.zeros(x.shape[1] + 1)
-        share = float(np.clip(y.mean(), 1e-6, 1 - 1e-6)) if len(y) else 0.5
-        self.base = float(np.log(share / (1 - share)))
+        self.weights, self.base = np.zeros(x.shape[1] + 1), 0.0
         self.fitted = len(y) > 0 and 0 < y.mean() < 1
         if not self.fitted:
             return
+        self.center, self.scale = x.mean(axis=0), x.std(axis=0) + 1e-6
+        self.base = float(np.log(y.mean() / (1 - y.mean())))
         z = self._rows(x)
         penalty = ridge * np.eye(z.shape[1])
         penalty[0, 0] = 0
