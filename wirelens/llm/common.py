@@ -52,15 +52,16 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.repeat(starts - (ends - lengths), lengths) + np.arange(total, dtype=np.int64)
 
 
-def per_worker(key: tuple, make: Callable):
-    """What `make` gives, once in each Python worker, which serves many tasks.
+def per_worker(kind: str, settings: tuple, make: Callable):
+    """What `make` gives, once in each Python worker, which serves many tasks; the latest of each kind.
 
     Functions come to workers by value, with globals of their own, so what is to last is kept in `sys`.
     """
     held = sys.modules.setdefault("wirelens-held-by-worker", types.ModuleType("held")).__dict__
-    if key not in held:
-        held[key] = make()
-    return held[key]
+    if (held.get(kind) or (None,))[0] != settings:
+        held[kind] = None  # the old one goes first
+        held[kind] = settings, make()
+    return held[kind][1]
 
 
 class PieceCoder:
