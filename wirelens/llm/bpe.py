@@ -100,7 +100,7 @@ def frequent_words(docs: DataFrame, tokenizer: str, text: str = "text") -> DataF
     """(word, n) over all documents; tasks add up their own counts first."""
 
     def count(batches):
-        splitter = per_worker(("splitter", tokenizer), lambda: WordSplitter(load(tokenizer)))
+        splitter = per_worker("splitter", (tokenizer,), lambda: WordSplitter(load(tokenizer)))
         gc.disable()  # many words and no cycles
         held: Counter = Counter()
 
@@ -141,13 +141,19 @@ def build_lexicon(words: DataFrame, tokenizer: str, size: int = LEXICON_WORDS) -
 def ship(spark: SparkSession, content: bytes, kind: str) -> str:
     """Hand a small file to all executors, present and future."""
     name = f"{kind}-{hashlib.sha256(content).hexdigest()[:24]}.bin"
+    if (spark.sparkContext.applicationId, name) in _shipped:
+        return name
     path = os.path.join(tempfile.mkdtemp(prefix="wirelens-"), name)
     with open(path, "wb") as file:
         file.write(content)
     spark.sparkContext.addFile(path)
+    _shipped.add((spark.sparkContext.applicationId, name))
     return name
 
 
+_shipped: set[tuple[str, str]] = set()
+
+
 def _coder(tokenizer: str, lexicon: str | None) -> PieceCoder:
     splitter = WordSplitter(load(tokenizer))
     merges = Merges(tokenizer)
@@ -191,7 +197,7 @@ def encode(docs: DataFrame, tokenizer: str, lexicon: str | None, key: str = "doc
     """(key, ids) of every document."""
 
     def run(batches):
-        coder = per_worker(("word ids", tokenizer, lexicon), lambda: _coder(tokenizer, lexicon))
+        coder = per_worker("word ids", (tokenizer, lexicon), lambda: _coder(tokenizer, lexicon))
         for batch, texts in chunks(batches):
             lists, _, _ = _id_lists(*coder.encode(texts))
             yield pa.RecordBatch.from_arrays([batch.column("key"), lists], names=[key, "ids"])
@@ -204,7 +210,7 @@ def decode(rows: DataFrame, tokenizer: str, key: str = "doc_id", ids: str = "ids
     """(key, text) of every list of ids; null lists and null ids count as absent."""
 
     def run(batches):
-        decoder = per_worker(("decoder", tokenizer), lambda: _Decoder(tokenizer))
+        decoder = per_worker("decoder", (tokenizer,), lambda: _Decoder(tokenizer))
         for batch in batches:
             lists = batch.column("ids")
             cuts = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))])
@@ -219,8 +225,8 @@ def round_trip(docs: DataFrame, tokenizer: str, lexicon: str | None, key: str =
     """(key, ids, decoded): `encode` and `decode` in one pass over the texts."""
 
     def run(batches):
-        coder = per_worker(("word ids", tokenizer, lexicon), lambda: _coder(tokenizer, lexicon))
-        decoder = per_worker(("decoder", tokenizer), lambda: _Decoder(tokenizer))
+        coder = per_worker("word ids", (tokenizer, lexicon), lambda: _coder(tokenizer, lexicon))
+        decoder = per_worker("decoder", (tokenizer,), lambda: _Decoder(tokenizer))
         for batch, texts in chunks(batches):
             lists, flat, cuts = _id_lists(*coder.encode(texts))
             decoded = decoder.texts(flat, cuts)

@@ -230,9 +230,7 @@ def write_token_files(
         store, root = _store(folder)
         store.create_dir(root, recursive=True)
         part, seq = TaskContext.get().partitionId(), 0
-        splitter = ByteSplitter(load(tokenizer))
-
-        coder = PieceCoder(_Words(splitter).ids, splitter.words, splitter.whole)
+        coder = per_worker("byte ids", (tokenizer,), lambda: _coder(tokenizer))
         names, lengths, ids, held = [], [], [], 0
 
         def flush():
