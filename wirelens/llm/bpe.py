@@ -29,10 +29,12 @@ from pyspark.sql import functions as F
 from wirelens.llm.common import PieceCoder, chunks, per_worker, text_of
 from wirelens.llm.lexicon import Lexicon, compile_lexicon
 from wirelens.llm.pieces import WordSplitter, byte_letters, load
+from wirelens.session import scratch_table
 
 #: The lexicon has at most so many words, of at most so many bytes.
 LEXICON_WORDS = 131_072
 LEXICON_BYTES = 64
+CLASSES = 64
 #: Distinct words that a counting task holds before it hands them on.
 COUNTED_WORDS = 400_000
 WORD_END = "</w>"
@@ -128,9 +130,21 @@ def frequent_words(docs: DataFrame, tokenizer: str, text: str = "text") -> DataF
 
 
 def build_lexicon(words: DataFrame, tokenizer: str, size: int = LEXICON_WORDS) -> str:
-    """Compile the `size` most frequent words and ship the file; gives its name among Spark's files."""
+    """Compile the most frequent words and ship the file; gives its name among Spark's files.
+
+    Words are taken by classes of frequency, `CLASSES` for each doubling of the count, the highest first,
+    as long as the class fits into `size` words; only these words come to the driver.
+    """
     spark = words.sparkSession
-    rows = words.where(F.octet_length("word") <= LEXICON_BYTES).orderBy(F.desc("n"), "word").limit(size)
+    level = F.floor(F.log2("n") * CLASSES).cast("int")
+    words = scratch_table(words.where(F.octet_length("word") <= LEXICON_BYTES).withColumn("level", level), "words")
+    least, have = None, 0
+    for row in words.groupBy("level").count().orderBy(F.desc("level")).collect():
+        have += row["count"]
+        if have > size:
+            break
+        least = row["level"]
+    rows = words.where(F.lit(False) if least is None else F.col("level") >= least)
     found = load(tokenizer)
     special = {t.content for t in found.get_added_tokens_decoder().values()}
     merges = Merges(tokenizer)
