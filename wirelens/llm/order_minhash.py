@@ -189,7 +189,7 @@ def compare_with_next(
 
     ordered = (
         docs.select(F.col(key).cast("long").alias("doc_id"), text_of(text).alias("text"))
-        .repartitionByRange(F.col("doc_id").desc_nulls_last(), "text")
+        .repartitionByRange(F.col("doc_id").desc_nulls_last())
         .sortWithinPartitions(F.col("doc_id").desc_nulls_last(), "text")
     )
     found = scratch_table(ordered.mapInArrow(run, f"part int, kind int, text string, {_ROW}"), "order-minhash")
