@@ -72,6 +72,7 @@ select event_id as line_no,
   ||' "-" "Mozilla/5.0"' as line
 from line_times"""
 
+# The line formats, as the library reads them.
 SYSLOG_RE = r"^(\w{3}\s+\d+\s+\d{2}:\d{2}:\d{2})\s+(\S+)\s+(\S+?)(?:\[\d+\])?\s*:\s*(.*)"
 ACCESS_RE = r'^(\S+)\s+\S+\s+\S+\s+\[([^\]]+)\]\s+"(\S+)\s+(\S+)\s+\S+"\s+(\d{3})\s+(\d+)'
 IPV4_RE = r"\b(?:\d{1,3}\.){3}\d{1,3}\b"
@@ -546,6 +547,7 @@ RECOMMENDATIONS = {
         "Inspect logs of the source host for unauthorised processes",
         "Add the destination domain(s) to a DNS sinkhole or blocklist"],
 }
+# The texts of RECOMMENDATIONS are fixed values: what the library recommends, word for word.
 CTES["advice"] = " union all ".join(
     f"select '{c}' as category, {i} as pos, '{t}' as recommendation"
     for c, texts in RECOMMENDATIONS.items() for i, t in enumerate(texts)
@@ -655,11 +657,12 @@ BODIES: dict[str, str] = {
         select capture_id, src_ip, n as burst_n, t0 as first_us, t1 as last_us from dns_bursts""",
     "pair_gaps": """
         select capture_id, src_ip, dst_ip, count(*) as n, min(ts_us) as first_us,
-          max(ts_us) as last_us, round(avg(gap) / 1e6, 5) as mean_gap_s,
-          round(stddev_samp(gap) / 1e6, 5) as std_gap_s
+          max(ts_us) as last_us,
+          cast(round(cast(avg(gap) / 1e6 as decimal(28, 9)), 5) as double) as mean_gap_s,
+          cast(round(cast(stddev_samp(gap) / 1e6 as decimal(28, 9)), 5) as double) as std_gap_s
         from (select *, ts_us - lag(ts_us) over (partition by capture_id, src_ip, dst_ip
                 order by ts_us) as gap from packets)
-        group by capture_id, src_ip, dst_ip having count(*) > 2""",
+        group by capture_id, src_ip, dst_ip""",
     "window_features": f"select capture_id, w, window_start_us, {ROUNDED} from features",
     "baseline_stats": f"""
         select capture_id, {', '.join(f'round(avg({c}), 6) as {c}' for c in FEATURE_NAMES)}
@@ -783,7 +786,7 @@ select capture_id, b, -sum(c / n * log2(c / n)) as fh from (
 BODIES.update(
     {
         "decoded_frames": """
-        with f as (select *, least(payload_size, 200) as body,
+        with f as (select *, payload_size as body,
           case protocol when 'TCP' then 20 else 8 end as head from packets)
         select capture_id, seq, ts_us, src_ip, dst_ip,
           case when protocol = 'ICMP' then 0 else src_port end as src_port,
@@ -834,8 +837,9 @@ BODIES.update(
         from vertical_windows, settled where open_us + 60000000 < settled""",
         "streamed_beacons": """
         select capture_id, src_ip, dst_ip, count(*) as n, min(ts_us) as first_us,
-          max(ts_us) as last_us, round(avg(gap) / 1e6, 5) as mean_gap_s,
-          round(stddev_samp(gap) / 1e6, 5) as std_gap_s
+          max(ts_us) as last_us,
+          cast(round(cast(avg(gap) / 1e6 as decimal(28, 9)), 5) as double) as mean_gap_s,
+          cast(round(cast(stddev_samp(gap) / 1e6 as decimal(28, 9)), 5) as double) as std_gap_s
         from (select *, ts_us - lag(ts_us) over (partition by capture_id, src_ip, dst_ip
                 order by ts_us) as gap from packets, settled where ts_us < settled)
         group by capture_id, src_ip, dst_ip

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from conftest import T0
-from wirelens.operators.anomaly import ensemble, lof, prepare
+from wirelens.operators.anomaly import ensemble, lof, prepare, svm
 from wirelens.operators.features import FEATURE_NAMES
 from wirelens.session import scratch_table
 
@@ -36,6 +36,13 @@ def test_planted_outliers_are_found(spark, planted):
         assert r["agreement"] in ("2 of 3", "3 of 3")
 
 
+def test_forest_and_factor_rank_planted_outliers_first(spark, planted):
+    rows = ensemble.model_scores(windows(spark, planted), sensitivity=0.1).collect()
+    for score in ("forest_score", "lof"):
+        order = [r["w"] for r in sorted(rows, key=lambda r: r[score])]
+        assert {10, 15} in (set(order[:2]), set(order[-2:])), score
+
+
 def test_few_windows_give_nothing(spark, planted):
     assert ensemble.detect_anomalies(windows(spark, planted[:4])).count() == 0
 
@@ -104,3 +111,41 @@ def test_votes_and_normalised_score(spark):
     assert [votes[19][m] for m in ensemble.MODELS] == [1, 1, 1]
     assert votes[20]["anomaly_score"] == pytest.approx(1.0)
     assert votes[0]["anomaly_score"] == pytest.approx(0.0, abs=1e-8)
+
+
+def test_one_class_model_does_not_depend_on_chunks(spark, monkeypatch):
+    x = np.random.RandomState(7).normal(0.0, 1.0, (120, 18))
+    table = scratch_table(windows(spark, x), "svm-windows")
+    found = []
+    for chunk_rows in (1000, 25):
+        monkeypatch.setattr(prepare, "CHUNK_ROWS", chunk_rows)
+        stats = scratch_table(prepare.feature_stats(table), "svm-stats")
+        rows = scratch_table(prepare.scaled_rows(table, stats), "svm-rows")
+        model = scratch_table(svm.train(rows, 0.1), "svm-model")
+        scores = svm.score_svm(rows, model, prepare.chunk_counts(stats)).orderBy("w").collect()
+        found.append([r["svm_score"] for r in scores])
+    assert len(found[0]) == 120
+    np.testing.assert_allclose(found[0], found[1], rtol=1e-12)
+
+
+def test_one_class_model_is_near_the_exact_dual(spark):
+    """Against the dual solved to the end: minimise a'Ka over sum(a) = 1, 0 <= a <= 1 / (nu n)."""
+    x = np.random.RandomState(3).normal(0.0, 1.0, (60, 18))
+    nu, n = 0.1, len(x)
+    scaled = (x - x.mean(axis=0)) / x.std(axis=0)
+    kernel = np.exp(-((scaled[:, None] - scaled[None]) ** 2).sum(axis=2) / 18)
+    a = np.full(n, 1 / n)
+    for step in range(20_000):
+        slope = kernel @ a
+        low = np.argsort(slope)[: int(np.ceil(nu * n))]
+        target = np.zeros(n)
+        target[low] = 1 / len(low)
+        a += (target - a) * 2 / (step + 2)
+    exact = kernel @ a
+    table = scratch_table(windows(spark, x), "svm-windows")
+    stats = scratch_table(prepare.feature_stats(table), "svm-stats")
+    rows = scratch_table(prepare.scaled_rows(table, stats), "svm-rows")
+    model = scratch_table(svm.train(rows, nu), "svm-model")
+    got = [r["svm_score"] for r in svm.score_svm(rows, model, prepare.chunk_counts(stats)).orderBy("w").collect()]
+    assert np.corrcoef(exact, got)[0, 1] > 0.5
+    assert len(set(np.argsort(exact)[:6]) & set(np.argsort(got)[:12])) >= 3

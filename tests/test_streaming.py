@@ -82,6 +82,58 @@ def test_late_rows_are_dropped_and_counted(spark, tmp_path):
     assert sources.late_rows(query) == 1
 
 
+def test_late_rows_add_up_over_reports():
+    from types import SimpleNamespace as Report
+
+    seen = sources.LateRows()
+    seen.onQueryStarted(Report(id="q"))
+    for dropped in (2, 0, 5):
+        operator = Report(numRowsDroppedByWatermark=dropped)
+        seen.onQueryProgress(Report(progress=Report(id="q", stateOperators=[operator])))
+    assert seen.dropped == {"q": 7}
+
+
+class State:
+    """What the stateful functions use of a key's state."""
+
+    def __init__(self, watermark_us=0, timed_out=False, value=None):
+        self.watermark_us, self.hasTimedOut, self.value, self.due = watermark_us, timed_out, value, None
+
+    exists = property(lambda self: self.value is not None)
+    get = property(lambda self: self.value)
+
+    def update(self, value):
+        self.value = value
+
+    def remove(self):
+        self.value = None
+
+    def setTimeoutTimestamp(self, due):
+        self.due = due
+
+    def getCurrentWatermarkMs(self):
+        return self.watermark_us // 1000
+
+
+def test_state_goes_when_nothing_waits():
+    minute, key = stateful.WINDOW_US, ("c", "a", "b")
+    state = State(10 * minute, value=([0, 1], False))
+    assert list(stateful._burst(key, [], state, 5, minute)) == [] and not state.exists
+    state = State(10 * minute, value=([0, 1, 2], False))
+    assert len(list(stateful._burst(key, [], state, 3, minute))) == 1
+    assert state.get[1] and state.due * 1000 >= stateful.IDLE_US
+    state.hasTimedOut = True
+    assert list(stateful._burst(key, [], state, 3, minute)) == [] and not state.exists
+    state = State(10 * minute, value=([0, 1], ["x", "y"]))
+    assert len(list(stateful._scan(key, [], state, 1, minute))) == 1 and not state.exists
+    state = State(10 * minute, value=([1, 2], 0, 0, 0, 0.0, 0.0))
+    list(stateful._beacon(key, [], state, 5, 1.0))
+    assert state.get[1] == 2 and state.due * 1000 >= stateful.IDLE_US
+    state.hasTimedOut = True
+    list(stateful._beacon(key, [], state, 5, 1.0))
+    assert not state.exists
+
+
 def test_stop_and_go_on(spark, tmp_path):
     land(spark, tmp_path / "in", [[packet(0, 1.0)]])
     stream = sources.packet_stream(spark, str(tmp_path / "in"))

@@ -100,3 +100,23 @@ def test_gap_statistics_of_short_keys(spark):
     got = {r["k"]: r for r in gap_statistics(spark.createDataFrame(rows, "k string, ts_us bigint"), ["k"]).collect()}
     assert got["one"]["mean_gap_us"] is None and got["one"]["std_gap_us"] is None
     assert got["two"]["mean_gap_us"] == 4 and got["two"]["std_gap_us"] is None
+
+
+@pytest.mark.parametrize("last,hit", [(MIN, True), (MIN + 1, False)])
+def test_first_burst_is_inclusive_at_sixty_seconds(spark, last, hit):
+    times = [0, 0, 30_000_000, last, 5 * MIN]
+    events = spark.createDataFrame([("k", t) for t in times], "k string, ts_us bigint")
+    got = [tuple(r) for r in first_burst(events, ["k"], 4, MIN).collect()]
+    assert got == ([("k", 4, 0, last)] if hit else [])
+
+
+def test_first_burst_of_ties_counts_them_all(spark):
+    events = spark.createDataFrame([("k", 7)] * 50 + [("k", 9)] * 3 + [("k", 1)], "k string, ts_us bigint")
+    assert [tuple(r) for r in first_burst(events, ["k"], 5, MIN).collect()] == [("k", 54, 1, 9)]
+
+
+def test_first_burst_of_many_events_in_one_window(spark):
+    """Half a million events of one source in a minute; a frame over all of them would take hours."""
+    events = spark.range(500_000).selectExpr("'k' as k", "id * 100 as ts_us")
+    (row,) = first_burst(events, ["k"], 101, MIN).collect()
+    assert tuple(row) == ("k", 500_000, 0, 49_999_900)

@@ -1,9 +1,10 @@
 """One-class SVM with an RBF kernel, approximately.
 
-The kernel is replaced by random Fourier features (Rahimi and Recht, 2007). Every chunk of a capture
-solves the dual by conditional gradient: among its rows, the share `nu` with the lowest scores is
-what the weights move towards. Chunk solutions are averaged (Zhang, Duchi and Wainwright, 2013), and
-the offset is the exact nu-quantile of the scores of all rows. No row is left out.
+The kernel is replaced by random Fourier features (Rahimi and Recht, 2007). A capture's model is fitted on
+about `SAMPLE_ROWS` of its windows (all, if it has no more), those of smallest hash, by conditional
+gradient on the dual: the share `nu` of rows with the lowest scores is what the weights move towards. All
+rows are scored, and the offset is the exact nu-quantile of all scores. How rows are dealt into chunks
+doesn't change the model.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ from wirelens.operators.features import FEATURE_NAMES
 COMPONENTS = 128
 STEPS = 200
 SEED = 42
+SAMPLE_ROWS = 20_000
 
 
 def fourier(x: np.ndarray, gamma: float, seed: int = SEED) -> np.ndarray:
@@ -50,19 +52,17 @@ def _solve(pdf: pd.DataFrame, nu: float) -> pd.DataFrame:
         {
             "capture_id": pdf["capture_id"].iloc[0],
             "component": np.arange(COMPONENTS, dtype=np.int32),
-            "weighted": weights * len(z),
-            "rows": len(z),
+            "weight": weights,
         }
     )
 
 
-def train(rows: DataFrame, nu: float) -> DataFrame:
-    """(capture_id, component, weight): chunk solutions averaged by their number of rows."""
-    solved = rows.groupBy("capture_id", "chunk").applyInPandas(
-        partial(_solve, nu=nu), "capture_id string, component int, weighted double, rows bigint"
-    )
-    return solved.groupBy("capture_id", "component").agg(
-        (F.sum("weighted") / F.sum("rows")).alias("weight")
+def train(rows: DataFrame, nu: float, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+    """(capture_id, component, weight): one solution per capture."""
+    place = F.pmod(F.xxhash64("w", F.lit(SEED)), F.lit(1 << 40)) / F.lit(float(1 << 40))
+    picked = rows.filter(place < F.lit(float(sample_rows)) / F.col("n"))
+    return picked.groupBy("capture_id").applyInPandas(
+        partial(_solve, nu=nu), "capture_id string, component int, weight double"
     )
 
 

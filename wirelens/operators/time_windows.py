@@ -31,7 +31,9 @@ def first_burst(
 
     Returns keys, `burst_n`, `first_us`, `last_us`. A slot as long as the window can hold the first
     hit only if it and its successor together reach the threshold, and no slot after the first one
-    that reaches it alone can. These candidates are few; only their events are ordered.
+    that reaches it alone can. These candidates are few; only their events are ordered. An event is a
+    hit if the one `threshold - 1` places after it lies in its window, so each row looks at one other
+    row; of events at one time, `threshold` are as good as more. The hit's window is added up afterwards.
     """
     counted = events.groupBy(*keys, slot(window_us, ts).alias("slot")).agg(
         F.count("*").alias("slot_n")
@@ -60,16 +62,21 @@ def first_burst(
         .groupBy(*keys, "home", "slot", F.col(ts).alias("t"))
         .agg(F.count("*").alias("c"))
     )
-    ahead = Window.partitionBy(*keys, "home").orderBy("t").rangeBetween(0, window_us)
-    return (
-        ticks.withColumns({"burst_n": F.sum("c").over(ahead), "end": F.max("t").over(ahead)})
-        .filter((F.col("slot") == F.col("home")) & (F.col("burst_n") >= threshold))
+    single = F.explode(F.array_repeat(F.lit(1), F.least("c", F.lit(threshold)).cast("int")))
+    reaches = F.lead("t", threshold - 1).over(Window.partitionBy(*keys, "home").orderBy("t"))
+    hits = (
+        ticks.select(*keys, "home", "slot", "t", single.alias("one"))
+        .withColumn("reaches", reaches)
+        .filter((F.col("slot") == F.col("home")) & (F.col("reaches") <= F.col("t") + window_us))
         .groupBy(*keys)
-        .agg(
-            F.min_by("burst_n", "t").alias("burst_n"),
-            F.min("t").alias("first_us"),
-            F.min_by("end", "t").alias("last_us"),
-        )
+        .agg(F.min("t").alias("first_us"), F.min("home").alias("home"))
+    )
+    return (
+        ticks.join(hits, [*keys, "home"])
+        .filter(F.col("t").between(F.col("first_us"), F.col("first_us") + window_us))
+        .groupBy(*keys, "first_us")
+        .agg(F.sum("c").alias("burst_n"), F.max("t").alias("last_us"))
+        .select(*keys, "burst_n", "first_us", "last_us")
     )
 
 

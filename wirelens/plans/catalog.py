@@ -15,7 +15,7 @@ from wirelens.operators.flows import build_flows
 from wirelens.operators.time_windows import first_burst, gap_statistics
 from wirelens.plans import rules
 from wirelens.plans.traffic import MINUTE_US, Traffic
-from wirelens.session import adopt, scratch_table, spread
+from wirelens.session import ON_RELEASE, adopt, scratch_table, spread
 from wirelens.sources import derived
 from wirelens.sources.frames import decode_frames
 from wirelens.streaming import aggregates, stateful
@@ -73,6 +73,7 @@ def traffic_of(spark: SparkSession, sf_dir: str, with_logs: bool = True) -> Traf
 
 
 _shared: dict[tuple, object] = {}
+ON_RELEASE.append(_shared.clear)
 
 
 def _once(name: str, spark: SparkSession, sf_dir: str, make):
@@ -269,7 +270,7 @@ def pair_gaps(spark, sf_dir):
         packets_of(spark, sf_dir).select("capture_id", "src_ip", "dst_ip", "ts_us"),
         ["capture_id", "src_ip", "dst_ip"],
     )
-    return pairs.filter(F.col("n") > 2).select(
+    return pairs.select(
         "capture_id",
         "src_ip",
         "dst_ip",

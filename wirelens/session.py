@@ -11,6 +11,7 @@ first; a larger lookup is joined by shuffle.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -58,9 +59,11 @@ def adopt(spark: SparkSession) -> SparkSession:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder of the cluster; a private one only where none is configured (tests)."""
+    """The shared folder of the cluster; a private one only on a local master without one (tests)."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="wirelens-"))
         root = spark.sparkContext.getCheckpointDir()
     return root
@@ -71,8 +74,14 @@ def scratch_folder(spark: SparkSession) -> str:
     return f"{scratch_root(spark)}/wirelens/{spark.sparkContext.applicationId}"
 
 
+#: Called when intermediate tables go; whoever keeps DataFrames over them forgets these.
+ON_RELEASE: list = []
+
+
 def release_scratch(spark: SparkSession) -> None:
     """Delete this application's intermediate tables, once its results are written."""
+    for forget in ON_RELEASE:
+        forget()
     path = spark._jvm.org.apache.hadoop.fs.Path(scratch_folder(spark))
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 

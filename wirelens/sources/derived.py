@@ -122,7 +122,7 @@ def access_lines_from_events(ev: DataFrame, capture: str = "'events'") -> DataFr
 def frames_from_packets(packets: DataFrame) -> DataFrame:
     """Ethernet frames (capture_id, seq, ts_us, link, frame) with the packets' headers.
 
-    Payloads are zeros, as many as `payload_size` up to 200 bytes.
+    Payloads are zeros, as many as `payload_size`.
     """
     hex_ip = "upper(array_join(transform(split({0}, '[.]'), o -> lpad(hex(cast(o as bigint)), 2, '0')), ''))"
     flags = " + ".join(
@@ -132,7 +132,7 @@ def frames_from_packets(packets: DataFrame) -> DataFrame:
     return (
         packets.selectExpr(
             "*",
-            "least(payload_size, 200) as body",
+            "payload_size as body",
             "case protocol when 'TCP' then 20 else 8 end as head",
             "lpad(hex(src_port), 4, '0') as sp",
             "lpad(hex(dst_port), 4, '0') as dp",

@@ -7,10 +7,11 @@ later than the watermark are dropped and counted (`late_rows`).
 from __future__ import annotations
 
 import uuid
+from collections import Counter
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from wirelens.schemas import PACKETS, with_packet_defaults
 from wirelens.session import scratch_folder
@@ -76,9 +77,32 @@ def stop_early(query: StreamingQuery) -> None:
 
 
 def late_rows(query: StreamingQuery) -> int:
-    """Rows dropped by the watermark so far, as far as progress reports are kept."""
+    """Rows dropped by the watermark, in the progress reports that the query still keeps.
+
+    A long-running query forgets old reports; `LateRows` counts from the start.
+    """
     return sum(
         operator["numRowsDroppedByWatermark"]
         for progress in query.recentProgress
         for operator in progress["stateOperators"]
     )
+
+
+class LateRows(StreamingQueryListener):
+    """Rows dropped by the watermark, by query id; add it with ``spark.streams.addListener``."""
+
+    def __init__(self):
+        self.dropped: Counter = Counter()
+
+    def onQueryStarted(self, event) -> None:
+        self.dropped[str(event.id)] += 0
+
+    def onQueryProgress(self, event) -> None:
+        for operator in event.progress.stateOperators:
+            self.dropped[str(event.progress.id)] += operator.numRowsDroppedByWatermark
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        pass

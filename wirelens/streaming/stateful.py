@@ -1,7 +1,9 @@
 """Streaming forms that need ordered state per key: bursts, greedy scans, beaconing.
 
 Events wait in the state of their key until the watermark says that nothing earlier can come; then
-they are taken in order. What waits is bounded by the window plus the allowed lateness.
+they are taken in order. What waits is bounded by the window plus the allowed lateness. The state of a
+key goes when nothing waits; what is remembered longer (that a source has fired, the gaps of a pair)
+goes after `IDLE_US` of event time without events, and the key then starts anew.
 """
 
 from __future__ import annotations
@@ -18,6 +20,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from wirelens.streaming.sources import LATENESS, timed
 
 WINDOW_US = 60_000_000
+IDLE_US = 24 * 3600 * 1_000_000
 
 
 def _arm(state: GroupState, due_us: int) -> None:
@@ -37,6 +40,10 @@ def _burst(key, batches, state: GroupState, threshold: int, window_us: int):
     waiting, done = state.get if state.exists else ([], False)
     times = np.sort(np.array(list(waiting) + _times(batches), dtype=np.int64))
     if done:
+        if state.hasTimedOut:
+            state.remove()
+        else:
+            _arm(state, _watermark_us(state) + IDLE_US)
         return
     settled = _watermark_us(state)
     ahead = np.searchsorted(times, times + window_us, side="right")
@@ -45,6 +52,7 @@ def _burst(key, batches, state: GroupState, threshold: int, window_us: int):
     if hits.size:
         i = int(hits[0])
         state.update(([], True))
+        _arm(state, int(times[-1]) + IDLE_US)
         yield pd.DataFrame(
             {
                 "capture_id": [key[0]],
@@ -56,9 +64,11 @@ def _burst(key, batches, state: GroupState, threshold: int, window_us: int):
         )
         return
     left = times[~decided].tolist()
-    state.update((left, False))
     if left:
+        state.update((left, False))
         _arm(state, left[0] + window_us)
+    elif state.exists:
+        state.remove()
 
 
 def burst_stream(
@@ -94,9 +104,11 @@ def _scan(key, batches, state: GroupState, more_than: int, window_us: int):
         if distinct > more_than:
             found.append((*key, distinct, int(times[at]), int(times[end - 1])))
         at = end
-    state.update((times[at:].tolist(), items[at:]))
     if at < len(times):
+        state.update((times[at:].tolist(), items[at:]))
         _arm(state, int(times[at]) + window_us)
+    elif state.exists:
+        state.remove()
     if found:
         yield pd.DataFrame(
             found, columns=["capture_id", "a", "b", "items", "open_us", "close_us"]
@@ -151,9 +163,11 @@ def _beacon(key, batches, state: GroupState, above: int, deviation_us: float):
             squares += delta * (gap - mean)
         last = t
     left = times[~settled].tolist()
+    if not len(times) and state.hasTimedOut:
+        state.remove()
+        return
     state.update((left, n, first, last, mean, squares))
-    if left:
-        _arm(state, left[0])
+    _arm(state, left[0] if left else last + IDLE_US)
     if settled.any() and n > above and n > 2:
         deviation = (squares / (n - 2)) ** 0.5
         if deviation < deviation_us:
