@@ -64,7 +64,7 @@ def capture_summary(traffic: Traffic, approximate: bool = False) -> DataFrame:
             F.min_by("us0", "seq0").alias("first_us"),
             F.max_by("us1", "seq1").alias("last_us"),
         )
-        protocols = protocol_distribution(packets)
+        protocols = pairs.select("capture_id", "protocol").distinct()
     names = protocols.groupBy("capture_id").agg(
         F.array_join(F.array_sort(F.collect_set("protocol")), ", ").alias("protocols")
     )

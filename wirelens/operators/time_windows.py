@@ -59,6 +59,7 @@ def first_burst(
     ticks = (
         events.withColumn("slot", slot(window_us, ts))
         .join(wanted, [*keys, "slot"])
+        .repartition(*keys, "home")  # serves the grouping and the window; few events share a time
         .groupBy(*keys, "home", "slot", F.col(ts).alias("t"))
         .agg(F.count("*").alias("c"))
     )
@@ -92,9 +93,9 @@ def gap_statistics(
     summaries. The mean is the span over the number of gaps, so squared deviations are summed
     around it without cancellation. Equal times are gaps of zero.
     """
-    ticks = events.groupBy(*keys, slot(slot_us, ts).alias("slot"), F.col(ts).alias("t")).agg(
-        F.count("*").alias("c")
-    )
+    placed = events.select(*keys, slot(slot_us, ts).alias("slot"), F.col(ts).alias("t"))
+    # One exchange serves the ticks, the window and the slots; few events share a time.
+    ticks = placed.repartition(*keys, "slot").groupBy(*keys, "slot", "t").agg(F.count("*").alias("c"))
     inside = Window.partitionBy(*keys, "slot").orderBy("t")
     slots = (
         ticks.withColumn("gap", F.col("t") - F.lag("t").over(inside))

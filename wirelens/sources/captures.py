@@ -60,8 +60,9 @@ class Capture:
             rest = self.file.read(20)
             if len(rest) < 20:
                 raise ValueError("truncated header")
-            link = struct.unpack(order + "HHiIII", rest)[5] & 0x0FFFFFFF
-            return {"kind": "pcap", "order": order, "per_us": per_us, "link": link, "at": 24}
+            _, _, _, _, snap, link = struct.unpack(order + "HHiIII", rest)
+            link, most = link & 0x0FFFFFFF, max(snap, LONGEST_RECORD)
+            return {"kind": "pcap", "order": order, "per_us": per_us, "link": link, "most": most, "at": 24}
         if magic == PCAPNG_MAGIC:
             return {"kind": "pcapng", "order": "<", "interfaces": [], "at": 0}
         raise ValueError("not a capture file")
@@ -83,6 +84,8 @@ class Capture:
         if len(head) < 16:
             return None
         sec, frac, captured, _ = struct.unpack(state["order"] + "IIII", head)
+        if captured > state["most"]:
+            raise ValueError("broken record length")
         at = state["at"]
         state["at"] = at + 16 + captured
         ts_us = sec * 1_000_000 + frac // state["per_us"]
@@ -113,6 +116,8 @@ class Capture:
             if len(body) < 20:
                 return None
             which, high, low, captured, _ = struct.unpack(order + "IIIII", body)
+            if captured > length - 32:
+                raise ValueError("broken record length")
             link, units = state["interfaces"][which]
             ts_us = (high << 32 | low) * 1_000_000 // units
             return Record(at, at + 28, captured, ts_us, link)
@@ -161,6 +166,8 @@ def _parts(path: str, part_bytes: int, errors: str) -> list[tuple]:
 
 
 BATCH_BYTES = 8 << 20
+#: Records may be longer than the header's snapshot length, but not than this.
+LONGEST_RECORD = 1 << 18
 
 
 def _packets(
