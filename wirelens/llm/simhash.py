@@ -35,8 +35,8 @@ from wirelens.session import broadcast_table, measured_table, scratch_table
 
 BITS = 64
 SEED = 42
-#: Fingerprints whose variants are made at a time, and bytes of variants that one task compares.
-EMITTED = 1024
+#: Variants made at a time, and bytes of variants that one task compares.
+EMITTED = 1 << 20
 #: Similar documents: shingles of a signature, its tables and their bits, and the bits that may differ.
 SIGNED_SHINGLE, TABLES, TABLE_BITS, TABLE_RADIUS = 2, 16, 32, 2
 TASK_BYTES = 16_000_000
@@ -113,13 +113,14 @@ def links(nodes: DataFrame, n: int, radius: int = 3, bits: int = BITS) -> DataFr
     codes = [np.searchsorted(masks, side).astype(np.uint16) for side in sides]
     per_node = sum(map(len, sides)) / 2
     parts = max(64, int(n * per_node * 10 // TASK_BYTES))
-    spread = max(16, n // (8 * EMITTED))
+    spread = max(16, int(n * per_node) // (8 * EMITTED))
+    step = max(1, EMITTED // max(map(len, sides)))
 
     def emit(batches):
         for batch in batches:
             all_found = batch.column("fingerprint").to_numpy().view(np.uint64)
-            for first in range(0, len(all_found), EMITTED):
-                found = all_found[first : first + EMITTED]
+            for first in range(0, len(all_found), step):
+                found = all_found[first : first + step]
                 odd = np.bitwise_count(found) & 1
                 variants = np.concatenate(
                     [(found[odd == side][:, None] ^ sides[side]).ravel() for side in (0, 1)]
