@@ -163,7 +163,7 @@ def parse_file(content: bytes) -> Iterator[tuple[list, np.ndarray, np.ndarray]]:
 class _Words:
     """Ids of words from the tokenizers library, piece by piece."""
 
-    def __init__(self, splitter: ByteSplitter, limit: int = 150_000):
+    def __init__(self, splitter: ByteSplitter, limit: int = 350_000):
         self.splitter, self.limit = splitter, limit
         self.tokenize = splitter.tokenizer.model.tokenize
         self.letters = dict(enumerate(byte_letters()))
