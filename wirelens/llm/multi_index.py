@@ -7,7 +7,7 @@ query vectors is compared with all vectors, and the traversal goes on as far as
 `target_recall` of their links. Vectors that meet in a cell are verified by their cosine in double
 precision.
 
-Bounds: codebooks are fitted on `SAMPLE_ROWS` vectors and the traversal is measured with `QUERY_ROWS`,
+Bounds: codebooks are fitted on about `SAMPLE_ROWS` vectors and the traversal is measured with `QUERY_ROWS`,
 both those of smallest hash; all vectors are indexed. Equal vectors of a label are one class with a
 number of copies. Cells with many vectors or visitors are dealt into blocks of about `BLOCK_ROWS`, and
 every block of vectors meets every block of visitors. A task gives counts and a spanning forest of links,
@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wirelens.llm.common import components
+from wirelens.llm.common import components, sampled
 from wirelens.session import measured_table, scratch_table
 
 SAMPLE_ROWS = 8_192
@@ -205,7 +205,8 @@ def near_duplicates(
 
 def _linked(classes: DataFrame, n: int, dims: int, threshold: float, target: float) -> DataFrame:
     """(label, unit, n_links, component) of every class."""
-    picked = classes.orderBy(F.xxhash64("unit", "label")).limit(SAMPLE_ROWS).select("cid", "label", "unit").toArrow()
+    sample = sampled(classes, n, SAMPLE_ROWS, "unit", "label")
+    picked = sample.orderBy(F.xxhash64("unit", "label")).select("cid", "label", "unit").toArrow()
     codes = int(np.clip(np.sqrt(n / CELL_ROWS), FEWEST_CODES, MOST_CODES))
     grid = Grid(_matrix(picked.column("unit"), dims), codes)
     visits = _measured_visits(classes, picked.slice(0, QUERY_ROWS), grid, dims, threshold, target)
