@@ -7,7 +7,7 @@ paths towards their host's. How strongly is learned from the data for each level
 than chance makes them differ, the prior weighs as `MOST_WEIGHT` documents. Evidence and the path's
 posterior add up as log odds; documents below even odds are rejected.
 
-The model is fitted on at most `SAMPLE_ROWS` labelled documents, those of smallest hash. Everything else,
+The model is fitted on about `SAMPLE_ROWS` labelled documents, those of smallest hash. Everything else,
 site shares and prior weights included, is over all documents by grouped aggregation. Text measures are
 computed in a task's stream, without a shuffle of texts.
 
@@ -23,6 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wirelens.llm.common import sampled
 from wirelens.session import broadcast_table, measured_table
 
 SAMPLE_ROWS = 20_000
@@ -126,17 +127,16 @@ def _evidence(text: Column, model: Model) -> Column:
     return score(F.coalesce(text, F.lit("")))
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
-    """The model of `labels` (doc_id, label) on the texts of `docs` (doc_id, text)."""
-    picked = labels.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
-    chosen, seen = measured_table(picked, "quality-sample")
+def fit(docs: DataFrame, labels: DataFrame, n_labels: int, sample_rows: int = SAMPLE_ROWS) -> Model:
+    """The model of `labels` (doc_id, label), one for each id, on the texts of `docs` (doc_id, text)."""
+    chosen, seen = measured_table(sampled(labels, n_labels, sample_rows, "doc_id"), "quality-sample")
     rows = (
         docs.join(broadcast_table(chosen, seen["n"]), "doc_id")
-        .select("label", _measured(F.col("text")).alias("x"), F.xxhash64("doc_id", "text").alias("order"))
-        .orderBy("order")
-        .limit(sample_rows)
-        .select("label", "x")
+        .select("doc_id", "label", _measured(F.col("text")).alias("x"))
+        .groupBy("doc_id")
+        .agg(F.min("label").alias("label"), F.min("x").alias("x"))
         .toPandas()
+        .sort_values("doc_id")
     )
     x = np.array(rows["x"].tolist(), float).reshape(len(rows), len(MEASURES))
     return Model(x, (rows["label"].to_numpy() >= 0.5).astype(float))
@@ -194,7 +194,7 @@ def judge(
     `labels` has `key` and `label`, 0 for bad and 1 for good.
     """
     named = labels.select(F.col(key).alias("doc_id"), F.col(label).cast("double").alias("label"))
-    named, _ = measured_table(
+    named, labelled = measured_table(
         named.where("doc_id is not null and label is not null").groupBy("doc_id").agg(F.avg("label").alias("label")),
         "quality-labels",
     )
@@ -206,7 +206,7 @@ def judge(
         site[0].alias("host"),
         site[1].alias("path"),
     )
-    model = fit(rows.select("doc_id", "text"), named, sample_rows)
+    model = fit(rows.select("doc_id", "text"), named, labelled["n"], sample_rows)
     scored = rows.withColumn("evidence", _evidence(F.col("text"), model))
     prior_odds = model.base if model.fitted else 0.0
     probability = 1 / (1 + F.exp(-(F.col("evidence") + prior_odds)))
