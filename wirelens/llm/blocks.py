@@ -35,7 +35,7 @@ def text_blocks(rows: DataFrame, text: str = "text", size: int = BLOCK_BYTES) ->
             row = {"block": [part << 32 | seq], "data": [sink.getvalue().to_pybytes()], "bytes": [have]}
             return pa.RecordBatch.from_pydict(row)
 
-        for batch, texts in chunks(batches, text, size):
+        for batch, texts in chunks(batches, text, size // 4):
             held.append(pa.RecordBatch.from_arrays([pa.concat_arrays([c]) for c in batch.columns], schema=batch.schema))
             have += sum(map(len, texts))
             if have >= size:

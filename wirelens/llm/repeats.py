@@ -180,10 +180,10 @@ class Block:
         within = ragged(np.zeros(len(count), np.int64), count)
         hit = np.repeat(mask, count) >> within.astype(np.uint64) & np.uint64(1) == 1
         starts = ragged(first, count)[hit]
-        change = np.zeros(len(self.buffer) + 1, np.int32)
-        change[: len(self.buffer)] += np.bincount(starts, minlength=len(self.buffer)).astype(np.int32)[: len(self.buffer)]
-        change -= np.bincount(starts + self.length, minlength=len(change)).astype(np.int32)
-        return np.cumsum(change[:-1]) > 0
+        change = np.zeros(len(self.buffer) + 1, np.int16)
+        change[starts] += 1  # a window is in one stretch, so no start comes twice
+        change[starts + self.length] -= 1
+        return np.cumsum(change[:-1], dtype=np.int16) > 0
 
 
 def shared_keys(rows: list[tuple[np.ndarray, np.ndarray]]) -> list[np.ndarray]:
@@ -357,14 +357,22 @@ def remove_repeats(
     return by_block(blocks, answers).applyInArrow(apply, schema)
 
 
+def _whole(buffer: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The spans without the characters that lie in them only in part, and the bytes they cover."""
+    padded = np.append(buffer, np.uint8(0))
+    for _ in range(3):  # a character has up to three bytes after its first
+        first = first + ((padded[first] & 0xC0 == 0x80) & (first < last))
+        last = last - ((padded[last] & 0xC0 == 0x80) & (first < last))
+    first, last = first[first < last], last[first < last]
+    change = np.zeros(len(buffer) + 1, np.int8)
+    change[first] += 1
+    np.subtract.at(change, last, 1)
+    return first, last, np.cumsum(change[:-1], dtype=np.int8) > 0
+
+
 def _kept(block: Block, gone: np.ndarray, whole_characters: bool) -> pa.Table:
     ends = np.cumsum(block.sizes)
     starts = ends - block.sizes
-    if whole_characters:
-        lead = np.flatnonzero(block.buffer & 0xC0 != 0x80)
-        if len(lead):
-            lead = np.union1d(lead, starts[block.sizes > 0])
-            gone = np.repeat(np.logical_and.reduceat(gone, lead), np.diff(np.append(lead, len(gone))))
     edge = np.zeros(len(gone) + 1, bool)
     edge[ends[ends < len(gone)]] = True
     begin = gone.copy()
@@ -372,9 +380,12 @@ def _kept(block: Block, gone: np.ndarray, whole_characters: bool) -> pa.Table:
     finish = gone.copy()
     finish[:-1] &= ~gone[1:] | edge[1:-1]
     first, last = np.flatnonzero(begin), np.flatnonzero(finish) + 1
+    if whole_characters:
+        first, last, gone = _whole(block.buffer, first, last)
     of_doc = np.searchsorted(ends, first, side="right")
     cuts = np.searchsorted(of_doc, np.arange(len(ends) + 1)).astype(np.int32)
-    stays = np.concatenate([[0], np.cumsum(~gone)])[np.concatenate([[0], ends]).astype(np.int64)].astype(np.int32)
+    lost = np.bincount(of_doc, last - first, len(ends)).astype(np.int64)
+    stays = np.concatenate([[0], np.cumsum(block.sizes - lost)]).astype(np.int32)
     kept = block.buffer[~gone]
 
     def spans(places: np.ndarray) -> pa.Array:
