@@ -279,5 +279,14 @@ def test_pieces_of_one_text(spark, monkeypatch, slice_bytes):
     random.shuffle(docs)
     df = spark.createDataFrame(docs, "doc_id long, text string").repartition(5)
     assert found_repeats(df) == brute_repeats(docs, 50)
-    for row in repeats.remove_repeats(df, whole_characters=True).collect():
-        bytes(row.kept).decode()
+    by_bytes = {(r.doc_id, r.row.copy): r for r in repeats.remove_repeats(df.withColumn("copy", df.text)).collect()}
+    for row in repeats.remove_repeats(df.withColumn("copy", df.text), whole_characters=True).collect():
+        gone = set()
+        for a, b in zip(by_bytes[row.doc_id, row.row.copy].starts, by_bytes[row.doc_id, row.row.copy].ends):
+            gone.update(range(a, b))
+        at, kept = 0, ""
+        for letter in row.row.copy or "":
+            size = len(letter.encode())
+            kept += "" if gone.issuperset(range(at, at + size)) else letter
+            at += size
+        assert bytes(row.kept).decode() == kept
