@@ -41,8 +41,9 @@ from wirelens.session import scratch_table
 K = 24
 #: Windows whose hashes are made at a time; places in such a slice fit 24 bits.
 SLICE = 1 << 19
-#: Keys that one task compares.
-TASK_KEYS = 1_000_000
+#: Keys that one task compares, and bytes of text in a block.
+TASK_KEYS = 500_000
+BLOCK_BYTES = 2 << 20
 
 
 def _hashes(buffer: np.ndarray, sizes: tuple[int, ...]) -> list[np.ndarray]:
@@ -333,7 +334,7 @@ def remove_repeats(
         F.col(key).cast("long").alias("doc_id"),
         text_of(text).alias("text"),
     )
-    blocks, total = text_blocks(rows)
+    blocks, total = text_blocks(rows, size=BLOCK_BYTES)
     parts = max(16, total // 13 // TASK_KEYS)
     shared = scratch_table(_asking(blocks, parts, length), "repeats-shared")
     masks = _answering(blocks, shared, parts, length)
