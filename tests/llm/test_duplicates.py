@@ -241,6 +241,15 @@ def texts_around_one_line():
     return texts
 
 
+def texts_with_repeated_lines():
+    """Pairs of the same shingles, of which each text repeats others."""
+    texts = []
+    for _ in range(40):
+        own, one, other = own_words(300), own_words(12), own_words(12)
+        texts += [" ".join(own + one * 60 + other), " ".join(own + one + other * 60)]
+    return texts
+
+
 def texts_of_one_stock():
     """Documents of passages of one stock: many share most with some and less with others."""
     stock = [own_words(40) for _ in range(13)]
@@ -248,7 +257,7 @@ def texts_of_one_stock():
     return [" ".join(sum((stock[k] for k in some), own_words(2))) for some in chosen]
 
 
-@pytest.mark.parametrize("make", [texts_around_one_line, texts_of_one_stock])
+@pytest.mark.parametrize("make", [texts_around_one_line, texts_with_repeated_lines, texts_of_one_stock])
 def test_no_similar_pair_is_lost(spark, make):
     random.seed(11)
     texts = make()
