@@ -250,6 +250,17 @@ def texts_with_repeated_lines():
     return texts
 
 
+def texts_with_edited_passages():
+    """Pairs of 0.8 and slightly more: a passage appended, or one replaced."""
+    texts = []
+    for _ in range(150):
+        own = own_words(204)
+        texts += [" ".join(own), " ".join(own + own_words(50))]
+        own = own_words(204)
+        texts += [" ".join(own), " ".join(own[:80] + own_words(18) + own[98:])]
+    return texts
+
+
 def texts_of_one_stock():
     """Documents of passages of one stock: many share most with some and less with others."""
     stock = [own_words(40) for _ in range(13)]
@@ -257,7 +268,7 @@ def texts_of_one_stock():
     return [" ".join(sum((stock[k] for k in some), own_words(2))) for some in chosen]
 
 
-@pytest.mark.parametrize("make", [texts_around_one_line, texts_with_repeated_lines, texts_of_one_stock])
+@pytest.mark.parametrize("make", [texts_around_one_line, texts_with_repeated_lines, texts_with_edited_passages, texts_of_one_stock])
 def test_no_similar_pair_is_lost(spark, make):
     random.seed(11)
     texts = make()
