@@ -205,6 +205,15 @@ def test_weights_from_known_mixtures():
 # --- quality --------------------------------------------------------------------------------
 
 
+def test_variety_is_of_whole_texts():
+    at = quality.MEASURES.index("variety")
+    varied, dull = [f"word{i}" for i in range(200)], ["same"] * 200
+    for parts in ((varied, dull, dull), (dull, dull, varied), (dull, varied, dull)):
+        assert quality.measures(" ".join(sum(parts, [])))[at] == pytest.approx((1 + 2 / 200) / 3)
+    assert quality.measures(" ".join(varied + dull[:50]))[at] == pytest.approx((1 + 151 / 200) / 2)
+    assert quality.measures(" ".join(varied[:40] + dull[:10]))[at] == pytest.approx(41 / 50)
+
+
 def test_query_10_on_held_out_labels(spark):
     folder = "/root/testdata/sf0.01"
     docs, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))

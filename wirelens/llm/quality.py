@@ -27,6 +27,8 @@ from wirelens.llm.common import sampled
 from wirelens.session import broadcast_table, measured_table
 
 SAMPLE_ROWS = 20_000
+#: Words among which distinct ones are counted; all of a text is covered, its last window ends with it.
+WINDOW = 200
 LEAST_WEIGHT, MOST_WEIGHT = 1.0, 10_000.0
 #: Evidence and log odds are kept within these bounds.
 STRONGEST = 12.0
@@ -60,7 +62,7 @@ def measures(text: str) -> list[float]:
     lines = [line for line in raw.split(b"\n") if line.strip()]
     same = sum(a == b for a, b in zip(words, words[1:]))
     same_of_two = sum(a == b for a, b in zip(words, words[2:]))
-    window = words[:200]
+    windows = [words[i : i + WINDOW] for i in range(0, n - WINDOW, WINDOW)] + [words[-WINDOW:]]
     return [
         upper / max(1, upper + lower),
         min(1.0, int(counts[ord("!")]) / n),
@@ -72,7 +74,7 @@ def measures(text: str) -> list[float]:
         float((lengths > 40).mean()),
         same / n,
         same_of_two / n,
-        len(set(window)) / len(window),
+        sum(len(set(window)) / len(window) for window in windows) / len(windows),
         1 - len(set(lines)) / len(lines),
         float(np.log10(1 + n)),
     ]
