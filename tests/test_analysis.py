@@ -2,7 +2,7 @@
 
 from pathlib import Path
 
-from conftest import log, packet
+from made_rows import log, packet
 from wirelens.operators import reports
 from wirelens.plans.analysis import analyse
 from wirelens.session import scratch_folder, scratch_root, scratch_table

@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from conftest import T0
+from made_rows import T0
 from wirelens.operators.anomaly import ensemble, lof, prepare, svm
 from wirelens.operators.features import FEATURE_NAMES
 from wirelens.session import scratch_table

@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import T0, packet
+from made_rows import T0, packet
 from wirelens.operators import classify, reports
 from wirelens.schemas import ALERTS, MEMBERS
 

@@ -2,7 +2,7 @@
 
 import pytest
 
-from conftest import T0, log, packet
+from made_rows import T0, log, packet
 from wirelens.operators import features, summaries
 
 

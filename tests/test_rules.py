@@ -4,7 +4,7 @@ import json
 
 import pytest
 
-from conftest import T0, log, packet
+from made_rows import T0, log, packet
 from wirelens.plans import rules
 
 

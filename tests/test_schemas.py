@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import T0, log, packet
+from made_rows import T0, log, packet
 from wirelens.functions import net, text
 from wirelens.schemas import (
     LOGS,

@@ -1,6 +1,6 @@
 """Streams fed file by file give what the batch operators give."""
 
-from conftest import T0, packet
+from made_rows import T0, packet
 from wirelens.operators.flows import build_flows
 from wirelens.plans import rules
 from wirelens.plans.traffic import Traffic
