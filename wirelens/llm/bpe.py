@@ -119,7 +119,7 @@ def frequent_words(docs: DataFrame, tokenizer: str, text: str = "text") -> DataF
 
         for _, texts in chunks(batches):
             for t in texts:
-                held.update(splitter.words(t))
+                held.update(t.split(" "))
             if len(held) > COUNTED_WORDS:
                 yield rows()
         if held:
@@ -184,7 +184,7 @@ def _coder(tokenizer: str, lexicon: str | None) -> PieceCoder:
         }
         return [[i for p in one for i in ids[p]] for one in pieces]
 
-    return PieceCoder(resolve, splitter.words)
+    return PieceCoder(resolve)
 
 
 class _Decoder:

@@ -75,20 +75,25 @@ def per_worker(kind: str, settings: tuple, make: Callable):
 
 
 class PieceCoder:
-    """Ids of text pieces, remembered per piece. `resolve` gives the id lists of new pieces.
+    """Ids of text pieces, remembered per piece. `resolve` gives the id lists of new pieces, or all their ids and
+    each piece's number of ids.
 
-    A piece that `resolve` answers with None can't stand alone: `split` then gives other pieces for the
-    texts that hold it. At most `limit` pieces are remembered between two calls; then it starts anew.
+    Pieces are what `first` cuts a text into, or else the words between single spaces, a text's first word with
+    `mark` in front.
+
+    A piece that `resolve` answers with None (a number of -1) can't stand alone: `split` then gives other pieces
+    for the texts that hold it. At most `limit` pieces are remembered between two calls; then it starts anew.
     """
 
     def __init__(
         self,
-        resolve: Callable[[list[str]], list],
-        first: Callable[[str], list[str]],
+        resolve: Callable[[list[str]], list | tuple[np.ndarray, np.ndarray]],
+        first: Callable[[str], list[str]] | None = None,
         split: Callable[[str], list[str]] | None = None,
         limit: int = 600_000,
+        mark: str = "",
     ):
-        self.resolve, self.first, self.split, self.limit = resolve, first, split, limit
+        self.resolve, self.first, self.split, self.limit, self.mark = resolve, first, split, limit, mark
         self._forget()
 
     def _forget(self) -> None:
@@ -109,44 +114,64 @@ class PieceCoder:
     def _learn(self) -> None:
         known = len(self.codes) - len(self.new)
         found = self.resolve(self.new)
-        ids = [one or () for one in found]
-        lengths = np.fromiter(map(len, ids), np.int64, len(ids))
-        total = self.used + int(lengths.sum())
+        if isinstance(found, list):
+            lengths = np.fromiter((-1 if one is None else len(one) for one in found), np.int64, len(found))
+            ids = np.fromiter(chain.from_iterable(one or () for one in found), np.uint32, int(lengths[lengths > 0].sum()))
+        else:
+            ids, lengths = found
+        sizes = np.maximum(lengths, 0)
+        total = self.used + len(ids)
         while total > len(self.flat):
             self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
         while len(self.codes) > len(self.starts):
             self.starts = np.concatenate([self.starts, np.zeros_like(self.starts)])
             self.lengths = np.concatenate([self.lengths, np.zeros_like(self.lengths)])
-        self.flat[self.used : total] = np.fromiter(chain.from_iterable(ids), np.uint32, total - self.used)
-        self.starts[known : len(self.codes)] = self.used + np.cumsum(lengths) - lengths
+        self.flat[self.used : total] = ids
+        self.starts[known : len(self.codes)] = self.used + np.cumsum(sizes) - sizes
         self.lengths[known : len(self.codes)] = lengths
-        for i, one in enumerate(found):
-            if one is None:
-                self.lengths[known + i] = -1
         self.used = total
         self.new.clear()
 
-    def _coded(self, pieces: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
-        counts = np.fromiter(map(len, pieces), np.int64, len(pieces))
-        codes = np.fromiter(
-            map(self.codes.__getitem__, chain.from_iterable(pieces)), np.int64, int(counts.sum())
-        )
+    def _codes(self, pieces: Iterable[str], n: int) -> np.ndarray:
+        codes = np.fromiter(map(self.codes.__getitem__, pieces), np.int64, n)
         if self.new:
             self._learn()
+        return codes
+
+    def _coded(self, pieces: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+        counts = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        return self._codes(chain.from_iterable(pieces), int(counts.sum())), counts
+
+    def _coded_words(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same for the words between spaces; Arrow tells equal words of all texts apart from others."""
+        if not texts:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        parted = pc.split_pattern(pa.array(texts, pa.string()), " ")
+        words, ends = parted.flatten(), parted.offsets.to_numpy()
+        counts = np.diff(ends)
+        told = words.dictionary_encode()
+        whole = pa.ListArray.from_arrays([0, len(told.dictionary)], told.dictionary)
+        known = pc.binary_join(whole, " ")[0].as_py().split(" ")  # much faster than one by one
+        codes = self._codes(known, len(known))[told.indices.to_numpy()]
+        if self.mark:
+            firsts = words.take(pa.array(ends[:-1])).to_pylist()
+            codes[ends[:-1]] = self._codes((self.mark + word for word in firsts), len(firsts))
         return codes, counts
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of all texts in one array, and the number of ids of each text."""
         if len(self.codes) > self.limit:
             self._forget()
-        pieces = [self.first(t) for t in texts]
-        codes, counts = self._coded(pieces)
+        codes, counts = self._coded([self.first(t) for t in texts]) if self.first else self._coded_words(texts)
         lengths = self.lengths[codes]
         if self.split and (lengths < 0).any():
             ends = np.cumsum(counts)
-            for i in np.unique(np.searchsorted(ends, np.flatnonzero(lengths < 0), side="right")):
-                pieces[i] = self.split(texts[i])
-            codes, counts = self._coded(pieces)
+            parts = np.split(codes, ends[:-1])
+            again = np.unique(np.searchsorted(ends, np.flatnonzero(lengths < 0), side="right"))
+            found, sizes = self._coded([self.split(texts[i]) for i in again])
+            for i, part in zip(again, np.split(found, np.cumsum(sizes)[:-1])):
+                parts[i], counts[i] = part, len(part)
+            codes = np.concatenate(parts)
             lengths = self.lengths[codes]
         ids = self.flat[ragged(self.starts[codes], lengths)]
         ends = np.concatenate([[0], np.cumsum(lengths)])[np.cumsum(np.concatenate([[0], counts]))]

@@ -68,10 +68,12 @@ def _around(names) -> re.Pattern | None:
 class Splitter:
     """Pieces of a text; strings of special tokens are pieces of their own.
 
-    `words` cuts a text at its spaces, which is much faster than the patterns; what stands between
-    spaces is split once and remembered by the caller.
+    Callers cut a text at its spaces first, which is much faster than the patterns; what stands between
+    spaces is split once and remembered. `mark` goes in front of a text's first such word.
     """
 
+    mark = ""
+
     def __init__(self, tokenizer: Tokenizer):
         self.tokenizer = tokenizer
         self.special = specials(tokenizer)
@@ -93,7 +95,7 @@ class Splitter:
 class ByteSplitter(Splitter):
     """Pieces as they stand in the text. A piece may begin with the space in front of it.
 
-    Among `words`, the text's first is marked by a space. A word that is empty, or begins or ends with
+    Among words between spaces, the text's first is marked by a space. A word that is empty, or begins or ends with
     white space, says that the text has several spaces in a row; such a text is split as a whole, into
     pieces marked by two spaces.
     """
@@ -104,16 +106,13 @@ class ByteSplitter(Splitter):
         cuts = self.tokenizer.pre_tokenizer.pre_tokenize_str(text)
         return [text[a:b] for _, (a, b) in cuts]
 
-    def words(self, text: str) -> list[str]:
-        out = text.split(" ")
-        out[0] = " " + out[0]
-        return out
+    mark = " "
 
     def whole(self, text: str) -> list[str]:
         return ["  " + piece for piece in self.split(text)]
 
     def pieces_of(self, word: str) -> list[str] | None:
-        """The pieces that stand for one of `words` or `whole`; None for a word that can't stand alone."""
+        """The pieces that stand for a word between spaces or one of `whole`; None for a word that can't stand alone."""
         if word.startswith("  "):
             return [word[2:]]
         first = word.startswith(" ")
@@ -138,6 +137,3 @@ class WordSplitter(Splitter):
                 return WORD_LEVEL.findall(low)
         low = self.tokenizer.normalizer.normalize_str(text)
         return [low[a:b] for _, (a, b) in self.tokenizer.pre_tokenizer.pre_tokenize_str(low)]
-
-    def words(self, text: str) -> list[str]:
-        return text.split(" ")

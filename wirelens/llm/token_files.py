@@ -1,7 +1,7 @@
 """Token ids in binary files, packed with word-aligned Simple-8b coding.
 
 `write_token_files` orders documents by id over the cluster; each task encodes its range and writes
-files of at most about `file_ids` ids to the shared folder. `read_token_files` reads them back.
+files that end with the document that fills `file_ids` ids to the shared folder. `read_token_files` reads them back.
 
 A file holds its documents' ids and lengths, then blocks of `BLOCK` ids. A block is a run of 64-bit
 words: 4 bits of selector and 60 bits of ids, 1 to 60 to a word. Selector 1 is a run of 120 zeros. An id
@@ -10,7 +10,7 @@ escapes. The offsets of every block's words are stored, so that blocks decode on
 words of one selector decode in one numpy operation.
 
 Null texts count as empty (only the end id is written); a null document id comes first and is kept.
-Repeated rows are all written. An empty table gives no files and no rows.
+Repeated rows are all written; rows of one id, or without one, are dealt out by their text. An empty table gives no files and no rows.
 """
 
 from __future__ import annotations
@@ -18,7 +18,6 @@ from __future__ import annotations
 import gc
 import os
 import uuid
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wirelens.llm.common import PieceCoder, chunks, per_worker, text_of
-from wirelens.llm.pieces import ByteSplitter, byte_letters, load
+from wirelens.llm.pieces import RARE, ByteSplitter, byte_letters, load
 from wirelens.session import broadcast_table, measured_table, scratch_folder
 
 # Ids per word and bits per id of selectors 2 to 15.
@@ -39,6 +38,8 @@ ESCAPE, ZEROS = 0, 1
 MAGIC = b"SIMPLE8B"
 BLOCK = 1 << 17
 FILE_IDS = 2_000_000
+#: The letter that stands for a space.
+SPACE = byte_letters()[ord(" ")]
 
 
 def _selectors(ids: np.ndarray) -> np.ndarray:
@@ -161,43 +162,38 @@ def parse_file(content: bytes) -> Iterator[tuple[list, np.ndarray, np.ndarray]]:
 
 
 class _Words:
-    """Ids of words from the tokenizers library, piece by piece."""
+    """Ids of words from the tokenizers library, piece by piece; words share their pieces."""
 
     def __init__(self, splitter: ByteSplitter, limit: int = 350_000):
-        self.splitter, self.limit = splitter, limit
+        self.splitter = splitter
         self.tokenize = splitter.tokenizer.model.tokenize
         self.letters = dict(enumerate(byte_letters()))
-        self.known: dict[str, array] = {}
-
-    def ids(self, words: list[str]) -> list:
-        if len(self.known) > self.limit:
-            self.known.clear()
-        out = []
-        for word in words:
-            pieces = self.splitter.pieces_of(word)
-            if pieces is None:
-                out.append(None)
-            elif len(pieces) == 1:
-                out.append(self.piece(pieces[0]))
-            else:
-                out.append([i for piece in pieces for i in self.piece(piece)])
-        return out
+        self.pieces = PieceCoder(lambda pieces: list(map(self.piece, pieces)), self.pieces_of, limit=limit)
+
+    def pieces_of(self, word: str) -> list[str]:
+        if word.isalpha() and (word.isascii() or not RARE.search(word)):
+            return [" " + word]
+        return self.splitter.pieces_of(word) or []
+
+    def ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        ids, lengths = self.pieces.encode(words)
+        for i in np.flatnonzero(lengths == 0):
+            lengths[i] = 0 if self.splitter.pieces_of(words[i]) == [] else -1
+        return ids, lengths
 
-    def piece(self, piece: str) -> array:
-        ids = self.known.get(piece)
-        if ids is None:
-            if piece in self.splitter.special:
-                ids = array("I", [self.splitter.special[piece]])
-            else:
-                spelled = piece.encode().decode("latin-1").translate(self.letters)
-                ids = array("I", [token.id for token in self.tokenize(spelled)])
-            self.known[piece] = ids
-        return ids
+    def piece(self, piece: str) -> list[int]:
+        if piece in self.splitter.special:
+            return [self.splitter.special[piece]]
+        if piece.isascii() and piece[1:].isalnum():
+            spelled = SPACE + piece[1:] if piece[0] == " " else piece.translate(self.letters)
+        else:
+            spelled = piece.encode().decode("latin-1").translate(self.letters)
+        return [token.id for token in self.tokenize(spelled)]
 
 
 def _coder(tokenizer: str) -> PieceCoder:
     splitter = ByteSplitter(load(tokenizer))
-    return PieceCoder(_Words(splitter).ids, splitter.words, splitter.whole)
+    return PieceCoder(_Words(splitter).ids, split=splitter.whole, mark=splitter.mark)
 
 
 def _store(folder: str):
@@ -246,20 +242,28 @@ def write_token_files(
 
         for batch, texts in chunks(batches):
             found, counts = coder.encode(texts)
-            ends = np.cumsum(counts)
-            lengths.append(counts + 1)
-            ids.append(np.insert(found, ends, end_id))
-            names += batch.column("doc_id").to_pylist()
-            held += len(ids[-1])
-            if held >= file_ids:
-                yield flush()
+            found = np.insert(found, np.cumsum(counts), end_id)
+            docs, sizes, done = batch.column("doc_id").to_pylist(), counts + 1, np.cumsum(counts + 1)
+            first = 0
+            while first < len(docs):  # whole documents, until a file is full
+                before = int(done[first - 1]) if first else 0
+                last = min(len(docs), int(np.searchsorted(done, before + file_ids - held)) + 1)
+                lengths.append(sizes[first:last])
+                ids.append(found[before : done[last - 1]])
+                names += docs[first:last]
+                held += len(ids[-1])
+                first = last
+                if held >= file_ids:
+                    yield flush()
         if names:
             yield flush()
 
     ordered = (
         docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_of(text).alias("text"))
-        .repartitionByRange("doc_id")
-        .sortWithinPartitions("doc_id")
+        .withColumn("spread", F.xxhash64("text"))
+        .repartitionByRange("doc_id", "spread")
+        .sortWithinPartitions("doc_id", "spread")
+        .drop("spread")
     )
     files = ordered.mapInArrow(write, "file string, part long, seq long, n_docs long, n_ids long")
     table, seen = measured_table(files, "token-files")
