@@ -21,11 +21,12 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of copies and near copies (five-word shingles, 0.8 or more) the smallest id.
+    """Of each group of documents linked by SimHashes of three-word shingles, up to three bits apart, the smallest id.
 
-    Rows without an id are in no group; rows that repeat an id go or stay together.
+    Rows without an id are in no group and stay; rows that repeat an id go or stay together. Texts without words
+    are copies of each other. An empty table stays empty; other columns pass as they are.
     """
-    groups = simhash.similar_documents(docs)
+    groups = simhash.near_duplicates(simhash.fingerprints(docs, shingle=3), radius=3)
     dropped, seen = measured_table(groups.where("doc_id != component").select("doc_id").distinct(), "similar")
     return docs.join(broadcast_table(dropped, seen["n"]), "doc_id", "left_anti").select(docs.columns)
 
