@@ -201,89 +201,6 @@ def test_odd_texts_are_hashed(odd):
     assert simhash.near_duplicates(simhash.fingerprints(odd.limit(0))).count() == 0
 
 
-def test_similar_documents_as_by_comparing_all(spark):
-    random.seed(7)
-    vocabulary = ["".join(random.choice("abcdefghij") for _ in range(5)) for _ in range(900)]
-    texts = []
-    for _ in range(25):
-        words = random.choices(vocabulary, k=random.randint(60, 200))
-        texts.append(" ".join(words))
-        for _ in range(4):
-            near = list(words)
-            for at in random.sample(range(len(near)), max(1, len(near) // 70)):
-                near[at] = random.choice(vocabulary)
-            texts.append(" ".join(near))
-    texts += [texts[0], "", " ", "few words", "few words"]
-    rows = spark.createDataFrame(list(enumerate(texts)) + [(None, texts[0])], "doc_id long, text string")
-    found = {r.doc_id: r.component for r in simhash.similar_documents(rows).collect()}
-    sets = [set(simhash._shingle_set(t, 5).tolist()) for t in texts]
-    groups = Groups()
-    for a, b in itertools.combinations(range(len(texts)), 2):
-        both = len(sets[a] & sets[b])
-        if both >= 0.8 * (len(sets[a]) + len(sets[b]) - both):
-            groups.join(a, b)
-    assert found == {i: groups.find(i) for i in range(len(texts))}
-
-
-def own_words(n):
-    return ["".join(random.choice("abcdefghij") for _ in range(6)) for _ in range(n)]
-
-
-def texts_around_one_line():
-    """Documents of one line repeated and own words; pairs among them."""
-    line = own_words(13)
-    texts = []
-    for i in range(400):
-        own = own_words(60)
-        texts.append(" ".join(line * random.choice([30, 60]) + own))
-        if i < 40:
-            texts.append(" ".join(line * random.choice([30, 60]) + own[:-3] + own_words(3)))
-    return texts
-
-
-def texts_with_repeated_lines():
-    """Pairs of the same shingles, of which each text repeats others."""
-    texts = []
-    for _ in range(40):
-        own, one, other = own_words(300), own_words(12), own_words(12)
-        texts += [" ".join(own + one * 60 + other), " ".join(own + one + other * 60)]
-    return texts
-
-
-def texts_with_edited_passages():
-    """Pairs of 0.8 and slightly more: a passage appended, or one replaced."""
-    texts = []
-    for _ in range(150):
-        own = own_words(204)
-        texts += [" ".join(own), " ".join(own + own_words(50))]
-        own = own_words(204)
-        texts += [" ".join(own), " ".join(own[:80] + own_words(18) + own[98:])]
-    return texts
-
-
-def texts_of_one_stock():
-    """Documents of passages of one stock: many share most with some and less with others."""
-    stock = [own_words(40) for _ in range(13)]
-    chosen = [sorted(random.sample(range(13), random.randint(5, 12))) for _ in range(250)]
-    return [" ".join(sum((stock[k] for k in some), own_words(2))) for some in chosen]
-
-
-@pytest.mark.parametrize("make", [texts_around_one_line, texts_with_repeated_lines, texts_with_edited_passages, texts_of_one_stock])
-def test_no_similar_pair_is_lost(spark, make):
-    random.seed(11)
-    texts = make()
-    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    found = {r.doc_id: r.component for r in simhash.similar_documents(rows).collect()}
-    sets = [set(simhash._shingle_set(t, 5).tolist()) for t in texts]
-    groups = Groups()
-    for a, b in itertools.combinations(range(len(texts)), 2):
-        both = len(sets[a] & sets[b])
-        if both >= 0.8 * (len(sets[a]) + len(sets[b]) - both):
-            groups.join(a, b)
-    assert len({groups.find(i) for i in range(len(texts))}) < len(texts)
-    assert found == {i: groups.find(i) for i in range(len(texts))}
-
-
 # --- repeats --------------------------------------------------------------------------------
 
 

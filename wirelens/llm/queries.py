@@ -8,7 +8,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wirelens.llm import bpe, interpolation, length_buckets, multi_index, order_minhash, quality, repeats, simhash, token_files, url_rules
+from wirelens.llm import (
+    bpe, interpolation, length_buckets, multi_index, order_minhash, pivot_clusters, quality, repeats, simhash,
+    token_files, toxicity, url_rules, word_runs,
+)
 from wirelens.llm.common import WORD
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,6 +28,35 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def clusters_sql(clusters: int, rounds: int, seed: int) -> str:
+    """Centroids in DuckDB, a round after the other; sums and counts give exact floors."""
+    steps = [
+        """kept as materialized (select vec_id, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as units
+  from embeddings where len(embedding) = 64 and len(list_filter(embedding, lambda x: x is not null and isfinite(x))) = 64)""",
+        f"""c0 as materialized (select row_number() over (order by sha256('{seed}:' || vec_id)) - 1 as cluster, units as center
+  from kept order by cluster limit {clusters})""",
+    ]
+    for k in range(rounds + 1):
+        steps.append(
+            f"""n{k} as materialized (select vec_id, min(struct_pack(d := list_sum(list_transform(list_zip(units, center),
+  lambda p: (p[1] - p[2]) * (p[1] - p[2]))), c := cluster)) as best, any_value(units) as units from kept, c{k} group by vec_id)"""
+        )
+        if k < rounds:
+            steps.append(
+                f"""m{k} as materialized (select cluster, list(cast((s - ((s % n) + n) % n) // n as bigint) order by pos) as center
+  from (select cluster, pos, sum(units[pos]) as s, count(*) as n
+    from (select best.c as cluster, units, unnest(range(1, 65)) as pos from n{k}) group by cluster, pos) group by cluster)"""
+            )
+            steps.append(
+                f"""c{k + 1} as materialized (select c{k}.cluster, coalesce(m{k}.center, c{k}.center) as center from c{k} left join m{k} using (cluster))"""
+            )
+    return "with " + ",\n".join(steps) + f"""
+select vec_id, cast(best.c as integer) as cluster, cast(best.d as bigint) as distance,
+  cast(sum(best.d) over (partition by best.c) as bigint) as cluster_inertia, cast(sum(best.d) over () as bigint) as inertia,
+  sha256(array_to_string(center, ',')) as centroid_sha256
+from n{rounds} join c{rounds} on c{rounds}.cluster = best.c"""
+
+
 @query
 def op1_bpe_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Word-level BPE of all documents, there and back."""
@@ -144,3 +176,46 @@ def op10_site_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of all documents from their text and their source and language as host and path."""
     found = quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), "quality")
     return found.select("row.doc_id", "evidence", "site_share", "probability", "accepted")
+
+
+@query
+def op11_word_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of repeated words in all documents, and the documents without the repetitions."""
+    return word_runs.digests(word_runs.word_runs(table(spark, sf_dir, "documents"), tails=True))
+
+
+@query
+def op12_pivot_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All vectors in forty clusters after five rounds."""
+    found = pivot_clusters.cluster(table(spark, sf_dir, "embeddings"), clusters=40, rounds=5, seed=2)
+    listed = F.array_join(F.col("centroid").cast("array<string>"), ",")
+    return found.select(
+        "vec_id",
+        "cluster",
+        "distance",
+        "cluster_inertia",
+        "inertia",
+        F.sha2(listed.cast("binary"), 256).alias("centroid_sha256"),
+    )
+
+
+ORACLES["op12_pivot_clusters"] = clusters_sql(clusters=40, rounds=5, seed=2)
+
+
+@query
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of all documents by a lexicon that learns from two thirds of the labelled ones."""
+
+    def held_out(doc_id: str):
+        return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % 3 == 1
+
+    docs = table(spark, sf_dir, "documents")
+    labels = table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").cast("double").alias("label"))
+    lexicon = toxicity.learn(docs.select("doc_id", "text"), labels.where(~held_out("doc_id")))
+    found = toxicity.score(docs, lexicon)
+    return found.select(
+        "doc_id",
+        held_out("doc_id").alias("held_out"),
+        "score",
+        (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"),
+    )

@@ -29,16 +29,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wirelens.llm.common import chunks, components, sampled, text_of
-from wirelens.session import broadcast_table, measured_table, scratch_table
+from wirelens.llm.blocks import part_of, planes, values_of
+from wirelens.llm.common import chunks, components, text_of
+from wirelens.session import broadcast_table, measured_table
 
 BITS = 64
 SEED = 42
 #: Variants made at a time, and bytes of variants that one task compares.
 EMITTED = 1 << 20
-#: Similar documents: how many are sampled to put frequent shingles last, how often a shingle is to be in them, and
-#: how many of these are told apart.
-ORDER_ROWS, ORDER_COUNT, ORDER_SHINGLES = 20_000, 8, 1 << 16
 TASK_BYTES = 16_000_000
 
 
@@ -92,16 +90,6 @@ def _masks(radius: int, odd: bool, bits: int = BITS) -> np.ndarray:
     return np.array(out, np.uint64)
 
 
-def _planes(values: np.ndarray) -> bytes:
-    """The values' bytes, all first ones before all second ones: sorted values then compress well."""
-    return values.view(np.uint8).reshape(len(values), -1).T.tobytes()
-
-
-def _values(planes: bytes, kind) -> np.ndarray:
-    width = np.dtype(kind).itemsize
-    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(width, -1).T).reshape(-1).view(kind)
-
-
 def links(nodes: DataFrame, n: int, radius: int = 3, bits: int = BITS) -> DataFrame:
     """(a, b) of distinct fingerprints at most `radius` apart: a star at each variant where some meet.
 
@@ -128,22 +116,22 @@ def links(nodes: DataFrame, n: int, radius: int = 3, bits: int = BITS) -> DataFr
                 made_by = np.concatenate([np.tile(codes[side], int((odd == side).sum())) for side in (0, 1)])
                 order = np.argsort(variants)
                 variants, made_by = variants[order], made_by[order]
-                part = _part(variants, parts)
+                part = part_of(variants, parts)
                 order = np.argsort(part, kind="stable")
                 part, variants, made_by = part[order], variants[order], made_by[order]
                 cuts = np.flatnonzero(np.diff(part, prepend=-1, append=-1))
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(part[cuts[:-1]].astype(np.int32)),
-                        pa.array([_planes(variants[a:b]) for a, b in zip(cuts, cuts[1:])], pa.binary()),
-                        pa.array([_planes(made_by[a:b]) for a, b in zip(cuts, cuts[1:])], pa.binary()),
+                        pa.array([planes(variants[a:b]) for a, b in zip(cuts, cuts[1:])], pa.binary()),
+                        pa.array([planes(made_by[a:b]) for a, b in zip(cuts, cuts[1:])], pa.binary()),
                     ],
                     names=["part", "variants", "made_by"],
                 )
 
     def meet(table: pa.Table) -> pa.Table:
-        variants = np.concatenate([_values(v.as_py(), np.uint64) for v in table.column("variants")])
-        made_by = np.concatenate([_values(v.as_py(), np.uint16) for v in table.column("made_by")])
+        variants = np.concatenate([values_of(v.as_py(), np.uint64) for v in table.column("variants")])
+        made_by = np.concatenate([values_of(v.as_py(), np.uint16) for v in table.column("made_by")])
         order = np.argsort(variants)
         variants, made_by = variants[order], made_by[order]
         same = variants[1:] == variants[:-1]
@@ -166,11 +154,6 @@ def links(nodes: DataFrame, n: int, radius: int = 3, bits: int = BITS) -> DataFr
     return emitted.groupBy("part").applyInArrow(meet, "a long, b long")
 
 
-def _part(variants: np.ndarray, parts: int) -> np.ndarray:
-    mixed = (variants ^ (variants >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15)
-    return ((mixed >> np.uint64(33)) % np.uint64(parts)).astype(np.int64)
-
-
 def near_duplicates(found: DataFrame, key: str = "doc_id", radius: int = 3) -> DataFrame:
     """(key, fingerprint, component) for rows of `fingerprints`: the smallest key reachable by links."""
     found, _ = measured_table(found, "simhash")
@@ -188,232 +171,3 @@ def near_duplicates(found: DataFrame, key: str = "doc_id", radius: int = 3) -> D
 def hexadecimal(fingerprint: str = "fingerprint"):
     """The fingerprint as 16 lower-case hex digits."""
     return F.lower(F.lpad(F.hex(fingerprint), 16, "0"))
-
-
-def _shingle_set(text: str, size: int) -> np.ndarray:
-    parts = shingles(words_of(text), size)
-    return np.unique(np.fromiter((xxhash.xxh64_intdigest(s, SEED) for s in parts), np.uint64, len(parts)))
-
-
-def _name(words: list[bytes]) -> bytes:
-    """Eight bytes that stand for all texts of these words."""
-    return xxhash.xxh3_64_digest(b" ".join(words))
-
-
-def _common_shingles(rows: DataFrame, n: int, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that several of about `ORDER_ROWS` documents have, sorted, and each one's rank by frequency."""
-
-    def each(batches):
-        for batch, texts in chunks(batches):
-            found = np.concatenate([_shingle_set(t, size) for t in texts])
-            yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64))], names=["shingle"])
-
-    counted = sampled(rows, n, ORDER_ROWS, "key").mapInArrow(each, "shingle long").groupBy("shingle").count()
-    top = counted.where(F.col("count") >= ORDER_COUNT).orderBy(F.desc("count"), "shingle").limit(ORDER_SHINGLES).toPandas()
-    common = top["shingle"].to_numpy(np.int64).view(np.uint64)
-    by_value = np.argsort(common)
-    return common[by_value], (len(common) - by_value).astype(np.int32)
-
-
-def _is_in(values: np.ndarray, ordered: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Which values are in a sorted array, and where they would be."""
-    at = np.searchsorted(ordered, values)
-    found = np.zeros(len(values), bool)
-    inside = at < len(ordered)
-    found[inside] = ordered[at[inside]] == values[inside]
-    return found, at
-
-
-def _prefix(found: np.ndarray, common: np.ndarray, rank: np.ndarray, similarity: float) -> np.ndarray:
-    """A set's first shingles, rare ones first, so many that it shares one with the first ones of each similar set."""
-    known, at = _is_in(found, common)
-    ranks = np.zeros(len(found), np.int32)
-    ranks[known] = rank[at[known]]
-    n = len(found) - int(np.ceil(similarity * len(found) - 1e-6)) + 1 if len(found) else 0
-    return found[np.argsort(ranks, kind="stable")[:n]]
-
-
-def similar_documents(
-    docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8
-) -> DataFrame:
-    """(key, component) of documents linked by Jaccard similarities of `similarity` or more of shingle sets.
-
-    At a similarity of 0.8, 64-bit fingerprints differ in 10 bits and more, too many for one ball. So this is
-    a prefix-filter join, which loses no pair: with the shingles of all sets in one order, two similar sets
-    share one of their first `n - ceil(similarity * n) + 1`. The order puts those that are frequent in a sample
-    last; it decides what is compared, not what is found. Documents with a first shingle in common are compared
-    with one of them. When these links have been followed, all pairs that share one and are still in
-    different components are compared, but for those whose sizes, or places of the shingle, exclude the
-    similarity. Sets are compared as 32-bit shingle hashes.
-
-    Copies (equal words) are one document throughout. Rows with a null key are left out; documents without
-    words are copies of each other.
-    """
-
-    def sign(batches):
-        for batch, texts in chunks(batches):
-            words = [words_of(t) for t in texts]
-            names = np.frombuffer(b"".join(map(_name, words)), np.int64)
-            sizes = pa.array([max(1, len(w) - shingle + 1) for w in words], pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("key"), pa.array(names), sizes], names=["key", "name", "n_shingles"]
-            )
-
-    rows = docs.select(F.col(key).cast("long").alias("key"), text_of(text).alias("text")).where("key is not null")
-    signed, seen = measured_table(
-        rows.mapInArrow(sign, "key long, name long, n_shingles long"), "similar-names", total=F.sum("n_shingles")
-    )
-    copies = scratch_table(signed.groupBy("name").agg(F.min("key").alias("least")), "similar-copies")
-    common, rank = _common_shingles(rows, seen["n"], shingle)
-    parts = max(64, int((seen["total"] or 0) * (1 - similarity) * 24 // TASK_BYTES))
-
-    def emit(batches):
-        def packed(sets, names):
-            firsts = [_prefix(s, common, rank, similarity) for s in sets]
-            counts = np.fromiter(map(len, firsts), np.int64, len(firsts))
-            values = np.concatenate(firsts)
-            columns = [
-                values,
-                np.repeat(names, counts),
-                np.repeat(np.fromiter(map(len, sets), np.uint32, len(sets)), counts),
-                np.concatenate([np.arange(c, dtype=np.uint32) for c in counts]),
-            ]
-            # Common shingles are kept whoever shares them, so they needn't come together here.
-            part = _part(np.where(_is_in(values, common)[0], columns[1].view(np.uint64), values), parts)
-            order = np.lexsort((values, part))
-            part, columns = part[order], [c[order] for c in columns]
-            cuts = np.flatnonzero(np.diff(part, prepend=-1, append=-1))
-            return pa.RecordBatch.from_arrays(
-                [pa.array(part[cuts[:-1]].astype(np.int32))]
-                + [pa.array([_planes(c[a:b]) for a, b in zip(cuts, cuts[1:])], pa.binary()) for c in columns],
-                names=["part", "shingles", "names", "sizes", "places"],
-            )
-
-        sets, names, held = [], [], 0
-        for batch, texts in chunks(batches):
-            for words in map(words_of, texts):
-                names.append(int.from_bytes(_name(words), "little", signed=True))
-                parted = shingles(words, shingle)
-                sets.append(np.unique(np.fromiter((xxhash.xxh64_intdigest(s, SEED) for s in parted), np.uint64, len(parted))))
-                held += len(sets[-1])
-                if held >= 2 * EMITTED:
-                    yield packed(sets, np.array(names, np.int64))
-                    sets, names, held = [], [], 0
-        if held:
-            yield packed(sets, np.array(names, np.int64))
-
-    def shared(table: pa.Table) -> pa.Table:
-        """The first shingles that several documents have."""
-        kinds = {"shingles": np.uint64, "names": np.int64, "sizes": np.uint32, "places": np.uint32}
-        values, names, sizes, places = (
-            np.concatenate([_values(v.as_py(), kind) for v in table.column(c)]) for c, kind in kinds.items()
-        )
-        order = np.lexsort((names, values))
-        again = np.zeros(len(order), bool)
-        again[1:] = (np.diff(values[order]) == 0) & (np.diff(names[order]) == 0)
-        order = order[~again]  # each copy once
-        same = values[order][1:] == values[order][:-1]
-        several, _ = _is_in(values[order], common)
-        several[1:] |= same
-        several[:-1] |= same
-        at = order[several]
-        return pa.table(
-            {
-                "shingle": values[at].view(np.int64),
-                "name": names[at],
-                "size": sizes[at].astype(np.int32),
-                "place": places[at].astype(np.int32),
-            }
-        )
-
-    emitted = rows.mapInArrow(emit, "part int, shingles binary, names binary, sizes binary, places binary")
-    places = scratch_table(
-        emitted.groupBy("part").applyInArrow(shared, "shingle long, name long, size int, place int"), "similar-places"
-    )
-    heads = scratch_table(
-        places.groupBy("shingle")
-        .agg(F.min("name").alias("lead"), F.min_by("size", "name").alias("lead_size"), F.count("*").alias("n"))
-        .where("n > 1"),
-        "similar-heads",
-    )
-
-    def fits(one: str, other: str):
-        return F.least(one, other) + F.lit(1e-6) >= F.lit(similarity) * F.greatest(one, other)
-
-    def collect_sets(batches):
-        for batch, texts in chunks(batches):
-            names = np.frombuffer(b"".join(_name(words_of(t)) for t in texts), np.int64)
-            sets = [np.unique((_shingle_set(t, shingle) >> np.uint64(32)).astype(np.uint32)).tobytes() for t in texts]
-            yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(sets, pa.binary())], names=["name", "set"])
-
-    def compare(batches):
-        for batch in batches:
-            near = []
-            for one, other in zip(batch.column("set_a").to_pylist(), batch.column("set_b").to_pylist()):
-                one, other = np.frombuffer(one, np.uint32), np.frombuffer(other, np.uint32)
-                both = len(np.intersect1d(one, other, assume_unique=True))
-                near.append(both >= similarity * (len(one) + len(other) - both))
-            keep = pa.array(near, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(c).filter(keep) for c in "ab"], names=["a", "b"])
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        names = pairs.select(F.explode(F.array("a", "b")).alias("name")).distinct()
-        asked, n_asked = measured_table(
-            copies.join(names, "name").select(F.col("least").alias("key")).distinct(), "similar-asked"
-        )
-        sets = scratch_table(
-            rows.join(broadcast_table(asked, n_asked["n"]), "key", "left_semi")
-            .mapInArrow(collect_sets, "name long, set binary")
-            .dropDuplicates(["name"]),
-            "shingle-sets",
-        )
-        for side in "ab":
-            pairs = pairs.join(sets.select(F.col("name").alias(side), F.col("set").alias(f"set_{side}")), side)
-        return scratch_table(pairs.mapInArrow(compare, "a long, b long"), "similar-links")
-
-    with_lead = places.join(heads, "shingle")
-    tried = scratch_table(
-        with_lead.where((F.col("name") != F.col("lead")) & fits("size", "lead_size"))
-        .select(F.col("lead").alias("a"), F.col("name").alias("b"))
-        .distinct(),
-        "similar-tried",
-    )
-    found = verified(tried)
-    reached = scratch_table(components(found), "similar-reached")
-
-    # What shares a shingle with others of another component, where a lead hasn't settled all pairs.
-    left = with_lead.where("n > 2").select("shingle", "name", "size", "place")
-    left = scratch_table(
-        left.join(reached.withColumnRenamed("node", "name"), "name", "left").withColumn(
-            "component", F.coalesce("component", "name")
-        ),
-        "similar-left",
-    )
-    mixed = (
-        left.groupBy("shingle")
-        .agg(F.min("component").alias("low"), F.max("component").alias("high"))
-        .where("low != high")
-        .select("shingle")
-    )
-    left = scratch_table(left.join(mixed, "shingle", "left_semi"), "similar-mixed")
-    sides = [left.select("shingle", *(F.col(c).alias(f"{c}_{s}") for c in ("name", "size", "place", "component"))) for s in "ab"]
-    room = F.least(F.expr("size_a - place_a"), F.expr("size_b - place_b"))
-    least = F.lit(similarity / (1 + similarity)) * F.expr("size_a + size_b")
-    rest = (
-        sides[0]
-        .join(sides[1], "shingle")
-        .where("name_a < name_b and component_a != component_b")
-        .where(fits("size_a", "size_b") & (room + F.lit(1e-6) >= least))
-        .select(F.col("name_a").alias("a"), F.col("name_b").alias("b"))
-        .distinct()
-        .join(tried, ["a", "b"], "left_anti")
-    )
-    rest, n_rest = measured_table(rest, "similar-rest")
-    if n_rest["n"]:
-        reached = components(found.union(verified(rest)))
-    placed = copies.join(reached.withColumnRenamed("node", "name"), "name", "left").select(
-        "name", "least", F.coalesce("component", "name").alias("group")
-    )
-    smallest = placed.groupBy("group").agg(F.min("least").alias("component"))
-    named = placed.join(smallest, "group").select("name", "component")
-    return signed.select(F.col("key").alias(key), "name").join(named, "name").select(key, "component")
