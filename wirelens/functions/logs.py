@@ -34,7 +34,7 @@ def line_format(line: Column) -> Column:
 def fields(line: Column, pattern: str, groups: int) -> Column:
     """All groups of a pattern as an array, from one pass over the line.
 
-    A line has no newline, so it serves as the separator. Only for lines that match.
+    A line has no newline, so it serves as the separator; a line that does not match stays whole, as one element.
     """
     template = "\n".join(f"${i + 1}" for i in range(groups)) + "\n"
     return F.split(F.regexp_replace(line, pattern, template), "\n")

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wirelens.plans.traffic import Traffic
+from wirelens.schemas import FLAG_NAMES
 
 # The features in their order, and the log severities that count as errors.
 FEATURE_NAMES = [
@@ -35,11 +36,11 @@ FEATURE_NAMES = [
 ]
 ERROR_SEVERITIES = ["medium", "high", "critical"]
 
+FLAGS = list(FLAG_NAMES.values())
 _COUNTS = {
     "n": "1",
     "bytes": "size",
-    "n_syn": "if(array_contains(tcp_flags, 'SYN'), 1, 0)",
-    "n_rst": "if(array_contains(tcp_flags, 'RST'), 1, 0)",
+    **{f"n_{flag}": f"if(array_contains(tcp_flags, '{flag}'), 1, 0)" for flag in FLAGS},
     "n_icmp": "if(protocol = 'ICMP', 1, 0)",
     "n_dns": "if(protocol = 'DNS', 1, 0)",
     "n_small": "if(size < 100, 1, 0)",
@@ -53,27 +54,6 @@ def _entropy(n: Column, weighted_logs: Column) -> Column:
     return F.when(n > 1, F.greatest(value, F.lit(0.0))).otherwise(0.0)
 
 
-def _flag_entropy(packets: DataFrame) -> DataFrame:
-    """Entropy of the flags seen per window. Flag lists are counted first; they are few."""
-    per_list = (
-        packets.filter(F.size("tcp_flags") > 0)
-        .groupBy("capture_id", "w", "tcp_flags")
-        .agg(F.count("*").alias("c"))
-    )
-    per_flag = (
-        per_list.select("capture_id", "w", F.explode("tcp_flags").alias("flag"), "c")
-        .groupBy("capture_id", "w", "flag")
-        .agg(F.sum("c").alias("c"))
-    )
-    return (
-        per_flag.groupBy("capture_id", "w")
-        .agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.log2("c")).alias("weighted"))
-        .select(
-            "capture_id", "w", _entropy(F.col("n"), F.col("weighted")).alias("tcp_flag_entropy")
-        )
-    )
-
-
 def _packet_features(packets: DataFrame, window_seconds: int) -> DataFrame:
     base = packets.groupBy("capture_id", "w", "src_ip", "dst_ip", "dst_port").agg(
         *[F.expr(f"sum({value})").alias(name) for name, value in _COUNTS.items()],
@@ -116,14 +96,18 @@ def _packet_features(packets: DataFrame, window_seconds: int) -> DataFrame:
         "packets_per_second": n / F.lit(window_seconds),
         "unique_dst_ips": F.col("dsts"),
         "unique_dst_ports": F.col("ports"),
-        "syn_ratio": F.col("n_syn") / n,
-        "rst_ratio": F.col("n_rst") / n,
+        "syn_ratio": F.col("n_SYN") / n,
+        "rst_ratio": F.col("n_RST") / n,
         "icmp_ratio": F.col("n_icmp") / n,
         "avg_packet_size": size / n,
         "packet_size_std": F.sqrt(F.greatest(spread, F.lit(0.0))) / n,
         "small_packet_ratio": F.col("n_small") / n,
         "large_packet_ratio": F.col("n_large") / n,
         "unique_src_ips": F.col("srcs"),
+        "tcp_flag_entropy": _entropy(
+            sum((F.col(f"n_{flag}") for flag in FLAGS), F.lit(0)),
+            sum((F.when(F.col(f"n_{flag}") > 0, F.col(f"n_{flag}") * F.log2(f"n_{flag}")).otherwise(0.0) for flag in FLAGS), F.lit(0.0)),
+        ),
         "port_entropy": _entropy(n, F.col("weighted_ports")),
         "dns_query_count": F.col("n_dns"),
         "bytes_per_second": size / F.lit(window_seconds),
@@ -143,13 +127,15 @@ def window_spine(traffic: Traffic, window_seconds: int = 60) -> DataFrame:
 
 
 def window_features(traffic: Traffic, window_seconds: int = 60) -> DataFrame:
-    """(capture_id, w, window_start_us, 18 doubles); windows without packets are all zero."""
+    """(capture_id, w, window_start_us, 18 doubles); windows without packets are all zero.
+
+    The flag entropy is over the six flags of the schema.
+    """
     width = window_seconds * 1_000_000
     packets = traffic.anchored(traffic.packets, width)
     joined = (
         window_spine(traffic, window_seconds)
         .join(_packet_features(packets, window_seconds), ["capture_id", "w"], "left")
-        .join(_flag_entropy(packets), ["capture_id", "w"], "left")
     )
     if traffic.logs is not None:
         failing = traffic.troubles.filter(F.col("severity").isin(ERROR_SEVERITIES))

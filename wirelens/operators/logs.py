@@ -48,17 +48,13 @@ def parse_lines(
             raise ValueError("Unsupported log format")
         text = text.join(formats, "source_file")
     line, fmt = F.col("line"), F.col("log_format")
-    matched = text.filter(
-        F.when(fmt == "syslog", line.rlike(L.SYSLOG_PATTERN)).otherwise(
-            line.rlike(L.ACCESS_PATTERN)
-        )
-    )
-    parts = matched.withColumn(
-        "part",
-        F.when(fmt == "syslog", L.fields(line, L.SYSLOG_PATTERN, 4)).otherwise(
-            L.fields(line, L.ACCESS_PATTERN, 6)
-        ),
+    split = F.when(fmt == "syslog", L.fields(line, L.SYSLOG_PATTERN, 4)).otherwise(
+        L.fields(line, L.ACCESS_PATTERN, 6)
     )
+    # Exploded, so that the filter behind it isn't rewritten over the line: each line is matched once.
+    parts = text.select(
+        "capture_id", "source_file", "seq", "line", "log_format", F.explode(F.array(split)).alias("part")
+    ).filter(F.size("part") > 1)
 
     def part(i: int) -> Column:
         # `get` gives NULL where a filter above is evaluated before the match.
@@ -79,7 +75,7 @@ def parse_lines(
     )
     is_syslog = fmt == "syslog"
     message, ts_raw = F.col("message"), F.col("ts_raw")
-    return fields.select(
+    entries = fields.select(
         "capture_id",
         "source_file",
         "seq",
@@ -98,6 +94,8 @@ def parse_lines(
         "service",
         F.col("line").alias("raw_line"),
     ).to(LOGS)
+    # The same for filters on an entry's fields.
+    return entries.select(F.explode(F.array(F.struct("*"))).alias("entry")).select("entry.*")
 
 
 def error_entries(entries: DataFrame) -> DataFrame:
