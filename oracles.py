@@ -751,18 +751,14 @@ BODIES: dict[str, str] = {
           time_range from placed where place <= 10""",
 }
 
-# Streams give out what the watermark (two minutes behind the last packet) has closed.
-CTES["mark"] = "select max(ts_us) - 120000000 as mark from packets"
-# The mark has millisecond steps.
-CTES["settled"] = "select mark // 1000 * 1000 as settled from mark"
+# Replayed streams give out everything.
 
 
 def streamed_flood(kind: str, test: str, packets: int, sources: int) -> str:
     return f"""
         select capture_id, '{kind}_flood' as rule_name, b * 10000000 as window_start, dst_ip,
           count(*) as packets, count(distinct src_ip) as sources, count(*) / 10 as rate
-        from (select *, ts_us // 10000000 as b from packets where {test}), settled
-        where (b + 1) * 10000000 <= settled group by capture_id, b, dst_ip
+        from (select *, ts_us // 10000000 as b from packets where {test}) group by capture_id, b, dst_ip
         having count(*) > {packets} and count(distinct src_ip) > {sources}"""
 
 
@@ -806,7 +802,7 @@ BODIES.update(
             ]
         ),
         "streamed_features": """
-        select capture_id, b * 60000000 as window_start, round(count(*) / 60, 6) as packets_per_second,
+        with f as (select capture_id, b, round(count(*) / 60, 6) as packets_per_second,
           round(sum(size) / 60, 6) as bytes_per_second, count(distinct src_ip) as unique_src_ips,
           count(distinct dst_ip) as unique_dst_ips, count(distinct dst_port) as unique_dst_ports,
           round(count_if(list_contains(tcp_flags,'SYN')) / count(*), 6) as syn_ratio,
@@ -821,27 +817,44 @@ BODIES.update(
           count(distinct (src_ip, dst_ip, dst_port)) as connection_count,
           round(count(*) / count(distinct (src_ip, dst_ip, dst_port)), 6) as avg_flow_packets
         from epoch_windows join epoch_entropies using (capture_id, b)
-          left join epoch_flag_entropies using (capture_id, b), settled
-        where (b + 1) * 60000000 <= settled group by capture_id, b""",
+          left join epoch_flag_entropies using (capture_id, b) group by capture_id, b),
+        e as (select capture_id, ts_us // 60000000 as b, count(*) as errors from logs
+          where severity in ('medium', 'high', 'critical') and ts_us is not null group by all)
+        select coalesce(f.capture_id, e.capture_id) as capture_id, coalesce(f.b, e.b) * 60000000 as window_start,
+          {columns}
+        from f full join e on f.capture_id = e.capture_id and f.b = e.b""".format(
+            columns=", ".join(
+                f"cast(coalesce(case when f.b is not null then {'errors' if c == 'http_error_count' else c} end, 0) as double) as {c}"
+                for c in FEATURE_NAMES
+            )
+        ),
         "streamed_flows": """
         select capture_id, src_ip, dst_ip, src_port, dst_port, protocol, count(*) as packet_count,
           sum(size) as total_bytes, min(ts_us) as start_us, max(ts_us) as end_us
-        from sessions, settled
-        group by capture_id, src_ip, dst_ip, src_port, dst_port, protocol, session, settled
-        having max(ts_us) + 300000000 <= settled""",
+        from sessions
+        group by capture_id, src_ip, dst_ip, src_port, dst_port, protocol, session""",
         "streamed_query_bursts": """
         select capture_id, src_ip as source, n as burst_n, t0 as first_us, t1 as last_us
-        from dns_bursts, settled where t0 + 60000000 < settled""",
+        from dns_bursts""",
+        "streamed_ssh_bursts": """
+        select capture_id, source_ip as source, n as burst_n, t0 as first_us, t1 as last_us
+        from ssh_bursts""",
+        "streamed_http_bursts": """
+        select capture_id, source_ip as source, n as burst_n, t0 as first_us, t1 as last_us
+        from login_bursts""",
         "streamed_vertical_scans": """
         select capture_id, src_ip, dst_ip, items, open_us, close_us
-        from vertical_windows, settled where open_us + 60000000 < settled""",
+        from vertical_windows""",
+        "streamed_horizontal_scans": """
+        select capture_id, src_ip, dst_port, items, open_us, close_us
+        from horizontal_windows""",
         "streamed_beacons": """
         select capture_id, src_ip, dst_ip, count(*) as n, min(ts_us) as first_us,
           max(ts_us) as last_us,
           cast(round(cast(avg(gap) / 1e6 as decimal(28, 9)), 5) as double) as mean_gap_s,
           cast(round(cast(stddev_samp(gap) / 1e6 as decimal(28, 9)), 5) as double) as std_gap_s
         from (select *, ts_us - lag(ts_us) over (partition by capture_id, src_ip, dst_ip
-                order by ts_us) as gap from packets, settled where ts_us < settled)
+                order by ts_us) as gap from packets)
         group by capture_id, src_ip, dst_ip
         having count(*) > 5 and stddev_samp(gap) < 5000000""",
     }

@@ -126,7 +126,7 @@ def test_state_goes_when_nothing_waits():
     assert list(stateful._burst(key, [], state, 3, minute)) == [] and not state.exists
     state = State(10 * minute, value=([0, 1], ["x", "y"]))
     assert len(list(stateful._scan(key, [], state, 1, minute))) == 1 and not state.exists
-    state = State(10 * minute, value=([1, 2], 0, 0, 0, 0.0, 0.0))
+    state = State(10 * minute, value=([1, 2], 0, 0, 0, 0.0, 0.0, False))
     list(stateful._beacon(key, [], state, 5, 1.0))
     assert state.get[1] == 2 and state.due * 1000 >= stateful.IDLE_US
     state.hasTimedOut = True

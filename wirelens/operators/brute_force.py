@@ -35,9 +35,7 @@ BURST = ["burst_n", "burst_us0", "burst_us1"]
 def ssh_details(
     traffic: Traffic, ssh_at_least: int = 5, window_us: int = MINUTE_US, **_
 ) -> DataFrame:
-    entries = traffic.kept_troubles.filter(
-        F.lower("service").contains("ssh") & (F.col("severity") == "high")
-    )
+    entries = traffic.kept_troubles.filter(is_failed_ssh_login())
     found = _with_burst(entries, ssh_at_least, window_us)
     return found.groupBy(*KEYS, *BURST).agg(*_arrivals())
 
@@ -69,6 +67,10 @@ def ssh_alerts(details: DataFrame, **_) -> DataFrame:
     )
 
 
+def is_failed_ssh_login():
+    return F.lower("service").contains("ssh") & (F.col("severity") == "high")
+
+
 def is_login_attempt():
     text = F.lower("message")
     return (

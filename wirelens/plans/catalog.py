@@ -19,7 +19,7 @@ from wirelens.session import ON_RELEASE, adopt, scratch_table, spread
 from wirelens.sources import derived
 from wirelens.sources.frames import decode_frames
 from wirelens.streaming import aggregates, stateful
-from wirelens.streaming.sources import run_available
+from wirelens.streaming.sources import replay
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -526,22 +526,33 @@ def packet_stream_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     return derived.packets_from_events(landed)
 
 
+def log_stream_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    schema = derived.events(spark, sf_dir).schema
+    landed = (
+        spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    )
+    return logs.parse_lines(derived.syslog_lines_from_events(landed), year=2024, per_line=True)
+
+
 @query
 def streamed_floods(spark, sf_dir):
     adopt(spark)
-    rows = run_available(aggregates.flood_stream(packet_stream_of(spark, sf_dir)), "floods")
+    packets = packet_stream_of(spark, sf_dir)
+    rows = replay(spark, lambda closing: aggregates.flood_stream(packets, closing=closing), "floods")
     return rows.withColumn("window_start", F.unix_micros("window_start"))
 
 
 @query
 def streamed_features(spark, sf_dir):
     adopt(spark)
-    rows = run_available(aggregates.feature_stream(packet_stream_of(spark, sf_dir)), "features")
-    doubles = [f.name for f in rows.schema.fields if f.dataType.typeName() == "double"]
+    packets, entries = packet_stream_of(spark, sf_dir), log_stream_of(spark, sf_dir)
+    rows = replay(
+        spark, lambda closing: aggregates.feature_stream(packets, logs=entries, closing=closing), "features"
+    )
     return rows.withColumns(
         {
             "window_start": F.unix_micros("window_start"),
-            **{c: F.round(c, 6) for c in doubles},
+            **{c: F.round(c, 6) for c in features.FEATURE_NAMES},
         }
     )
 
@@ -549,36 +560,71 @@ def streamed_features(spark, sf_dir):
 @query
 def streamed_flows(spark, sf_dir):
     adopt(spark)
-    return run_available(aggregates.flow_stream(packet_stream_of(spark, sf_dir)), "flows")
+    packets = packet_stream_of(spark, sf_dir)
+    return replay(spark, lambda closing: aggregates.flow_stream(packets, closing=closing), "flows")
+
+
+def _streamed_bursts(spark: SparkSession, events: DataFrame, source: str, threshold: int) -> DataFrame:
+    return replay(
+        spark, lambda closing: stateful.burst_stream(events, source, threshold, closing=closing), "bursts"
+    )
 
 
 @query
 def streamed_query_bursts(spark, sf_dir):
     adopt(spark)
-    dns = packet_stream_of(spark, sf_dir).filter(net.is_dns())
-    return run_available(stateful.burst_stream(dns, "src_ip", 101), "bursts")
+    return _streamed_bursts(spark, packet_stream_of(spark, sf_dir).filter(net.is_dns()), "src_ip", 101)
 
 
 @query
-def streamed_vertical_scans(spark, sf_dir):
+def streamed_ssh_bursts(spark, sf_dir):
+    adopt(spark)
+    failed = log_stream_of(spark, sf_dir).filter(brute_force.is_failed_ssh_login())
+    return _streamed_bursts(spark, failed, "source_ip", 5)
+
+
+@query
+def streamed_http_bursts(spark, sf_dir):
     adopt(spark)
-    found = stateful.scan_stream(
-        packet_stream_of(spark, sf_dir), ("src_ip", "dst_ip"), "dst_port", 20
+    tried = log_stream_of(spark, sf_dir).filter(brute_force.is_login_attempt())
+    return _streamed_bursts(spark, tried, "source_ip", 10)
+
+
+def _streamed_scans(spark: SparkSession, sf_dir: str, keys: tuple[str, str], item: str, more_than: int):
+    packets = packet_stream_of(spark, sf_dir)
+    return replay(
+        spark, lambda closing: stateful.scan_stream(packets, keys, item, more_than, closing=closing), "scans"
     )
-    return run_available(found, "scans")
+
+
+@query
+def streamed_vertical_scans(spark, sf_dir):
+    adopt(spark)
+    return _streamed_scans(spark, sf_dir, ("src_ip", "dst_ip"), "dst_port", 20)
+
+
+@query
+def streamed_horizontal_scans(spark, sf_dir):
+    adopt(spark)
+    found = _streamed_scans(spark, sf_dir, ("src_ip", "dst_port"), "dst_ip", 10)
+    return found.withColumn("dst_port", F.col("dst_port").cast("int"))
 
 
 @query
 def streamed_beacons(spark, sf_dir):
     adopt(spark)
-    rows = run_available(stateful.beacon_stream(packet_stream_of(spark, sf_dir)), "beacons")
-    return rows.select(
+    packets = packet_stream_of(spark, sf_dir)
+    rows = replay(spark, lambda closing: stateful.beacon_stream(packets, closing=closing), "beacons")
+    latest = rows.groupBy("capture_id", "src_ip", "dst_ip").agg(
+        F.max_by(F.struct("n", "first_us", "last_us", "mean_gap_us", "std_gap_us", "beacons"), "n").alias("r")
+    )
+    return latest.filter("r.beacons").select(
         "capture_id",
         "src_ip",
         "dst_ip",
-        "n",
-        "first_us",
-        "last_us",
-        F.round(F.col("mean_gap_us") / 1e6, 5).alias("mean_gap_s"),
-        F.round(F.col("std_gap_us") / 1e6, 5).alias("std_gap_s"),
+        "r.n",
+        "r.first_us",
+        "r.last_us",
+        F.round(F.col("r.mean_gap_us") / 1e6, 5).alias("mean_gap_s"),
+        F.round(F.col("r.std_gap_us") / 1e6, 5).alias("std_gap_s"),
     )

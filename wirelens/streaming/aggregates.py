@@ -11,6 +11,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wirelens.operators.features import ERROR_SEVERITIES, FEATURE_NAMES
 from wirelens.operators.flows import FLOW_KEY
 from wirelens.operators.floods import KINDS, WINDOW_SECONDS, _belongs
 from wirelens.schemas import FLAG_NAMES
@@ -18,13 +19,16 @@ from wirelens.streaming.sources import LATENESS, timed
 
 
 def flood_stream(
-    packets: DataFrame, lateness: str = LATENESS, offset: str = "0 seconds"
+    packets: DataFrame,
+    lateness: str = LATENESS,
+    offset: str = "0 seconds",
+    closing: DataFrame | None = None,
 ) -> DataFrame:
     """(capture_id, rule_name, window_start, dst_ip, packets, sources, rate) of floods."""
     window = F.window("ts", f"{WINDOW_SECONDS} seconds", startTime=offset)
     relevant = reduce(lambda a, b: a | b, [_belongs(kind) for kind in KINDS])
     per_source = (
-        timed(packets.filter(relevant), lateness)
+        timed(packets.filter(relevant), lateness, closing)
         .groupBy("capture_id", window.alias("window"), "dst_ip", "src_ip")
         .agg(*[F.count_if(_belongs(kind)).alias(f"n_{kind}") for kind in KINDS])
     )
@@ -72,10 +76,9 @@ def _entropy_of(counts: list) -> F.Column:
     return F.greatest(F.coalesce(value, F.lit(0.0)), F.lit(0.0))
 
 
-def feature_stream(
-    packets: DataFrame, window_seconds: int = 60, lateness: str = LATENESS
+def _packet_feature_stream(
+    packets: DataFrame, window_seconds: int, lateness: str, closing: DataFrame | None
 ) -> DataFrame:
-    """The packet features of each window with packets; log errors are a batch join."""
     window = F.window("ts", f"{window_seconds} seconds")
     flags = {f"flag_{name}": F.array_contains("tcp_flags", name) for name in FLAG_NAMES.values()}
     tests = {
@@ -86,7 +89,7 @@ def feature_stream(
         "n_large": F.col("size") > 1400,
     }
     base = (
-        timed(packets, lateness)
+        timed(packets, lateness, closing)
         .groupBy("capture_id", window.alias("window"), "src_ip", "dst_ip", "dst_port")
         .agg(
             F.count("*").alias("n"),
@@ -125,7 +128,7 @@ def feature_stream(
     spread = (n_dec * F.col("squares") - bytes_dec * bytes_dec).cast("double")
     return merged.select(
         "capture_id",
-        F.col("window.start").alias("window_start"),
+        "window",
         (n / window_seconds).alias("packets_per_second"),
         (F.col("bytes") / window_seconds).alias("bytes_per_second"),
         "unique_src_ips",
@@ -146,10 +149,51 @@ def feature_stream(
     )
 
 
-def flow_stream(packets: DataFrame, idle: str = "5 minutes", lateness: str = LATENESS) -> DataFrame:
+def feature_stream(
+    packets: DataFrame,
+    window_seconds: int = 60,
+    lateness: str = LATENESS,
+    logs: DataFrame | None = None,
+    closing: DataFrame | None = None,
+) -> DataFrame:
+    """The features of each window with packets or troubled log entries, as (capture_id, window_start, 18 doubles).
+
+    Packets and `logs` are counted per window on their own, each with its watermark, and the windows of both are
+    joined once both watermarks have passed them. As in batch, a window without packets is all zero; one
+    without entries has no errors.
+    """
+    packet_side = _packet_feature_stream(packets, window_seconds, lateness, closing)
+    zero = F.lit(0.0)
+    if logs is None:
+        joined = packet_side.select("*", zero.alias("http_error_count"))
+    else:
+        failing = logs.filter(F.col("ts_us").isNotNull() & F.col("severity").isin(ERROR_SEVERITIES))
+        errors = (
+            timed(failing.select("capture_id", "ts_us"), lateness, closing)
+            .groupBy("capture_id", F.window("ts", f"{window_seconds} seconds").alias("window"))
+            .agg(F.count("*").alias("http_error_count"))
+        )
+        joined = packet_side.join(errors, ["capture_id", "window"], "full_outer")
+    occupied = F.col("packets_per_second").isNotNull()
+    return joined.select(
+        "capture_id",
+        F.col("window.start").alias("window_start"),
+        *[
+            F.when(occupied, F.coalesce(F.col(name).cast("double"), zero)).otherwise(zero).alias(name)
+            for name in FEATURE_NAMES
+        ],
+    )
+
+
+def flow_stream(
+    packets: DataFrame,
+    idle: str = "5 minutes",
+    lateness: str = LATENESS,
+    closing: DataFrame | None = None,
+) -> DataFrame:
     """Flows that end after an idle time; a stream needs a rule for when a flow is over."""
     return (
-        timed(packets, lateness)
+        timed(packets, lateness, closing)
         .groupBy(*FLOW_KEY, F.session_window("ts", idle).alias("session"))
         .agg(
             F.count("*").alias("packet_count"),

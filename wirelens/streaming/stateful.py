@@ -77,9 +77,10 @@ def burst_stream(
     threshold: int,
     window_us: int = WINDOW_US,
     lateness: str = LATENESS,
+    closing: DataFrame | None = None,
 ) -> DataFrame:
     """First burst per source, as `first_burst` in batch. A source that has fired keeps one flag."""
-    rows = timed(events.select("capture_id", F.col(source).alias("source"), "ts_us"), lateness)
+    rows = timed(events.select("capture_id", F.col(source).alias("source"), "ts_us"), lateness, closing)
     return rows.groupBy("capture_id", "source").applyInPandasWithState(
         partial(_burst, threshold=threshold, window_us=window_us),
         "capture_id string, source string, burst_n bigint, first_us bigint, last_us bigint",
@@ -122,6 +123,7 @@ def scan_stream(
     more_than: int,
     window_us: int = WINDOW_US,
     lateness: str = LATENESS,
+    closing: DataFrame | None = None,
 ) -> DataFrame:
     """Greedy windows with more than `more_than` distinct items, as the scan rules in batch."""
     a, b = keys
@@ -134,6 +136,7 @@ def scan_stream(
             "ts_us",
         ),
         lateness,
+        closing,
     )
     found = rows.groupBy("capture_id", "a", "b").applyInPandasWithState(
         partial(_scan, more_than=more_than, window_us=window_us),
@@ -147,9 +150,9 @@ def scan_stream(
 
 def _beacon(key, batches, state: GroupState, above: int, deviation_us: float):
     if state.exists:
-        waiting, n, first, last, mean, squares = state.get
+        waiting, n, first, last, mean, squares, told = state.get
     else:
-        waiting, n, first, last, mean, squares = [], 0, 0, 0, 0.0, 0.0
+        waiting, n, first, last, mean, squares, told = [], 0, 0, 0, 0.0, 0.0, False
     times = np.sort(np.array(list(waiting) + _times(batches), dtype=np.int64))
     settled = times < _watermark_us(state)
     for t in times[settled].tolist():
@@ -166,35 +169,45 @@ def _beacon(key, batches, state: GroupState, above: int, deviation_us: float):
     if not len(times) and state.hasTimedOut:
         state.remove()
         return
-    state.update((left, n, first, last, mean, squares))
+    deviation = (squares / (n - 2)) ** 0.5 if n > 2 else float("inf")
+    beacons = n > above and deviation < deviation_us
+    tell = settled.any() and (beacons or told)
+    state.update((left, n, first, last, mean, squares, bool(beacons if settled.any() else told)))
     _arm(state, left[0] if left else last + IDLE_US)
-    if settled.any() and n > above and n > 2:
-        deviation = (squares / (n - 2)) ** 0.5
-        if deviation < deviation_us:
-            yield pd.DataFrame(
-                {
-                    "capture_id": [key[0]],
-                    "src_ip": [key[1]],
-                    "dst_ip": [key[2]],
-                    "n": [n],
-                    "first_us": [first],
-                    "last_us": [last],
-                    "mean_gap_us": [mean],
-                    "std_gap_us": [deviation],
-                }
-            )
+    if tell:
+        yield pd.DataFrame(
+            {
+                "capture_id": [key[0]],
+                "src_ip": [key[1]],
+                "dst_ip": [key[2]],
+                "n": [n],
+                "first_us": [first],
+                "last_us": [last],
+                "mean_gap_us": [mean],
+                "std_gap_us": [deviation],
+                "beacons": [beacons],
+            }
+        )
 
 
 def beacon_stream(
-    packets: DataFrame, above: int = 5, deviation_s: float = 5.0, lateness: str = LATENESS
+    packets: DataFrame,
+    above: int = 5,
+    deviation_s: float = 5.0,
+    lateness: str = LATENESS,
+    closing: DataFrame | None = None,
 ) -> DataFrame:
-    """Gap statistics of pairs that beacon so far; a pair gives one row per batch that moves it."""
-    rows = timed(packets.select("capture_id", "src_ip", "dst_ip", "ts_us"), lateness)
+    """Gap statistics of pairs that beacon so far; a pair gives one row per batch that moves it.
+
+    The row with the greatest `n` is a pair's latest one. A pair that no longer beacons gives a last row without
+    `beacons`.
+    """
+    rows = timed(packets.select("capture_id", "src_ip", "dst_ip", "ts_us"), lateness, closing)
     return rows.groupBy("capture_id", "src_ip", "dst_ip").applyInPandasWithState(
         partial(_beacon, above=above, deviation_us=deviation_s * 1e6),
         "capture_id string, src_ip string, dst_ip string, n bigint, first_us bigint, "
-        "last_us bigint, mean_gap_us double, std_gap_us double",
-        "waiting array<bigint>, n bigint, first bigint, last bigint, mean double, squares double",
+        "last_us bigint, mean_gap_us double, std_gap_us double, beacons boolean",
+        "waiting array<bigint>, n bigint, first bigint, last bigint, mean double, squares double, told boolean",
         "append",
         GroupStateTimeout.EventTimeTimeout,
     )
