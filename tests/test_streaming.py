@@ -1,12 +1,18 @@
 """Streams fed file by file give what the batch operators give."""
 
-from made_rows import T0, packet
+import random
+
+import pytest
+from made_rows import T0, log, packet
+from wirelens.operators import features
 from wirelens.operators.flows import build_flows
 from wirelens.plans import rules
 from wirelens.plans.traffic import Traffic
-from wirelens.schemas import PACKETS
+from wirelens.operators.anomaly import stored
+from wirelens.operators.features import FEATURE_NAMES
+from wirelens.schemas import LOGS, PACKETS
 from wirelens.session import scratch_root
-from wirelens.streaming import aggregates, sources, stateful
+from wirelens.streaming import aggregates, scoring, sources, stateful
 
 
 def land(spark, folder, batches):
@@ -152,3 +158,111 @@ def test_log_lines(spark, tmp_path):
     (tmp_path / "in" / "a.log").write_text("one\ntwo\n")
     got = sources.run_available(sources.log_line_stream(spark, str(tmp_path / "in")), "lines")
     assert sorted(r["line"] for r in got.collect()) == ["one", "two"]
+
+
+def land_logs(spark, folder, batches):
+    for rows in batches:
+        spark.createDataFrame(rows, LOGS).coalesce(1).write.mode("append").parquet(str(folder))
+    return spark.readStream.schema(LOGS).option("maxFilesPerTrigger", 1).parquet(str(folder))
+
+
+def test_a_replay_gives_out_what_is_still_open(spark, tmp_path):
+    rows = [packet(i, i * 1.0, dport=1 + i, flags=["SYN"]) for i in range(70)]
+    dns = [packet(100 + i, i * 0.4, src="10.0.0.9", proto="DNS", dport=53, flags=[]) for i in range(120)]
+    stream = land(spark, tmp_path / "in", [rows[:10] + dns[:50], rows[10:] + dns[50:]])
+    (burst,) = sources.replay(
+        spark, lambda c: stateful.burst_stream(stream.filter("protocol = 'DNS'"), "src_ip", 101, closing=c), "bursts"
+    ).collect()
+    assert (burst["source"], burst["burst_n"], burst["first_us"]) == ("10.0.0.9", 120, T0)
+    scans = sources.replay(
+        spark, lambda c: stateful.scan_stream(stream, ("src_ip", "dst_ip"), "dst_port", 20, closing=c), "scans"
+    ).collect()
+    want = rules.run_rule("vertical_port_scan", Traffic(spark.createDataFrame(rows + dns, PACKETS))).collect()
+    assert [(r["open_us"], r["close_us"]) for r in scans] == [(r["first_us"], r["last_us"]) for r in want]
+    flows = sources.replay(spark, lambda c: aggregates.flow_stream(stream, closing=c), "flows")
+    assert flows.count() == len({(r[3], r[4], r[5], r[6]) for r in rows + dns})
+    assert flows.filter("capture_id is null").count() == 0
+
+
+def test_features_join_packets_and_entries(spark, tmp_path):
+    packets = [[packet(i, i * 7.0, size=60 + i) for i in range(20)], [packet(50, 400.0), packet(51, 401.0)]]
+    entries = [[log(i, i * 10.0) for i in range(30)], [log(40, 600.0), log(41, 401.0, severity="info")]]
+    stream, logs = land(spark, tmp_path / "p", packets), land_logs(spark, tmp_path / "l", entries)
+    got = sources.replay(spark, lambda c: aggregates.feature_stream(stream, logs=logs, closing=c), "features")
+    rows = {(r.window_start.timestamp() * 1e6 - T0) / 60e6: r for r in got.withColumn("window_start", got.window_start).collect()}
+    assert sorted(rows) == [0, 1, 2, 3, 4, 6, 10]
+    assert [rows[k].http_error_count for k in (0, 1, 2, 6)] == [6, 6, 6, 0]
+    assert all(rows[10][c] == rows[3][c] == 0 for c in FEATURE_NAMES)  # no packets: all zero, as in batch
+    flat = [r for part in packets for r in part]
+    batch = features.window_features(
+        Traffic(spark.createDataFrame(flat, PACKETS), spark.createDataFrame(sum(entries, []), LOGS))
+    ).collect()
+    for row in batch:  # T0 is a whole minute, so both count from the same place
+        if row.packets_per_second:
+            assert [row[c] for c in FEATURE_NAMES] == pytest.approx([rows[row.w][c] for c in FEATURE_NAMES])
+
+
+def some_windows(spark, n=400, seed=1, capture="c"):
+    random.seed(seed)
+    rows = [
+        (capture, i, T0 + i * 60_000_000, *[random.gauss(10, 2) * (9 if i % 97 == 5 else 1) for _ in FEATURE_NAMES])
+        for i in range(n)
+    ]
+    columns = ", ".join(f"{c} double" for c in FEATURE_NAMES)
+    return spark.createDataFrame(rows, f"capture_id string, w bigint, window_start_us bigint, {columns}")
+
+
+def test_stored_models_have_versions(spark, tmp_path):
+    path = str(tmp_path / "models")
+    windows = some_windows(spark)
+    assert stored.publish(stored.train(windows), path) == 1
+    assert stored.publish(stored.train(windows.filter("w < 200"), by_capture=True), path) == 2
+    assert {(r.version, r.by_capture, r.models, r.windows) for r in stored.versions(spark, path).collect()} == {
+        (1, False, 1, 400), (2, True, 1, 200)
+    }
+    assert stored.load(spark, path).version == 2
+    with pytest.raises(ValueError):
+        stored.load(spark, path, 7)
+    one = stored.load(spark, path, 1)
+    found = {r.window_start_us: r for r in stored.score(windows, one).collect()}
+    odd = [r for t, r in found.items() if (t - T0) // 60_000_000 % 97 == 5]
+    assert all(r.isolation_forest == -1 for r in odd) and sum(r.isolation_forest == -1 for r in found.values()) <= 21
+    assert {r.version for r in found.values()} == {1}
+    # A window's score is its own: the same alone and among others, and by an unknown capture too.
+    few = stored.score(some_windows(spark, capture="new").filter("w < 3"), one).collect()
+    assert len(few) == 3
+    for r in few:
+        same = found[r.window_start_us]
+        assert (r.forest_score, r.svm_score) == pytest.approx((same.forest_score, same.svm_score), rel=1e-12)
+    unknown = stored.score(some_windows(spark, 5, capture="new"), stored.load(spark, path, 2)).collect()
+    assert len(unknown) == 5 and all(r.forest_score is None and r.isolation_forest is None for r in unknown)
+
+
+def test_a_stream_scores_as_batch_also_after_a_restart(spark, tmp_path):
+    models = stored.train(some_windows(spark))
+    rows = [packet(i, i * 2.0, dport=i % 50, size=60 + i % 900) for i in range(400)]
+    land(spark, tmp_path / "in", [rows[:200]])
+    stream = sources.packet_stream(spark, str(tmp_path / "in"), max_files=1)
+    features_of = aggregates.feature_stream(stream)
+    out, check = str(tmp_path / "out"), str(tmp_path / "check")
+    scoring.start_scoring(features_of, models, out, check).awaitTermination()
+    first = scoring.read_scores(spark, out).count()
+    land(spark, tmp_path / "in", [rows[200:], [late_sentinel()]])
+    scoring.start_scoring(features_of, models, out, check).awaitTermination()
+    got = sorted(map(tuple, scoring.read_scores(spark, out).collect()))
+    assert 0 < first < len(got) == 14
+    batch = features.window_features(Traffic(spark.createDataFrame(rows, PACKETS)))
+    want = sorted(map(tuple, stored.score(batch, models).collect()))
+    assert [r[:2] for r in got] == [r[:2] for r in want]
+    for one, other in zip(got, want):
+        assert one[2:7] == pytest.approx(other[2:7])
+
+
+def test_a_batch_that_runs_again_leaves_its_windows_once(spark, tmp_path):
+    models = stored.train(some_windows(spark))
+    batch = some_windows(spark, 30).selectExpr("*", "timestamp_micros(window_start_us) as window_start").drop("window_start_us")
+    write = scoring.score_batches(models, str(tmp_path / "out"))
+    for epoch in (0, 1, 1, 0):
+        write(batch.filter(f"w % 2 = {epoch}"), epoch)
+    rows = scoring.read_scores(spark, str(tmp_path / "out")).collect()
+    assert len(rows) == len({r.window_start_us for r in rows}) == 30

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from typing import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,15 +11,15 @@ from pyspark.sql import functions as F
 from wirelens.functions import net
 from wirelens.functions.logs import request_path
 from wirelens.operators import brute_force, classify, features, logs, reports, summaries
-from wirelens.operators.anomaly import ensemble, lof, prepare
+from wirelens.operators.anomaly import ensemble, lof, prepare, stored
 from wirelens.operators.flows import build_flows
 from wirelens.operators.time_windows import first_burst, gap_statistics
 from wirelens.plans import rules
 from wirelens.plans.traffic import MINUTE_US, Traffic
-from wirelens.session import ON_RELEASE, adopt, scratch_table, spread
+from wirelens.session import ON_RELEASE, adopt, scratch_folder, scratch_table, spread
 from wirelens.sources import derived
 from wirelens.sources.frames import decode_frames
-from wirelens.streaming import aggregates, stateful
+from wirelens.streaming import aggregates, scoring, stateful
 from wirelens.streaming.sources import replay
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -564,6 +565,20 @@ def streamed_flows(spark, sf_dir):
     return replay(spark, lambda closing: aggregates.flow_stream(packets, closing=closing), "flows")
 
 
+@query
+def streamed_scores(spark, sf_dir):
+    """Windows of the streamed traffic by models that were trained on the batch features and published."""
+    adopt(spark)
+    path = f"{scratch_folder(spark)}/models-{uuid.uuid4().hex}"
+    stored.publish(stored.train(features_of(spark, sf_dir)), path)
+    packets, entries = packet_stream_of(spark, sf_dir), log_stream_of(spark, sf_dir)
+    return scoring.replay_scores(
+        spark,
+        lambda closing: aggregates.feature_stream(packets, logs=entries, closing=closing),
+        stored.load(spark, path),
+    )
+
+
 def _streamed_bursts(spark: SparkSession, events: DataFrame, source: str, threshold: int) -> DataFrame:
     return replay(
         spark, lambda closing: stateful.burst_stream(events, source, threshold, closing=closing), "bursts"

@@ -110,15 +110,25 @@ def replay(spark: SparkSession, make: Callable[[DataFrame], DataFrame], name: st
     The closing row lands in a folder of its own when all else has been taken; the same query goes on with it.
     """
     root = f"{scratch_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    closing = f"{root}/closing"
-    spark.createDataFrame([], "ts_us bigint").write.parquet(closing)
-    df = make(spark.readStream.schema("ts_us bigint").parquet(closing))
-    start(df, f"{root}/rows", f"{root}/checkpoint").awaitTermination()
-    spark.createDataFrame([(CLOSING_US,)], "ts_us bigint").write.mode("append").parquet(closing)
-    start(df, f"{root}/rows", f"{root}/checkpoint").awaitTermination()
+    df = closed(spark, make, f"{root}/closing", lambda df: start(df, f"{root}/rows", f"{root}/checkpoint"))
     return spark.read.schema(df.schema).parquet(f"{root}/rows")
 
 
+def closed(
+    spark: SparkSession,
+    make: Callable[[DataFrame], DataFrame],
+    folder: str,
+    begin: Callable[[DataFrame], StreamingQuery],
+) -> DataFrame:
+    """Run `make(closing)` by `begin` to its end, then once more with a closing row in `folder`; gives the stream."""
+    spark.createDataFrame([], "ts_us bigint").write.parquet(folder)
+    df = make(spark.readStream.schema("ts_us bigint").parquet(folder))
+    begin(df).awaitTermination()
+    spark.createDataFrame([(CLOSING_US,)], "ts_us bigint").write.mode("append").parquet(folder)
+    begin(df).awaitTermination()
+    return df
+
+
 def stop_early(query: StreamingQuery) -> None:
     """End a running stream after its current batch; a restart goes on from the checkpoint."""
     query.stop()
