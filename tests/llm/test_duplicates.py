@@ -3,6 +3,7 @@ import itertools
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from plain import Groups, words_of
@@ -201,6 +202,27 @@ def test_odd_texts_are_hashed(odd):
     assert simhash.near_duplicates(simhash.fingerprints(odd.limit(0))).count() == 0
 
 
+@pytest.mark.parametrize("n, pairs", [(20_000, 10), (100_000, 60)])
+def test_rare_links_are_found(spark, n, pairs):
+    """Random vectors, and few pairs just above the threshold: rarer than one vector in a thousand."""
+    rng = np.random.default_rng(n)
+    vectors = rng.standard_normal((n, 64))
+    vectors /= np.linalg.norm(vectors, axis=1, keepdims=True)
+    aside = rng.standard_normal((pairs, 64))
+    aside -= (aside * vectors[:pairs]).sum(axis=1, keepdims=True) * vectors[:pairs]
+    aside /= np.linalg.norm(aside, axis=1, keepdims=True)
+    cosine = rng.uniform(0.931, 0.945, (pairs, 1))
+    near = cosine * vectors[:pairs] + np.sqrt(1 - cosine**2) * aside
+    every = np.concatenate([vectors, near])
+    flat = pa.FixedSizeListArray.from_arrays(pa.array(every.ravel()), 64).cast(pa.list_(pa.float64()))
+    table = pa.table({"vec_id": np.arange(len(every)), "embedding": flat, "label": np.zeros(len(every), np.int64)})
+    rows = spark.createDataFrame(table).repartition(8)
+    found = multi_index.near_duplicates(rows).where("n_links > 0").collect()
+    linked = {r.vec_id: r.component_id for r in found}
+    assert all(linked[n + i] == i for i in range(pairs) if n + i in linked)
+    assert sum(n + i in linked for i in range(pairs)) >= 0.98 * pairs
+
+
 # --- repeats --------------------------------------------------------------------------------
 
 

@@ -2,13 +2,14 @@
 
 Each half of the vectors has its own codebook; a pair of codewords is a cell of the product grid. Every
 vector is stored in its home cell and visits the cells nearest to it, in the order of the summed distances
-of both halves (a multi-sequence traversal). How many cells are visited is measured: a bounded set of
-query vectors is compared with all vectors, and the traversal goes on as far as it takes to reach
-`target_recall` of their links. Vectors that meet in a cell are verified by their cosine in double
-precision.
-
-Bounds: codebooks are fitted on about `SAMPLE_ROWS` vectors and the traversal is measured with `QUERY_ROWS`,
-both those of smallest hash; all vectors are indexed. Equal vectors of a label are one class with a
+of both halves (a multi-sequence traversal). How many cells are visited is measured, twice: a bounded set of
+query vectors is compared with all vectors, each linked pair counting once, and the same vectors get planted
+neighbours, at just the threshold in random directions. The traversal goes on as far as it takes to reach
+`target_recall` of both, so rare or loose links are found as well as frequent ones. Vectors that meet in a cell
+are verified by their cosine in double precision.
+
+Bounds: codebooks are fitted on about `SAMPLE_ROWS` vectors (`CODE_ROWS` for each codeword, if that is more) and
+the traversal is measured with `QUERY_ROWS`, both those of smallest hash; all vectors are indexed. Equal vectors of a label are one class with a
 number of copies. Cells with many vectors or visitors are dealt into blocks of about `BLOCK_ROWS`, and
 every block of vectors meets every block of visitors. A task gives counts and a spanning forest of links,
 never pairs.
@@ -29,13 +30,16 @@ from pyspark.sql import functions as F
 from wirelens.llm.common import components, sampled
 from wirelens.session import measured_table, scratch_table
 
-SAMPLE_ROWS = 8_192
+SAMPLE_ROWS, CODE_ROWS = 8_192, 32
 QUERY_ROWS = 1_024
+#: Neighbours planted next to each query vector.
+PLANTED = 4
 BLOCK_ROWS = 512
+#: Vectors whose distances to all codewords are held at a time.
+BLOCK = 4_096
 #: Vectors for each cell of a label's grid, on average, before codebooks reach their largest size.
 CELL_ROWS = 64
-FEWEST_CODES, MOST_CODES = 16, 256
-LEAST_VISITS = 4
+FEWEST_CODES, MOST_CODES = 16, 1024
 
 
 def _units(rows: DataFrame, dims: int) -> DataFrame:
@@ -73,7 +77,9 @@ def _codebook(points: np.ndarray, size: int, rounds: int = 12) -> np.ndarray:
     size = min(size, len(points))
     centers = points[np.linspace(0, len(points) - 1, size).astype(int)]
     for _ in range(rounds):
-        nearest = _distances(points, centers).argmin(axis=1)
+        nearest = np.concatenate(
+            [_distances(points[i : i + BLOCK], centers).argmin(axis=1) for i in range(0, len(points), BLOCK)]
+        )
         counts = np.bincount(nearest, minlength=size)
         sums = np.zeros_like(centers)
         np.add.at(sums, nearest, points)
@@ -131,39 +137,71 @@ def _forest(links: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.
     return np.concatenate([left, right]), np.concatenate([mark_left, mark_right])
 
 
+class Traversal:
+    """The cells in the order in which each of some vectors visits them."""
+
+    def __init__(self, grid: Grid, vectors: np.ndarray):
+        self.one, self.two = grid.distances(vectors)
+        self.ordered = np.sort(self.two, axis=1)
+
+    @property
+    def cells(self) -> int:
+        return self.one.shape[1] * self.two.shape[1]
+
+    def place(self, q: int, cell: int) -> int:
+        """How many cells come before `cell` for vector `q`."""
+        far = self.one[q, cell // self.two.shape[1]] + self.two[q, cell % self.two.shape[1]]
+        return int(np.searchsorted(self.ordered[q], far - self.one[q], side="left").sum())
+
+
+def _needed(places: list[tuple[int, int]], target: float) -> int:
+    """How many cells hold `target` of what lies at these places, as (place, number) in order of places."""
+    total, have = sum(n for _, n in places), 0
+    for place, n in places:
+        have += n
+        if have >= target * total:
+            return place + 1
+    return 1
+
+
+def _planted_visits(queries: np.ndarray, grid: Grid, threshold: float, target: float) -> int:
+    """How many cells the traversal visits to find neighbours whose cosine is just the threshold."""
+    rng = np.random.default_rng(len(queries))
+    traversal, places = Traversal(grid, queries), []
+    for _ in range(PLANTED):
+        aside = rng.standard_normal(queries.shape)
+        aside -= (aside * queries).sum(axis=1, keepdims=True) * queries
+        length = np.sqrt((aside * aside).sum(axis=1, keepdims=True))
+        if not (length > 0).all():  # one dimension has no aside
+            continue
+        near = threshold * queries + np.sqrt(max(0.0, 1 - threshold * threshold)) * aside / length
+        homes = grid.homes(*grid.distances(near))
+        places += [traversal.place(q, int(cell)) for q, cell in enumerate(homes)]
+    at, n = np.unique(np.array(places, np.int64), return_counts=True)
+    return _needed(list(zip(at.tolist(), n.tolist())), target)
+
+
 def _measured_visits(classes: DataFrame, sample: pa.Table, grid: Grid, dims: int, threshold: float, target: float) -> int:
     """How many cells the traversal visits so that the queries find `target` of their links."""
     queries = _matrix(sample.column("unit"), dims)
     names, labels = sample.column("cid").to_numpy(), np.array(sample.column("label").to_pylist())
-    one, two = grid.distances(queries)
-    ordered = np.sort(two, axis=1)
-    most = one.shape[1] * two.shape[1]
+    traversal = Traversal(grid, queries)
 
     def run(batches):
         for batch in batches:
             vectors = _matrix(batch.column("unit"), dims)
             cid, label = batch.column("cid").to_numpy(), np.array(batch.column("label").to_pylist())
-            copies = batch.column("copies").to_numpy()
             homes = grid.homes(*grid.distances(vectors))
-            ranks = np.zeros(most, np.int64)
+            places = np.zeros(traversal.cells, np.int64)
             for q in range(len(queries)):
                 found = (vectors @ queries[q] >= threshold) & (label == labels[q]) & (cid != names[q])
-                cells, at = np.unique(homes[found], return_inverse=True)
-                weights = np.bincount(at, copies[found]).astype(np.int64)
-                for cell, weight in zip(cells.tolist(), weights.tolist()):
-                    far = one[q, cell // two.shape[1]] + two[q, cell % two.shape[1]]
-                    ranks[np.searchsorted(ordered[q], far - one[q], side="left").sum()] += weight
-            at = np.flatnonzero(ranks)
-            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(ranks[at])], names=["rank", "n"])
-
-    counts = classes.mapInArrow(run, "rank long, n long").groupBy("rank").agg(F.sum("n").alias("n")).orderBy("rank")
-    found = [(r.rank, r.n) for r in counts.collect()]  # at most one row per cell of the grid
-    total, have = sum(n for _, n in found), 0
-    for rank, n in found:
-        have += n
-        if have >= target * total:
-            return max(LEAST_VISITS, rank + 1)
-    return LEAST_VISITS
+                for cell, n in zip(*(x.tolist() for x in np.unique(homes[found], return_counts=True))):
+                    places[traversal.place(q, cell)] += n
+            at = np.flatnonzero(places)
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(places[at])], names=["place", "n"])
+
+    counts = classes.mapInArrow(run, "place long, n long").groupBy("place").agg(F.sum("n").alias("n")).orderBy("place")
+    return _needed([(r.place, r.n) for r in counts.collect()], target)  # at most one row per cell of the grid
 
 
 def near_duplicates(
@@ -205,11 +243,15 @@ def near_duplicates(
 
 def _linked(classes: DataFrame, n: int, dims: int, threshold: float, target: float) -> DataFrame:
     """(label, unit, n_links, component) of every class."""
-    sample = sampled(classes, n, SAMPLE_ROWS, "unit", "label")
-    picked = sample.orderBy(F.xxhash64("unit", "label")).select("cid", "label", "unit").toArrow()
     codes = int(np.clip(np.sqrt(n / CELL_ROWS), FEWEST_CODES, MOST_CODES))
+    sample = sampled(classes, n, max(SAMPLE_ROWS, CODE_ROWS * codes), "unit", "label")
+    picked = sample.orderBy(F.xxhash64("unit", "label")).select("cid", "label", "unit").toArrow()
     grid = Grid(_matrix(picked.column("unit"), dims), codes)
-    visits = _measured_visits(classes, picked.slice(0, QUERY_ROWS), grid, dims, threshold, target)
+    queries = picked.slice(0, QUERY_ROWS)
+    visits = max(
+        _planted_visits(_matrix(queries.column("unit"), dims), grid, threshold, target),
+        _measured_visits(classes, queries, grid, dims, threshold, target),
+    )
 
     def place(batches):
         for batch in batches:
