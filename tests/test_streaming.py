@@ -1,7 +1,9 @@
 """Streams fed file by file give what the batch operators give."""
 
+import bisect
 import random
 
+import pandas as pd
 import pytest
 from made_rows import T0, log, packet
 from wirelens.operators import features
@@ -99,45 +101,118 @@ def test_late_rows_add_up_over_reports():
     assert seen.dropped == {"q": 7}
 
 
-class State:
-    """What the stateful functions use of a key's state."""
+class Kept:
+    """A value or a list in a key's state, as the processors use it; counts what is written."""
 
-    def __init__(self, watermark_us=0, timed_out=False, value=None):
-        self.watermark_us, self.hasTimedOut, self.value, self.due = watermark_us, timed_out, value, None
+    def __init__(self):
+        self.value, self.written = None, 0
 
-    exists = property(lambda self: self.value is not None)
-    get = property(lambda self: self.value)
+    def exists(self):
+        return self.value is not None
+
+    def get(self):
+        return self.value
 
     def update(self, value):
         self.value = value
 
-    def remove(self):
+    def clear(self):
         self.value = None
 
-    def setTimeoutTimestamp(self, due):
-        self.due = due
+    def appendList(self, rows):
+        self.value = (self.value or []) + rows
+        self.written += len(rows)
+
+    def put(self, rows):
+        self.value = rows
+        self.written += len(rows)
+
+
+class Key:
+    """One key of a processor, whose timers fire as the watermark moves."""
+
+    def __init__(self, processor, key=("c", "a", "b")):
+        self.processor, self.key, self.timers, self.now, self.out = processor, key, set(), 0, []
+        self.registerTimer, self.deleteTimer = self.timers.add, self.timers.discard
+        self.getListState = self.getValueState = lambda name, schema: Kept()
+        processor.init(self)
 
-    def getCurrentWatermarkMs(self):
-        return self.watermark_us // 1000
+    def getCurrentWatermarkInMs(self):
+        return self.now
+
+    def take(self, *rows):
+        pdf = pd.DataFrame(list(rows), columns=self.processor.columns)
+        self.out += self.processor.handleInputRows(self.key, iter([pdf]), self)
+
+    def move(self, now_us):
+        self.now = now_us // 1000
+        while due := [t for t in self.timers if t <= self.now]:
+            self.timers.difference_update(due)
+            for _ in due:
+                self.out += list(self.processor.handleExpiredTimer(self.key, self, None))
+
+    @property
+    def empty(self):
+        p = self.processor
+        return not (p.events.exists() or p.mark.exists() or p.known.exists() or self.timers)
 
 
 def test_state_goes_when_nothing_waits():
-    minute, key = stateful.WINDOW_US, ("c", "a", "b")
-    state = State(10 * minute, value=([0, 1], False))
-    assert list(stateful._burst(key, [], state, 5, minute)) == [] and not state.exists
-    state = State(10 * minute, value=([0, 1, 2], False))
-    assert len(list(stateful._burst(key, [], state, 3, minute))) == 1
-    assert state.get[1] and state.due * 1000 >= stateful.IDLE_US
-    state.hasTimedOut = True
-    assert list(stateful._burst(key, [], state, 3, minute)) == [] and not state.exists
-    state = State(10 * minute, value=([0, 1], ["x", "y"]))
-    assert len(list(stateful._scan(key, [], state, 1, minute))) == 1 and not state.exists
-    state = State(10 * minute, value=([1, 2], 0, 0, 0, 0.0, 0.0, False))
-    list(stateful._beacon(key, [], state, 5, 1.0))
-    assert state.get[1] == 2 and state.due * 1000 >= stateful.IDLE_US
-    state.hasTimedOut = True
-    list(stateful._beacon(key, [], state, 5, 1.0))
-    assert not state.exists
+    minute = stateful.WINDOW_US
+    bursts = Key(stateful.Bursts(5, minute), ("c", "s"))
+    bursts.take((0,), (1,))
+    bursts.move(10 * minute)
+    assert bursts.out == [] and bursts.empty
+    bursts = Key(stateful.Bursts(3, minute), ("c", "s"))
+    bursts.take((5,), (0,), (1,))
+    bursts.move(10 * minute)
+    (row,) = bursts.out[0].itertuples(index=False, name=None)
+    assert row == ("c", "s", 3, 0, 5) and not bursts.empty
+    bursts.take((11 * minute,), (11 * minute + 1,), (11 * minute + 2,))
+    bursts.move(20 * minute)
+    assert len(bursts.out) == 1 and bursts.processor.events.get() is None  # fires once
+    bursts.move(stateful.IDLE_US + 10 * minute)
+    assert bursts.empty
+    scans = Key(stateful.Scans(1, minute))
+    scans.take((0, "x"), (1, "y"))
+    scans.move(10 * minute)
+    assert len(scans.out) == 1 and scans.empty
+    beacons = Key(stateful.Beacons(5, 1.0))
+    beacons.take((1,), (2,))
+    beacons.move(10 * minute)
+    assert beacons.processor.known.get()[0] == 2 and not beacons.empty
+    beacons.move(stateful.IDLE_US + 11 * minute)
+    assert beacons.empty
+
+
+def test_waiting_events_are_appended_not_written_anew():
+    """A hundred thousand events of one key in a thousand batches, as the watermark follows them."""
+    random.seed(3)
+    minute, n = stateful.WINDOW_US, 100_000
+    times = sorted(random.randrange(200 * minute) for _ in range(n))
+    scans = Key(stateful.Scans(0, minute))
+    for first in range(0, n, 100):
+        part = times[first : first + 100]
+        scans.take(*[(t, "x") for t in random.sample(part, len(part))])
+        scans.move(max(0, part[-1] - 2 * minute))
+    scans.move(1000 * minute)
+    want, at = [], 0
+    while at < n:
+        end = bisect.bisect_right(times, times[at] + minute)
+        want.append((times[at], times[end - 1]))
+        at = end
+    rows = [row for pdf in scans.out for row in pdf[["open_us", "close_us"]].itertuples(index=False, name=None)]
+    assert rows == want and scans.empty
+    assert scans.processor.events.written < 3 * n
+
+
+def test_many_waiting_events_of_one_key(spark, tmp_path):
+    rows = [packet(i, us=i * 500, proto="DNS", dport=53, flags=[]) for i in range(100_000)]
+    stream = land(spark, tmp_path / "in", [rows[:50_000], rows[50_000:]])
+    (row,) = sources.replay(
+        spark, lambda c: stateful.burst_stream(stream, "src_ip", 90_000, closing=c), "bursts"
+    ).collect()
+    assert (row.burst_n, row.first_us, row.last_us) == (100_000, T0, T0 + 99_999 * 500)
 
 
 def test_stop_and_go_on(spark, tmp_path):

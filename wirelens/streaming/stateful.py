@@ -1,21 +1,24 @@
 """Streaming forms that need ordered state per key: bursts, greedy scans, beaconing.
 
-Events wait in the state of their key until the watermark says that nothing earlier can come; then
-they are taken in order. What waits is bounded by the window plus the allowed lateness. The state of a
-key goes when nothing waits; what is remembered longer (that a source has fired, the gaps of a pair)
-goes after `IDLE_US` of event time without events, and the key then starts anew.
+Events wait in the state of their key until the watermark says that nothing earlier can come; then they are
+taken in order. New events are appended to a list in the state store (RocksDB, see `session`), which is read when
+a timer of the key fires, not at every batch. What is settled is marked by a time; the list is written anew only
+when more than half of it is settled, so each event is written about twice. What waits is bounded by the window
+plus the allowed lateness.
+
+The state of a key goes when nothing waits; what is remembered longer (that a source has fired, the gaps of a
+pair) goes after `IDLE_US` of event time without events, and the key then starts anew.
 """
 
 from __future__ import annotations
 
-from functools import partial
-from typing import Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor
 
 from wirelens.streaming.sources import LATENESS, timed
 
@@ -23,52 +26,120 @@ WINDOW_US = 60_000_000
 IDLE_US = 24 * 3600 * 1_000_000
 
 
-def _arm(state: GroupState, due_us: int) -> None:
-    """Wake up when the watermark passes `due_us`, even without new events."""
-    state.setTimeoutTimestamp(max(due_us // 1000 + 1, state.getCurrentWatermarkMs() + 1))
-
+class Waiting(StatefulProcessor):
+    """Events of a key that wait, and the key's one timer.
 
-def _watermark_us(state: GroupState) -> int:
-    return state.getCurrentWatermarkMs() * 1000
+    `columns` are those of the events that are kept, `ts_us` first. `due(times)` says by when the first of the
+    waiting events is to be looked at; `settle` takes what is settled.
+    """
 
+    columns, types = ("ts_us",), "ts_us bigint"
+    memory = "done boolean"  # what a key remembers besides
 
-def _times(batches: Iterator[pd.DataFrame]) -> list[int]:
-    return [int(t) for pdf in batches for t in pdf["ts_us"]]
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.events = handle.getListState("events", self.types)
+        self.mark = handle.getValueState("mark", "since bigint, timer bigint")
+        self.known = handle.getValueState("known", self.memory)
 
+    def close(self) -> None:
+        pass
 
-def _burst(key, batches, state: GroupState, threshold: int, window_us: int):
-    waiting, done = state.get if state.exists else ([], False)
-    times = np.sort(np.array(list(waiting) + _times(batches), dtype=np.int64))
-    if done:
-        if state.hasTimedOut:
-            state.remove()
+    def arm(self, since: int, due_us: int, now_ms: int) -> None:
+        """Events before `since` are settled; wake up when the watermark passes `due_us`, if that is sooner."""
+        timer = max(due_us // 1000 + 1, now_ms + 1)
+        old = self.mark.get()[1] if self.mark.exists() else None
+        if old is not None and old <= now_ms:
+            old = None  # has fired
+        if old is not None and old <= timer:
+            timer = old
         else:
-            _arm(state, _watermark_us(state) + IDLE_US)
-        return
-    settled = _watermark_us(state)
-    ahead = np.searchsorted(times, times + window_us, side="right")
-    decided = times + window_us < settled
-    hits = np.flatnonzero(decided & (ahead - np.arange(len(times)) >= threshold))
-    if hits.size:
-        i = int(hits[0])
-        state.update(([], True))
-        _arm(state, int(times[-1]) + IDLE_US)
-        yield pd.DataFrame(
-            {
-                "capture_id": [key[0]],
-                "source": [key[1]],
-                "burst_n": [int(ahead[i] - i)],
-                "first_us": [int(times[i])],
-                "last_us": [int(times[ahead[i] - 1])],
-            }
-        )
-        return
-    left = times[~decided].tolist()
-    if left:
-        state.update((left, False))
-        _arm(state, left[0] + window_us)
-    elif state.exists:
-        state.remove()
+            if old is not None:
+                self.handle.deleteTimer(old)
+            self.handle.registerTimer(timer)
+        self.mark.update((since, timer))
+
+    def forget(self) -> None:
+        for state in (self.events, self.mark, self.known):
+            state.clear()
+
+    def rest(self) -> None:
+        """Nothing waits; what is known stays until the key has been idle."""
+        self.events.clear()
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        now_ms = int(timerValues.getCurrentWatermarkInMs())
+        since = self.mark.get()[0] if self.mark.exists() else -(1 << 62)
+        first = last = None
+        for pdf in rows:
+            if not len(pdf):
+                continue
+            low, high = int(pdf["ts_us"].min()), int(pdf["ts_us"].max())
+            first, last = low if first is None else min(first, low), high if last is None else max(last, high)
+            if not self.ended():
+                self.events.appendList(list(pdf[list(self.columns)].itertuples(index=False, name=None)))
+        if first is not None:
+            if self.ended():
+                self.mark.update((since, self.mark.get()[1]))
+            else:
+                self.arm(min(since, first) if since > first else since, first + self.wait_us, now_ms)
+        return iter(())
+
+    def ended(self) -> bool:
+        """Whether the key takes no more events."""
+        return False
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now_ms = int(timerValues.getCurrentWatermarkInMs())
+        since = self.mark.get()[0] if self.mark.exists() else -(1 << 62)
+        every = list(self.events.get()) if self.events.exists() else []
+        waiting = sorted((e for e in every if e[0] >= since), key=lambda e: e[0])
+        if not waiting:
+            self.forget()
+            return
+        found, left, until = self.settle(key, waiting, now_ms * 1000)
+        if found is not None:
+            yield found
+        if not left:
+            self.rest()
+            if self.known.exists():
+                self.mark.update((until, None))
+                self.arm(until, waiting[-1][0] + IDLE_US, now_ms)
+            else:
+                self.forget()
+            return
+        if 2 * len(left) < len(every):
+            self.events.put(left)
+        self.mark.update((until, None))
+        self.arm(until, left[0][0] + self.wait_us, now_ms)
+
+
+class Bursts(Waiting):
+    """The first burst of a source; a source that has fired keeps one flag."""
+
+    def __init__(self, threshold: int, window_us: int):
+        self.threshold, self.wait_us = threshold, window_us
+
+    def ended(self) -> bool:
+        return self.known.exists()
+
+    def settle(self, key, waiting: list[tuple], settled_us: int):
+        times = np.array([t for (t,) in waiting], np.int64)
+        ahead = np.searchsorted(times, times + self.wait_us, side="right")
+        decided = times + self.wait_us < settled_us
+        hits = np.flatnonzero(decided & (ahead - np.arange(len(times)) >= self.threshold))
+        if hits.size:
+            i = int(hits[0])
+            self.known.update((True,))
+            row = (*key, int(ahead[i] - i), int(times[i]), int(times[ahead[i] - 1]))
+            columns = ["capture_id", "source", "burst_n", "first_us", "last_us"]
+            return pd.DataFrame([row], columns=columns), [], settled_us
+        left = [(int(t),) for t in times[~decided]]
+        return None, left, left[0][0] if left else settled_us
+
+
+def _keyed(rows: DataFrame, keys: list[str], processor: StatefulProcessor, schema: str) -> DataFrame:
+    return rows.groupBy(*keys).transformWithStateInPandas(processor, schema, "Append", "EventTime")
 
 
 def burst_stream(
@@ -79,40 +150,39 @@ def burst_stream(
     lateness: str = LATENESS,
     closing: DataFrame | None = None,
 ) -> DataFrame:
-    """First burst per source, as `first_burst` in batch. A source that has fired keeps one flag."""
+    """First burst per source, as `first_burst` in batch."""
     rows = timed(events.select("capture_id", F.col(source).alias("source"), "ts_us"), lateness, closing)
-    return rows.groupBy("capture_id", "source").applyInPandasWithState(
-        partial(_burst, threshold=threshold, window_us=window_us),
+    return _keyed(
+        rows,
+        ["capture_id", "source"],
+        Bursts(threshold, window_us),
         "capture_id string, source string, burst_n bigint, first_us bigint, last_us bigint",
-        "waiting array<bigint>, done boolean",
-        "append",
-        GroupStateTimeout.EventTimeTimeout,
     )
 
 
-def _scan(key, batches, state: GroupState, more_than: int, window_us: int):
-    times, items = (list(part) for part in state.get) if state.exists else ([], [])
-    for pdf in batches:
-        times += [int(t) for t in pdf["ts_us"]]
-        items += list(pdf["item"])
-    order = np.argsort(times, kind="stable") if times else np.array([], dtype=int)
-    times = np.array(times, dtype=np.int64)[order]
-    items = [items[i] for i in order]
-    settled, at, found = _watermark_us(state), 0, []
-    while at < len(times) and times[at] + window_us < settled:
-        end = int(np.searchsorted(times, times[at] + window_us, side="right"))
-        distinct = len(set(items[at:end]))
-        if distinct > more_than:
-            found.append((*key, distinct, int(times[at]), int(times[end - 1])))
-        at = end
-    if at < len(times):
-        state.update((times[at:].tolist(), items[at:]))
-        _arm(state, int(times[at]) + window_us)
-    elif state.exists:
-        state.remove()
-    if found:
-        yield pd.DataFrame(
-            found, columns=["capture_id", "a", "b", "items", "open_us", "close_us"]
+class Scans(Waiting):
+    """Greedy windows: each opens at the first event that no earlier one holds."""
+
+    columns, types = ("ts_us", "item"), "ts_us bigint, item string"
+
+    def __init__(self, more_than: int, window_us: int):
+        self.more_than, self.wait_us = more_than, window_us
+
+    def settle(self, key, waiting: list[tuple], settled_us: int):
+        times = np.array([t for t, _ in waiting], np.int64)
+        at, found = 0, []
+        while at < len(times) and times[at] + self.wait_us < settled_us:
+            end = int(np.searchsorted(times, times[at] + self.wait_us, side="right"))
+            distinct = len({item for _, item in waiting[at:end]})
+            if distinct > self.more_than:
+                found.append((*key, distinct, int(times[at]), int(times[end - 1])))
+            at = end
+        columns = ["capture_id", "a", "b", "items", "open_us", "close_us"]
+        left = waiting[at:]
+        return (
+            pd.DataFrame(found, columns=columns) if found else None,
+            left,
+            left[0][0] if left else settled_us,
         )
 
 
@@ -138,56 +208,50 @@ def scan_stream(
         lateness,
         closing,
     )
-    found = rows.groupBy("capture_id", "a", "b").applyInPandasWithState(
-        partial(_scan, more_than=more_than, window_us=window_us),
+    found = _keyed(
+        rows,
+        ["capture_id", "a", "b"],
+        Scans(more_than, window_us),
         "capture_id string, a string, b string, items bigint, open_us bigint, close_us bigint",
-        "times array<bigint>, items array<string>",
-        "append",
-        GroupStateTimeout.EventTimeTimeout,
     )
     return found.withColumnsRenamed({"a": a, "b": b})
 
 
-def _beacon(key, batches, state: GroupState, above: int, deviation_us: float):
-    if state.exists:
-        waiting, n, first, last, mean, squares, told = state.get
-    else:
-        waiting, n, first, last, mean, squares, told = [], 0, 0, 0, 0.0, 0.0, False
-    times = np.sort(np.array(list(waiting) + _times(batches), dtype=np.int64))
-    settled = times < _watermark_us(state)
-    for t in times[settled].tolist():
-        n += 1
-        if n == 1:
-            first = t
-        else:  # running mean and sum of squared deviations of the gaps
-            gap = t - last
-            delta = gap - mean
-            mean += delta / (n - 1)
-            squares += delta * (gap - mean)
-        last = t
-    left = times[~settled].tolist()
-    if not len(times) and state.hasTimedOut:
-        state.remove()
-        return
-    deviation = (squares / (n - 2)) ** 0.5 if n > 2 else float("inf")
-    beacons = n > above and deviation < deviation_us
-    tell = settled.any() and (beacons or told)
-    state.update((left, n, first, last, mean, squares, bool(beacons if settled.any() else told)))
-    _arm(state, left[0] if left else last + IDLE_US)
-    if tell:
-        yield pd.DataFrame(
-            {
-                "capture_id": [key[0]],
-                "src_ip": [key[1]],
-                "dst_ip": [key[2]],
-                "n": [n],
-                "first_us": [first],
-                "last_us": [last],
-                "mean_gap_us": [mean],
-                "std_gap_us": [deviation],
-                "beacons": [beacons],
-            }
+class Beacons(Waiting):
+    """Number, mean and squared deviations of a pair's gaps, by running updates in order of time."""
+
+    memory = "n bigint, first bigint, last bigint, mean double, squares double, told boolean"
+    wait_us = 0
+
+    def __init__(self, above: int, deviation_us: float):
+        self.above, self.deviation_us = above, deviation_us
+
+    def settle(self, key, waiting: list[tuple], settled_us: int):
+        n, first, last, mean, squares, told = (
+            self.known.get() if self.known.exists() else (0, 0, 0, 0.0, 0.0, False)
         )
+        cut = next((i for i, (t,) in enumerate(waiting) if t >= settled_us), len(waiting))
+        for (t,) in waiting[:cut]:
+            n += 1
+            if n == 1:
+                first = t
+            else:
+                gap = t - last
+                delta = gap - mean
+                mean += delta / (n - 1)
+                squares += delta * (gap - mean)
+            last = t
+        deviation = (squares / (n - 2)) ** 0.5 if n > 2 else float("inf")
+        beacons = n > self.above and deviation < self.deviation_us
+        self.known.update((n, first, last, mean, squares, beacons))
+        found = None
+        if cut and (beacons or told):
+            columns = [
+                "capture_id", "src_ip", "dst_ip", "n", "first_us", "last_us", "mean_gap_us", "std_gap_us", "beacons",
+            ]
+            found = pd.DataFrame([(*key, n, first, last, mean, deviation, beacons)], columns=columns)
+        left = waiting[cut:]
+        return found, left, left[0][0] if left else settled_us
 
 
 def beacon_stream(
@@ -203,11 +267,10 @@ def beacon_stream(
     `beacons`.
     """
     rows = timed(packets.select("capture_id", "src_ip", "dst_ip", "ts_us"), lateness, closing)
-    return rows.groupBy("capture_id", "src_ip", "dst_ip").applyInPandasWithState(
-        partial(_beacon, above=above, deviation_us=deviation_s * 1e6),
+    return _keyed(
+        rows,
+        ["capture_id", "src_ip", "dst_ip"],
+        Beacons(above, deviation_s * 1e6),
         "capture_id string, src_ip string, dst_ip string, n bigint, first_us bigint, "
         "last_us bigint, mean_gap_us double, std_gap_us double, beacons boolean",
-        "waiting array<bigint>, n bigint, first bigint, last bigint, mean double, squares double, told boolean",
-        "append",
-        GroupStateTimeout.EventTimeTimeout,
     )
