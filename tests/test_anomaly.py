@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from made_rows import T0
 from wirelens.operators.anomaly import ensemble, lof, prepare, svm
@@ -120,11 +121,42 @@ def test_one_class_model_does_not_depend_on_chunks(spark, monkeypatch):
         monkeypatch.setattr(prepare, "CHUNK_ROWS", chunk_rows)
         stats = scratch_table(prepare.feature_stats(table), "svm-stats")
         rows = scratch_table(prepare.scaled_rows(table, stats), "svm-rows")
-        model = scratch_table(svm.train(rows, 0.1), "svm-model")
+        model = scratch_table(svm.train(rows, 0.1, chunk_rows), "svm-model")
         scores = svm.score_svm(rows, model, prepare.chunk_counts(stats)).orderBy("w").collect()
         found.append([r["svm_score"] for r in scores])
     assert len(found[0]) == 120
-    np.testing.assert_allclose(found[0], found[1], rtol=1e-12)
+    np.testing.assert_allclose(found[0], found[1], rtol=1e-6)
+
+
+def test_several_large_captures_are_fitted_over_all_their_rows(spark, monkeypatch):
+    monkeypatch.setattr(svm, "AT_ONCE", 2)
+    random = np.random.RandomState(5)
+    parts = {c: random.normal(0.0, 1.0 + i, (90, 18)) for i, c in enumerate("abcd")}
+    table = windows(spark, parts["a"]).limit(0)
+    for capture, x in parts.items():
+        table = table.union(windows(spark, x[: 8 if capture == "d" else 90]).withColumn("capture_id", F.lit(capture)))
+    table = scratch_table(table, "svm-windows")
+    rows = scratch_table(prepare.scaled_rows(table, prepare.feature_stats(table)), "svm-rows")
+    together = {(r.capture_id, r.component): r.weight for r in svm.train(rows, 0.1, 20).collect()}
+    alone = {(r.capture_id, r.component): r.weight for r in svm.train(rows, 0.1).collect()}
+    assert together.keys() == alone.keys() and len(alone) == 4 * svm.COMPONENTS
+    for key, weight in alone.items():
+        assert together[key] == pytest.approx(weight, abs=1e-6)
+
+
+def test_the_solution_has_the_least_norm():
+    """Against all corners' means by long conditional gradient in the features' space."""
+    z = svm.fourier(np.random.RandomState(2).normal(0.0, 1.0, (200, 18)), 1 / 18)
+    enough, found = 20, svm.Solution()
+    while not found.done:
+        seen = svm.Histogram(z, found.weights, enough)
+        found.add(svm.lowest_mean(seen.bins, seen.counts, seen.sums, enough))
+    weights = z.mean(axis=0)
+    for step in range(5000):
+        low = np.argpartition(z @ weights, enough - 1)[:enough]
+        weights = weights + (z[low].mean(axis=0) - weights) * 2 / (step + 2)
+    assert found.weights @ found.weights == pytest.approx(weights @ weights, rel=0.02)
+    assert np.corrcoef(z @ weights, z @ found.weights)[0, 1] > 0.98
 
 
 def test_one_class_model_is_near_the_exact_dual(spark):

@@ -2,7 +2,9 @@
 
 import json
 import random
+import time
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -145,3 +147,63 @@ def test_every_category_has_recommendations(spark):
     assert all(len(r[0]) == 3 for r in cats.select(classify.recommendations("category")).collect())
     other = spark.createDataFrame([("OTHER",)], "category string")
     assert other.select(classify.recommendations(F.col("category"))).first()[0] == []
+
+
+def plain_walk(rows):
+    """Threats one by one; each row (first, last, score, method) goes to the first that it overlaps."""
+    threats, out = [], []
+    for first, last, score, method in rows:
+        no = next((i for i, t in enumerate(threats) if t[0] <= last and t[1] >= first), None)
+        leads = joins = False
+        if no is None:
+            no, leads = len(threats), True
+            threats.append([first, last, score, method, 0])
+        elif score > threats[no][2]:
+            threats[no][:4] = first, last, score, method
+            threats[no][4] += 1
+            leads = True
+        elif {threats[no][3], method} == {0, 1}:
+            threats[no][3], joins = 2, True
+            threats[no][2] = min(threats[no][2] + 15, 100)
+        out.append((no, threats[no][4], leads, joins))
+    return out
+
+
+def island_of(rows):
+    frame = pd.DataFrame(rows, columns=["first_us", "last_us", "severity_score", "method"])
+    return frame.assign(capture_id="c", island="i", alert_id=[str(i) for i in range(len(rows))])
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_ranges_are_found_as_by_a_plain_walk(seed):
+    rng = random.Random(seed)
+    span = rng.choice([20, 300, 100_000])
+    rows = []
+    for _ in range(600):
+        first = rng.randrange(span)
+        last = first + rng.randrange(rng.choice([1, 5, span // 4]) + 1)
+        rows.append((first, last, rng.choice([30, 50, 50, 70, 90]), rng.choice([0, 0, 0, 1])))
+    rows[17] = (0, -1, 50, 0)  # without times
+    got = classify._assign_island(island_of(rows))
+    assert list(got[["threat_no", "epoch", "leads", "joins_methods"]].itertuples(index=False, name=None)) == plain_walk(rows)
+
+
+def test_islands_may_span_batches():
+    rng = random.Random(2)
+    frames = []
+    for name in "abc":
+        rows = [(t, t + rng.randrange(9), rng.choice([30, 50]), 0) for t in (rng.randrange(90) for _ in range(50))]
+        frames.append(island_of(rows).assign(island=name))
+    every = pd.concat(frames, ignore_index=True)
+    whole = pd.concat(classify._assign(iter([every])), ignore_index=True)
+    parts = pd.concat(classify._assign(iter([every[i : i + 7] for i in range(0, 150, 7)])), ignore_index=True)
+    assert whole.equals(parts) and len(whole) == 150
+
+
+def test_a_large_island_takes_n_log_n_steps():
+    n = 200_000
+    rows = [(i * 10, i * 10 + 5, 50, 0) for i in range(n)] + [(0, 10 * n, 40, 0)]
+    started = time.perf_counter()
+    got = classify._assign_island(island_of(rows))
+    assert got["threat_no"].tolist() == [*range(n), 0]
+    assert time.perf_counter() - started < 60  # a linear scan per row takes minutes

@@ -6,6 +6,7 @@ A threat row keeps its members (addresses) and evidence in long form: `threat_me
 
 from __future__ import annotations
 
+import heapq
 from typing import Iterator, NamedTuple
 
 import numpy as np
@@ -217,74 +218,145 @@ def overlap_islands(candidates: DataFrame) -> DataFrame:
     ).drop("opening")
 
 
-class _Threats:
-    """Ranges, scores and methods of the threats of one island, in growing arrays."""
+class _Ranges:
+    """Current ranges of numbered threats over known points in time; which smallest number meets a range.
 
-    def __init__(self) -> None:
-        self.size = 0
-        self.start, self.end, self.score, self.method, self.epoch = (
-            np.zeros(16, dtype=np.int64) for _ in range(5)
-        )
-
-    def add(self, first: int, last: int, score: int, method: int) -> int:
-        if self.size == len(self.start):
-            for name in ("start", "end", "score", "method", "epoch"):
-                old = getattr(self, name)
-                setattr(self, name, np.concatenate([old, np.zeros_like(old)]))
-        self.size += 1
-        self.epoch[self.size - 1] = -1
-        self.lead(self.size - 1, first, last, score, method)
-        return self.size - 1
+    A range meets [first, last] if it holds `first`, or starts behind it up to `last`. A segment tree over the
+    points keeps each range in the nodes that it covers whole, and the smallest number that starts in each node. A
+    threat whose range changes gets a new epoch; entries of older ones go when they come up.
+    """
 
-    def lead(self, no: int, first: int, last: int, score: int, method: int) -> None:
-        self.start[no], self.end[no], self.score[no], self.method[no] = first, last, score, method
-        self.epoch[no] += 1
+    NONE = 1 << 62
+
+    def __init__(self, points: np.ndarray) -> None:
+        self.points = np.unique(points)
+        self.size = 1 << max(0, int(len(self.points) - 1).bit_length())
+        self.covering: dict[int, list[tuple[int, int]]] = {}
+        self.starting: dict[int, list[tuple[int, int]]] = {}
+        self.least = [self.NONE] * (2 * self.size)
+        self.epoch: list[int] = []
+        self.at: list[int] = []  # where each threat's current range starts
+
+    def ranks(self, times: np.ndarray) -> list[int]:
+        return np.searchsorted(self.points, times).tolist()
+
+    def _top(self, heap: list[tuple[int, int]] | None) -> int:
+        while heap and self.epoch[heap[0][0]] != heap[0][1]:
+            heapq.heappop(heap)
+        return heap[0][0] if heap else self.NONE
+
+    def _starts(self, rank: int) -> None:
+        node = rank + self.size
+        self.least[node] = self._top(self.starting.get(rank))
+        while node > 1:
+            node >>= 1
+            self.least[node] = min(self.least[2 * node], self.least[2 * node + 1])
+
+    def put(self, no: int, first: int, last: int) -> None:
+        """Threat `no`, known or the next new one, now has the range between these ranks."""
+        if no == len(self.epoch):
+            self.epoch.append(0)
+            self.at.append(first)
+        else:
+            self.epoch[no] += 1
+            old, self.at[no] = self.at[no], first
+            if old >= 0:
+                self._starts(old)
+        if last < first:  # no time is known: it meets nothing
+            self.at[no] = -1
+            return
+        entry = (no, self.epoch[no])
+        heapq.heappush(self.starting.setdefault(first, []), entry)
+        self._starts(first)
+        low, high = first + self.size, last + self.size + 1
+        while low < high:
+            if low & 1:
+                heapq.heappush(self.covering.setdefault(low, []), entry)
+                low += 1
+            if high & 1:
+                high -= 1
+                heapq.heappush(self.covering.setdefault(high, []), entry)
+            low, high = low >> 1, high >> 1
+
+    def first_met(self, first: int, last: int) -> int | None:
+        """The smallest number whose range meets the one between these ranks."""
+        if last < first:
+            return None
+        best, node = self.NONE, first + self.size
+        while node:
+            best = min(best, self._top(self.covering.get(node)))
+            node >>= 1
+        low, high = first + 1 + self.size, last + self.size + 1
+        while low < high:
+            if low & 1:
+                best = min(best, self.least[low])
+                low += 1
+            if high & 1:
+                high -= 1
+                best = min(best, self.least[high])
+            low, high = low >> 1, high >> 1
+        return None if best == self.NONE else best
+
+
+def _assign_island(island: pd.DataFrame) -> pd.DataFrame:
+    """Give each candidate to the first threat whose current range it overlaps, else open one.
 
-    def first_overlap(self, first: int, last: int) -> int | None:
-        n = self.size
-        hits = np.flatnonzero((self.start[:n] <= last) & (self.end[:n] >= first))
-        return int(hits[0]) if hits.size else None
+    Rows stand in order. A higher score takes over a threat: `epoch` counts these takeovers, and what an earlier
+    epoch had absorbed no longer counts.
+    """
+    first, last = island["first_us"].to_numpy(np.int64), island["last_us"].to_numpy(np.int64)
+    ranges = _Ranges(np.concatenate([first, last]))
+    starts, ends = ranges.ranks(first), ranges.ranks(last)
+    scores, methods = [], []
+    numbers, epochs, leads, joins = [], [], [], []
+    rows = zip(starts, ends, island["severity_score"].tolist(), island["method"].tolist())
+    for start, end, score, method in rows:
+        no = ranges.first_met(start, end)
+        leading = joining = False
+        if no is None:
+            no, leading = len(scores), True
+            scores.append(score)
+            methods.append(method)
+            ranges.put(no, start, end)
+        elif score > scores[no]:
+            scores[no], methods[no], leading = score, method, True
+            ranges.put(no, start, end)
+        elif {methods[no], method} == {0, 1}:
+            methods[no] = METHOD_CODE["both"]
+            scores[no] = min(scores[no] + BOTH_BONUS, 100)
+            joining = True
+        numbers.append(no)
+        epochs.append(ranges.epoch[no])
+        leads.append(leading)
+        joins.append(joining)
+    return island[["capture_id", "alert_id", "island"]].assign(
+        threat_no=numbers, epoch=epochs, leads=leads, joins_methods=joins
+    )
 
 
 def _assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Give each candidate to the first threat whose current range it overlaps, else open one.
-
-    Rows arrive sorted by island and order, and leave one by one; the state is the threats of the
-    current island. A higher score takes over a threat: `epoch` counts these takeovers, and what an
-    earlier epoch had absorbed no longer counts.
-    """
-    island, threats = None, _Threats()
+    """Islands one after the other; rows arrive sorted by island and order."""
+    held: list[pd.DataFrame] = []
     for batch in batches:
-        out = []
-        columns = ["capture_id", "alert_id", "island", "first_us", "last_us", "severity_score", "method"]
-        for capture, alert, key, first, last, score, method in batch[columns].itertuples(index=False):
-            if (capture, key) != island:
-                island, threats = (capture, key), _Threats()
-            no = threats.first_overlap(first, last)
-            leads = joins = False
-            if no is None:
-                no, leads = threats.add(first, last, score, method), True
-            elif score > threats.score[no]:
-                threats.lead(no, first, last, score, method)
-                leads = True
-            elif {int(threats.method[no]), int(method)} == {0, 1}:
-                threats.method[no] = METHOD_CODE["both"]
-                threats.score[no] = min(int(threats.score[no]) + BOTH_BONUS, 100)
-                joins = True
-            out.append((capture, alert, key, no, int(threats.epoch[no]), leads, joins))
-        yield pd.DataFrame(
-            out,
-            columns=[
-                "capture_id", "alert_id", "island", "threat_no", "epoch", "leads", "joins_methods",
-            ],
-        )
+        changes = (batch[["capture_id", "island"]] != batch[["capture_id", "island"]].shift()).any(axis=1)
+        for _, part in batch.groupby(changes.cumsum(), sort=False):
+            key = tuple(part[["capture_id", "island"]].iloc[0])
+            if held and key != tuple(held[0][["capture_id", "island"]].iloc[0]):
+                yield _assign_island(pd.concat(held, ignore_index=True))
+                held = []
+            held.append(part)
+    if held:
+        yield _assign_island(pd.concat(held, ignore_index=True))
 
 
 BOTH_BONUS = 15
 
 
 def assign_in_order(candidates: DataFrame) -> DataFrame:
-    """Order-dependent merging, as the rule text demands. Only narrow alert columns move."""
+    """Order-dependent merging, as the rule text demands. Only narrow alert columns move.
+
+    An island is one task's work, in n log n steps; islands that no range crosses are apart.
+    """
     method = F.create_map(*[F.lit(x) for pair in METHOD_CODE.items() for x in pair])
     islands = overlap_islands(candidates).select(
         "capture_id",
