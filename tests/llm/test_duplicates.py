@@ -264,9 +264,10 @@ def test_odd_texts_lose_what_came_before(odd):
     assert found_repeats(odd.limit(0)) == []
 
 
-@pytest.mark.parametrize("slice_bytes", [1 << 19, 700])
-def test_pieces_of_one_text(spark, monkeypatch, slice_bytes):
+@pytest.mark.parametrize("slice_bytes, hot", [(1 << 19, 20_000), (700, 20_000), (1 << 19, 3), (700, 3)])
+def test_pieces_of_one_text(spark, monkeypatch, slice_bytes, hot):
     monkeypatch.setattr(repeats, "SLICE", slice_bytes)
+    monkeypatch.setattr(repeats, "HOT_STRETCHES", hot)
     random.seed(4)
     base = "".join(random.choice("ab é") for _ in range(3000))
     docs = [
@@ -288,3 +289,63 @@ def test_pieces_of_one_text(spark, monkeypatch, slice_bytes):
             kept += "" if gone.issuperset(range(at, at + size)) else letter
             at += size
         assert bytes(row.kept).decode() == kept
+
+
+def test_nearest_smaller():
+    random.seed(6)
+    for n in (0, 1, 2, 30, 200):
+        for top in (1, 3, 1000):
+            values = [random.randrange(top) for _ in range(n)]
+            want = [max((j for j in range(i) if values[j] < values[i]), default=-1) for i in range(n)]
+            assert repeats.nearest_smaller(np.array(values, np.int64)).tolist() == want
+    falling = np.arange(100_000)[::-1].copy()
+    assert (repeats.nearest_smaller(falling) == -1).all()
+
+
+def test_longest_previous_factors():
+    random.seed(9)
+    for length in (3, 8, 13):
+        docs = ["".join(random.choice("ab") for _ in range(random.randint(length, 40))).encode() for _ in range(12)]
+        buffer = np.frombuffer(b"".join(docs), np.uint8)
+        ends = np.cumsum([len(d) for d in docs])
+        place = np.concatenate([np.arange(e - len(d), e - length + 1) for d, e in zip(docs, ends)])
+        doc = np.searchsorted(ends, place, side="right")
+        got = repeats.previous_factors(buffer, place, doc, length)
+        raw = buffer.tobytes()
+        for at, d, factor in zip(place.tolist(), doc.tolist(), got.tolist()):
+            earlier = [raw[p : p + length] for p, e in zip(place.tolist(), doc.tolist()) if e < d]
+            mine = raw[at : at + length]
+            assert factor == max((next((k for k in range(length) if mine[k] != o[k]), length) for o in earlier), default=0)
+
+
+def test_a_hot_phrase_is_dealt_by_its_windows():
+    """One phrase among different words: as one minimizer's group, and split, with the same answers."""
+    rng = np.random.default_rng(2)
+    phrase = b"the licence phrase that stands here"
+    n = 3000
+    texts = [rng.integers(97, 123, 40, np.uint8).tobytes() + phrase + rng.integers(97, 123, 40, np.uint8).tobytes() for _ in range(n)]
+    texts[n // 2] = texts[5][:60] + texts[n // 2][60:]
+    rows = pa.table({"doc_id": pa.array(range(n), pa.int64()), "text": pa.array([t.decode() for t in texts])})
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, rows.schema) as out:
+        out.write_table(rows)
+    found = []
+    for hot in (20_000, 100):
+        block = repeats.Block(sink.getvalue().to_pybytes(), 64, 50)
+        asked = block.asked()
+        shared, much = [], []
+        for _, keys, several, stretches in asked:
+            one, other = repeats.shared_keys([(keys, several, stretches)], hot)
+            shared.append(np.packbits(one[0]).tobytes()), much.append(np.packbits(other[0]).tobytes())
+        bits = {part: pair for (part, *_), pair in zip(asked, zip(shared, much))}
+        sent = block.sent(bits)
+        answers, most = {}, 0
+        for part, which in sent:
+            lead = block.lead[which]
+            counts, docs = block.all.count[lead], block.ids[block.all.doc[lead]]
+            strings = block.buffer[repeats.ragged(block.all.first[lead], counts + 49)]
+            most = max(most, len(strings))
+            answers[part] = repeats.planes(repeats.earlier_windows(strings, counts, docs, 50))
+        fresh = repeats.Block(sink.getvalue().to_pybytes(), 64, 50)
+        found.append((fresh.removed(bits, answers).tobytes(), most))
+    assert found[0][0] == found[1][0] and sum(found[0][0]) > 0

@@ -14,7 +14,7 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wirelens.session import measured_table, scratch_table
@@ -22,9 +22,20 @@ from wirelens.session import measured_table, scratch_table
 #: Characters of text that a Python worker handles at a time.
 CHUNK_CHARS = 1 << 21
 
+#: Bytes of rows that Spark hands to a Python worker at a time; by number of rows alone, long texts fill the memory.
+BATCH_BYTES = 4 << 20
+
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+def bounded_batches(spark: SparkSession) -> SparkSession:
+    """The session, from now on handing rows to Python workers in batches of `BATCH_BYTES`."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name) != f"{BATCH_BYTES}b":
+        spark.conf.set(name, f"{BATCH_BYTES}b")
+    return spark
+
+
 def text_of(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 

@@ -12,7 +12,7 @@ from wirelens.llm import (
     bpe, interpolation, length_buckets, multi_index, order_minhash, pivot_clusters, quality, repeats, simhash,
     token_files, toxicity, url_rules, word_runs,
 )
-from wirelens.llm.common import WORD
+from wirelens.llm.common import WORD, bounded_batches
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -25,7 +25,7 @@ def query(fn: Query) -> Query:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return bounded_batches(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def clusters_sql(clusters: int, rounds: int, seed: int) -> str:

@@ -1,23 +1,25 @@
 """Removal of repeated passages by longest-previous-factor arrays.
 
-A byte goes if it lies in a string of `length` bytes that also starts in a document with a smaller id. In
-suffix order, a suffix's longest previous factor (LPF) is the longer of what it shares with the previous
-and the next suffix of smaller document (PSV, NSV). Only LPF >= `length` matters, so suffixes are ordered
-by their first `length` bytes and, where these agree, by document. Then, among suffixes that agree, PSV is
-the nearest entry of a smaller document and there is one unless the document is the first; NSV is never
-among them.
+A byte goes if it lies in a string of `length` bytes that also starts in a document with a smaller id. With
+suffixes in the order of their text, the suffix nearest before and the one nearest behind that start in a
+smaller document (PSV, NSV) share the most with it of all suffixes of smaller documents; the longer of what
+they share is its longest previous factor (LPF). Windows whose LPF is `length` are removed, later copies while
+the first stays. Only whether LPF reaches `length` matters, so suffixes are ordered by their first `length` bytes.
 
 The corpus is not put into one suffix array. Every window of `length` bytes has a minimizer, the smallest
 hash of its `K`-byte strings; windows in a row with the same minimizer form a stretch. Equal windows have
 equal minimizers, so suffixes need to be ordered only among stretches of one minimizer:
 
-1. Each text block asks which of its minimizers are also in other documents (sorted 64-bit keys).
+1. Each text block asks which of its minimizers are also in other documents (sorted 64-bit keys, each with its
+   number of stretches).
 2. It sends the stretches of these to the minimizer's task, each distinct stretch once, with the smallest
    document that has it. There, equal stretches are merged, and the windows of different stretches are put
    in suffix order. The answer says which windows have an earlier copy.
 3. The block removes what these windows cover.
 
-A passage in a third of all documents is sent once per block and merged before suffixes are ordered.
+A passage in a third of all documents is sent once per block and merged before suffixes are ordered. A minimizer
+with `HOT_STRETCHES` or more, as a phrase among ever different words has, is hot: its windows are sent one by one
+and dealt by their own hash, by which equal windows still meet, so no task gets all of one phrase.
 
 Equality of strings is decided by bytes in suffix order; that two windows differ, and that two whole
 stretches are equal, by 64-bit hashes. Defined results: null texts are empty; documents with a null id
@@ -44,6 +46,8 @@ SLICE = 1 << 19
 #: Keys that one task compares, and bytes of text in a block.
 TASK_KEYS = 500_000
 BLOCK_BYTES = 2 << 20
+#: From so many stretches on, a minimizer's windows are dealt one by one.
+HOT_STRETCHES = 20_000
 
 
 def _hashes(buffer: np.ndarray, sizes: tuple[int, ...]) -> list[np.ndarray]:
@@ -133,26 +137,56 @@ class Block:
         self.keys, self.key_of = np.unique(self.all.key, return_inverse=True)
         self.order, self.there, self.cuts = by_part(self.keys, parts)
 
-    def asked(self) -> list[tuple[int, np.ndarray, np.ndarray]]:
-        """(part, keys, whether several documents of this block have the key)."""
+    def asked(self) -> list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """(part, keys, whether several documents of this block have the key, its distinct stretches up to 255)."""
         ids = self.ids[self.all.doc]
         least = np.full(len(self.keys), np.iinfo(np.int64).max)
         most = np.full(len(self.keys), np.iinfo(np.int64).min)
         np.minimum.at(least, self.key_of, ids)
         np.maximum.at(most, self.key_of, ids)
         several = least != most
+        by_name = np.lexsort((self.all.name, self.key_of))
+        names, owners = self.all.name[by_name], self.key_of[by_name]
+        new = np.ones(len(names), bool)
+        new[1:] = (names[1:] != names[:-1]) | (owners[1:] != owners[:-1])
+        stretches = np.minimum(np.bincount(owners[new], minlength=len(self.keys)), 255).astype(np.uint8)
         return [
-            (int(part), self.keys[self.order[a:b]], several[self.order[a:b]])
+            (int(part), self.keys[self.order[a:b]], several[self.order[a:b]], stretches[self.order[a:b]])
             for part, a, b in zip(self.there, self.cuts, self.cuts[1:])
         ]
 
-    def sent(self, shared: dict[int, bytes]) -> list[tuple[int, np.ndarray]]:
+    def _split(self, hot: np.ndarray) -> np.ndarray:
+        """Stretches of hot keys become one stretch for each window, dealt by the window; gives the new ones."""
+        old, at = self.all, np.flatnonzero(hot[self.key_of])
+        place = np.sort(ragged(old.first[at], old.count[at]))
+        hashes = np.empty(len(place), np.uint64)
+        for start in range(0, len(self.buffer), SLICE):
+            a, b = np.searchsorted(place, [start, start + SLICE])
+            if b > a:
+                whole = _hashes(self.buffer[start : start + SLICE + self.length - 1], (self.length,))[0]
+                hashes[a:b] = whole[place[a:b] - start]
+        ends = np.cumsum(self.sizes)
+        stay = ~hot[self.key_of]
+        old.first = np.concatenate([old.first[stay], place])
+        old.count = np.concatenate([old.count[stay], np.ones(len(place), np.int64)])
+        old.key = np.concatenate([old.key[stay], hashes])
+        old.name = np.concatenate([old.name[stay], mix(hashes)])
+        old.doc = np.concatenate([old.doc[stay], np.searchsorted(ends, place, side="right")])
+        return np.arange(int(stay.sum()), len(old.first))
+
+    def sent(self, shared: dict[int, tuple[bytes, bytes]]) -> list[tuple[int, np.ndarray]]:
         """(part, stretches): those whose key others have too, each distinct one by its smallest document."""
-        elsewhere = np.zeros(len(self.keys), bool)
+        elsewhere, hot = np.zeros(len(self.keys), bool), np.zeros(len(self.keys), bool)
         for part, a, b in zip(self.there, self.cuts, self.cuts[1:]):
-            bits = np.unpackbits(np.frombuffer(shared[int(part)], np.uint8), count=b - a)
-            elsewhere[self.order[a:b]] = bits.astype(bool)
-        mine = np.flatnonzero(elsewhere[self.key_of])
+            for out, bits in zip((elsewhere, hot), shared[int(part)]):
+                if bits:
+                    out[self.order[a:b]] = np.unpackbits(np.frombuffer(bits, np.uint8), count=b - a).astype(bool)
+        single = self._split(hot) if hot.any() else np.zeros(0, np.int64)
+        if len(single):
+            stay = elsewhere[self.key_of[~hot[self.key_of]]]
+            mine = np.concatenate([np.flatnonzero(stay), single])
+        else:
+            mine = np.flatnonzero(elsewhere[self.key_of])
         ids = self.ids[self.all.doc[mine]]
         order = np.lexsort((ids, self.all.name[mine]))
         mine, ids = mine[order], ids[order]
@@ -167,7 +201,7 @@ class Block:
         cuts = np.flatnonzero(np.diff(part[order], prepend=-1, append=-1))
         return [(int(part[order[a]]), order[a:b]) for a, b in zip(cuts, cuts[1:])]
 
-    def removed(self, shared: dict[int, bytes], answers: dict[int, bytes]) -> np.ndarray:
+    def removed(self, shared: dict[int, tuple[bytes, bytes]], answers: dict[int, bytes]) -> np.ndarray:
         """Which bytes of the buffer go."""
         sent = self.sent(shared)
         masks = np.zeros(len(self.lead), np.uint64)
@@ -187,17 +221,20 @@ class Block:
         return np.cumsum(change[:-1], dtype=np.int16) > 0
 
 
-def shared_keys(rows: list[tuple[np.ndarray, np.ndarray]]) -> list[np.ndarray]:
-    """For each block's sorted keys: which of them other blocks, or several of its documents, have too."""
-    keys = np.concatenate([k for k, _ in rows])
-    several = np.concatenate([s for _, s in rows])
+def shared_keys(rows: list[tuple[np.ndarray, ...]], hot: int = 0) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """For each block's sorted keys: which other blocks, or several of its documents, have too; which are hot."""
+    keys, several, stretches = (np.concatenate([row[k] for row in rows]) for k in range(3))
     order = np.argsort(keys)
     heads = np.flatnonzero(np.diff(keys[order], prepend=keys[order[:1]] + np.uint64(1)))
     counts = np.diff(np.append(heads, len(keys)))
     some = np.logical_or.reduceat(several[order], heads) | (counts > 1)
-    out = np.zeros(len(keys), bool)
-    out[order] = np.repeat(some, counts)
-    return np.split(out, np.cumsum([len(k) for k, _ in rows])[:-1])
+    many = np.add.reduceat(stretches[order].astype(np.int64), heads) >= (hot or HOT_STRETCHES)
+    out = []
+    for found in (some, some & many):
+        each = np.zeros(len(keys), bool)
+        each[order] = np.repeat(found, counts)
+        out.append(np.split(each, np.cumsum([len(k) for k, *_ in rows])[:-1]))
+    return out[0], out[1]
 
 
 def earlier_windows(buffer: np.ndarray, counts: np.ndarray, docs: np.ndarray, length: int) -> np.ndarray:
@@ -236,24 +273,43 @@ def earlier_windows(buffer: np.ndarray, counts: np.ndarray, docs: np.ndarray, le
     return out
 
 
+def nearest_smaller(values: np.ndarray) -> np.ndarray:
+    """For each place the nearest one before with a smaller value, -1 for none.
+
+    All values between a place and its candidate are no smaller; where the candidate isn't smaller either,
+    its own candidate is the next one. Candidates of candidates double the steps.
+    """
+    before = np.arange(len(values)) - 1
+    open_ = np.flatnonzero(before >= 0)
+    while len(open_):
+        open_ = open_[values[before[open_]] >= values[open_]]
+        before[open_] = before[before[open_]]
+        open_ = open_[before[open_] >= 0]
+    return before
+
+
 def previous_factors(buffer: np.ndarray, place: np.ndarray, doc: np.ndarray, length: int) -> np.ndarray:
-    """LPF of the suffixes at `place`, as `length` where it is at least that, else 0.
+    """LPF of the suffixes at `place`, up to `length`: the longest string that a smaller document has too.
 
-    Suffixes stand in the order of their first `length` bytes, compared as big-endian words, and then of
-    documents.
+    Suffixes stand in the order of their first `length` bytes, compared as big-endian words.
     """
     words = -(-length // 8)
     texts = np.zeros((len(place), 8 * words), np.uint8)
     texts[:, :length] = np.lib.stride_tricks.sliding_window_view(buffer, length)[place]
     columns = texts.view(">u8").astype(np.uint64)
-    order = np.lexsort((doc, *(columns[:, i] for i in range(words - 1, -1, -1))))
-    columns, doc = columns[order], doc[order]
-    agree = np.zeros(len(order), bool)  # with the suffix before, on all `length` bytes
-    agree[1:] = (columns[1:] == columns[:-1]).all(axis=1)
-    heads = np.flatnonzero(~agree)
-    first_doc = np.repeat(doc[heads], np.diff(np.append(heads, len(order))))
-    out = np.zeros(len(order), np.int64)
-    out[order] = np.where(doc > first_doc, length, 0)
+    order = np.lexsort([columns[:, i] for i in range(words - 1, -1, -1)])
+    texts, doc = texts[order, :length], doc[order]
+    last = len(order) - 1
+    previous, following = nearest_smaller(doc), last - nearest_smaller(doc[::-1])[::-1]
+    factors = np.zeros(len(order), np.int64)
+    for other, there in ((previous, previous >= 0), (following, following <= last)):
+        for first in range(0, len(order), SLICE):  # what is held at a time
+            at = first + np.flatnonzero(there[first : first + SLICE])
+            differ = texts[at] != texts[other[at]]
+            common = np.where(differ.any(axis=1), differ.argmax(axis=1), length)
+            factors[at] = np.maximum(factors[at], common)
+    out = np.empty(len(order), np.int64)
+    out[order] = factors
     return out
 
 
@@ -264,25 +320,35 @@ def _asking(blocks: DataFrame, parts: int, length: int) -> DataFrame:
                 asked = Block(data.as_py(), parts, length).asked()
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array([p for p, _, _ in asked], pa.int32()),
+                        pa.array([p for p, *_ in asked], pa.int32()),
                         pa.array([block] * len(asked), pa.int64()),
-                        pa.array([planes(k) for _, k, _ in asked], pa.binary()),
-                        pa.array([np.packbits(s).tobytes() for _, _, s in asked], pa.binary()),
+                        pa.array([planes(k) for _, k, _, _ in asked], pa.binary()),
+                        pa.array([np.packbits(s).tobytes() for _, _, s, _ in asked], pa.binary()),
+                        # Mostly one stretch for every key, which needs no bytes.
+                        pa.array([b"" if (n == 1).all() else n.tobytes() for *_, n in asked], pa.binary()),
                     ],
-                    names=["part", "block", "keys", "several"],
+                    names=["part", "block", "keys", "several", "stretches"],
                 )
 
-    asked = blocks.mapInArrow(run, "part int, block long, keys binary, several binary")
+    asked = blocks.mapInArrow(run, "part int, block long, keys binary, several binary, stretches binary")
 
     def answer(table: pa.Table) -> pa.Table:
         rows = []
-        for raw, bits in zip(table.column("keys").to_pylist(), table.column("several").to_pylist()):
+        for raw, bits, n in zip(*(table.column(c).to_pylist() for c in ("keys", "several", "stretches"))):
             keys = values_of(raw, np.uint64)
-            rows.append((keys, np.unpackbits(np.frombuffer(bits, np.uint8), count=len(keys)).astype(bool)))
-        shared = [np.packbits(s).tobytes() for s in shared_keys(rows)]
-        return pa.table({"block": table.column("block"), "part": table.column("part"), "bits": pa.array(shared, pa.binary())})
+            several = np.unpackbits(np.frombuffer(bits, np.uint8), count=len(keys)).astype(bool)
+            rows.append((keys, several, np.frombuffer(n, np.uint8) if n else np.ones(len(keys), np.uint8)))
+        shared, hot = shared_keys(rows, hot_stretches)
+        columns = {
+            "block": table.column("block"),
+            "part": table.column("part"),
+            "bits": pa.array([np.packbits(s).tobytes() for s in shared], pa.binary()),
+            "hot": pa.array([np.packbits(h).tobytes() if h.any() else b"" for h in hot], pa.binary()),
+        }
+        return pa.table(columns)
 
-    return asked.groupBy("part").applyInArrow(answer, "block long, part int, bits binary")
+    hot_stretches = HOT_STRETCHES
+    return asked.groupBy("part").applyInArrow(answer, "block long, part int, bits binary, hot binary")
 
 
 def _answering(blocks: DataFrame, shared: DataFrame, parts: int, length: int) -> DataFrame:
@@ -290,7 +356,8 @@ def _answering(blocks: DataFrame, shared: DataFrame, parts: int, length: int) ->
         rows = []
         for block, data in zip(left.column("block").to_pylist(), left.column("data").to_pylist()):
             texts = Block(data, parts, length)
-            bits = dict(zip(right.column("part").to_pylist(), right.column("bits").to_pylist()))
+            parts_of, bits, hot = (right.column(c).to_pylist() for c in ("part", "bits", "hot"))
+            bits = dict(zip(parts_of, zip(bits, hot)))
             for part, which in texts.sent(bits):
                 lead = texts.lead[which]
                 count = texts.all.count[lead]
@@ -339,13 +406,13 @@ def remove_repeats(
     shared = scratch_table(_asking(blocks, parts, length), "repeats-shared")
     masks = _answering(blocks, shared, parts, length)
     nothing = F.lit(None).cast("binary")
-    answers = shared.select("block", "part", "bits", nothing.alias("masks")).union(
-        masks.select("block", "part", nothing.alias("bits"), "masks")
+    answers = shared.select("block", "part", "bits", "hot", nothing.alias("masks")).union(
+        masks.select("block", "part", nothing.alias("bits"), nothing.alias("hot"), "masks")
     )
 
     def apply(left: pa.Table, right: pa.Table) -> pa.Table:
-        parts_of, bits, found = (right.column(c).to_pylist() for c in ("part", "bits", "masks"))
-        shared_bits = {p: b for p, b in zip(parts_of, bits) if b is not None}
+        parts_of, bits, hot, found = (right.column(c).to_pylist() for c in ("part", "bits", "hot", "masks"))
+        shared_bits = {p: (b, h) for p, b, h in zip(parts_of, bits, hot) if b is not None}
         window_masks = {p: m for p, m in zip(parts_of, found) if m is not None}
         out = []
         for data in left.column("data").to_pylist():
