@@ -10,13 +10,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wirelens.llm import length_buckets, quality, repeats, simhash
+from wirelens.llm.common import bounded_batches
 from wirelens.llm.queries import n_words
 from wirelens.session import broadcast_table, measured_table, scratch_table
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier accepts."""
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    """Documents that the quality classifier accepts.
+
+    Null texts, sources and languages are empty ones; repeated rows are each judged. Without labels of both kinds
+    all stay, an empty table stays empty, and all columns pass as they are, whatever their names.
+    """
+    labels = bounded_batches(spark).read.parquet(f"{sf_dir}/labels.parquet")
     return quality.judge(docs, labels, "quality").where("accepted").select("row.*")
 
 
@@ -26,6 +31,7 @@ def keep_one_of_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     Rows without an id are in no group and stay; rows that repeat an id go or stay together. Texts without words
     are copies of each other. An empty table stays empty; other columns pass as they are.
     """
+    bounded_batches(spark)
     groups = simhash.near_duplicates(simhash.fingerprints(docs, shingle=3), radius=3)
     dropped, seen = measured_table(groups.where("doc_id != component").select("doc_id").distinct(), "similar")
     return docs.join(broadcast_table(dropped, seen["n"]), "doc_id", "left_anti").select(docs.columns)
@@ -34,8 +40,11 @@ def keep_one_of_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without passages of 50 bytes that an earlier document has too.
 
-    A character goes when all its bytes do. Documents of which nothing is left go.
+    A character goes when all its bytes do. Documents of which nothing is left go; null and empty texts stay, as
+    empty ones. Rows without an id lose nothing, rows that repeat an id don't affect each other. An empty table
+    stays empty; other columns pass as they are, but for `n_chars`, which goes with the text.
     """
+    bounded_batches(spark)
     found = repeats.remove_repeats(docs, length=50, whole_characters=True)
     text = F.decode("kept", "UTF-8")
     columns = {c: F.col(f"row.`{c}`") for c in docs.columns if c != "text"} | {"text": text}
@@ -46,7 +55,11 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document's bucket, batch and slot; it counts as its words and an end."""
+    """Every document's bucket, batch and slot; it counts as its words and an end.
+
+    Null and empty texts count one. Rows without an id and rows that repeat one are each placed; an empty table
+    gives no rows.
+    """
     return length_buckets.pack(docs, n_words() + 1)
 
 
