@@ -625,13 +625,32 @@ BODIES: dict[str, str] = {
         select dst_port, count(*) as packets from packets group by 1
         order by packets desc, dst_port limit 15""",
     "capture_summary": f"""
-        select capture_id, count(*) as packet_count, count(distinct src_ip) as unique_src_ips,
+        select capture_id, capture_id || coalesce((select ', ' || string_agg(distinct source_file, ', '
+            order by source_file) from logs), '') as source_files,
+          count(*) as packet_count, count(distinct src_ip) as unique_src_ips,
           count(distinct dst_ip) as unique_dst_ips,
           count(distinct src_ip) + count(distinct dst_ip) as unique_ips,
           string_agg(distinct protocol, ', ' order by protocol) as protocols,
           {iso('min_by(ts_us, seq)')} || ' – ' || {iso('max_by(ts_us, seq)')} as time_range,
           (select count(*) from logs) as log_entries
         from packets group by capture_id""",
+    # Sketches of so few addresses are exact.
+    "sketched_distincts": """
+        select capture_id, count(*) as packets, count(distinct src_ip) as unique_src_ips,
+          count(distinct dst_ip) as unique_dst_ips from packets group by capture_id""",
+    "entity_features": " union all ".join(
+        f"""
+        select capture_id, w, {prefix} as prefix, {entity} as entity, count(*) as packets,
+          sum(size) as bytes, count_if(list_contains(tcp_flags, 'SYN')) as syn_packets,
+          count(distinct src_ip) as hosts, count(distinct dst_ip) as unique_dst_ips,
+          count(distinct dst_port) as unique_dst_ports
+        from windowed group by capture_id, w, {entity}"""
+        for prefix, entity in (
+            (32, "src_ip"),
+            (24, "regexp_extract(src_ip, '^[0-9]+[.][0-9]+[.][0-9]+')"),
+            (16, "regexp_extract(src_ip, '^[0-9]+[.][0-9]+')"),
+        )
+    ),
     "syslog_entries": f"select {LOG_SELECT} from logs",
     "access_entries": f"select {LOG_SELECT} from access_logs",
     "detected_formats": """

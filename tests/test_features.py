@@ -1,6 +1,7 @@
 """Window features on hand-made packets."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from made_rows import T0, log, packet
 from wirelens.operators import features, summaries
@@ -75,3 +76,44 @@ def test_capture_summary_exact_and_approximate(traffic):
     assert exact["unique_ips"] == 4  # each address counts in both roles
     assert exact["time_range"] == "2026-03-15T10:00:05+00:00 – 2026-03-15T10:00:01+00:00"
     assert summaries.capture_summary(t, approximate=True).first()["unique_ips"] == 4
+
+
+def test_summary_names_the_files(traffic):
+    rows = [packet(), packet(1, capture_id="/data/in/b.pcap")]
+    found = {r.capture_id: r.source_files for r in summaries.capture_summary(traffic(rows, [log()])).collect()}
+    assert found == {"c": "c, f", "/data/in/b.pcap": "b.pcap"}
+
+
+def test_hosts_and_their_networks(traffic):
+    rows = [
+        packet(0, 0.0, src="10.1.2.3", dst="9.9.9.9", dport=80, flags=["SYN"]),
+        packet(1, 1.0, src="10.1.2.4", dst="9.9.9.9", dport=81),
+        packet(2, 2.0, src="10.1.9.3", dst="9.9.9.8", dport=80),
+        packet(3, 70.0, src="10.1.2.3", dst="9.9.9.9", dport=80),
+    ]
+    found = {
+        (r.w, r.prefix, r.entity): (r.packets, r.syn_packets, r.hosts, r.unique_dst_ips, r.unique_dst_ports)
+        for r in features.entity_features(traffic(rows)).collect()
+    }
+    assert len(found) == 3 + 2 + 1 + 3
+    assert found[0, 32, "10.1.2.3"] == (1, 1, 1, 1, 1)
+    assert found[0, 24, "10.1.2"] == (2, 2, 2, 1, 2)
+    assert found[0, 16, "10.1"] == (3, 3, 3, 2, 2)
+    assert found[1, 16, "10.1"] == (1, 1, 1, 1, 1)
+    with pytest.raises(ValueError):
+        features.entity_features(traffic(rows), prefixes=(20,))
+
+
+def test_sketches_merge_as_one_over_everything(spark):
+    many = spark.range(40_000).selectExpr(
+        "concat('c', id % 2) as capture_id", f"{T0} + id * 6000000 as ts_us",
+        "concat('10.', id % 7, '.', id % 250, '.', id div 250 % 200) as src_ip", "concat('9.9.', id % 90, '.1') as dst_ip",
+    )
+    days = summaries.address_sketches(many)
+    assert days.count() > 4
+    (merged,) = summaries.sketched_distincts(summaries.merged_sketches(days.withColumn("all", F.lit(1)), "all")).collect()
+    at_once = summaries.address_sketches(many.withColumns({"capture_id": F.lit("c"), "ts_us": F.lit(T0)}))
+    (whole,) = summaries.sketched_distincts(summaries.merged_sketches(at_once, "capture_id")).collect()
+    assert merged.packets == 40_000 and merged.unique_src_ips == whole.unique_src_ips
+    exact = many.select("src_ip").distinct().count()
+    assert abs(merged.unique_src_ips - exact) <= 0.05 * exact and merged.unique_dst_ips == 90

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from wirelens.functions import logs as L
 from wirelens.functions import net
-from wirelens.operators.logs import error_entries, log_summary
+from wirelens.operators.logs import error_entries, log_summary, parse_lines
 from wirelens.plans import rules
 from wirelens.plans.traffic import Traffic
 from wirelens.schemas import PACKETS, empty
@@ -147,3 +147,23 @@ def test_packet_records_and_sinks(spark, tmp_path):
     assert kept.count() == 2 and kept.first()["capture_id"] == "c"
     tables.write_table(packets, str(tmp_path / "out"))
     assert (tmp_path / "out" / "capture_date=2026-03-15").is_dir()
+
+
+def test_year_follows_from_the_file(spark, tmp_path):
+    import os
+    from datetime import datetime, timezone
+
+    path = tmp_path / "a.log"
+    path.write_text("Jan  3 08:00:00 h sshd[1]: Failed password\nDec 30 08:00:00 h sshd[1]: Failed password\nFeb 29 08:00:00 h sshd[1]: Failed password\n")
+    changed = datetime(2025, 1, 3, 9, tzinfo=timezone.utc).timestamp()
+    os.utime(path, (changed, changed))
+    times = [r.ts_us for r in tables.read_logs(spark, str(path)).orderBy("seq").collect()]
+    assert [datetime.fromtimestamp(t / 1e6, timezone.utc).strftime("%Y-%m-%d") for t in times] == ["2025-01-03", "2024-12-30", "2024-02-29"]
+
+
+def test_syslog_without_a_year_is_an_error(spark):
+    rows = spark.createDataFrame([("c", "f", (0, 1), "Jan  3 08:00:00 h sshd[1]: Failed password")], "capture_id string, source_file string, seq struct<block: long, line: long>, line string")
+    with pytest.raises(Exception, match="carry no year"):
+        parse_lines(rows).collect()
+    access = rows.withColumn("line", F.lit('1.2.3.4 - - [10/Oct/2000:13:55:36 -0700] "GET /a HTTP/1.0" 200 23'))
+    assert parse_lines(access).count() == 1

@@ -69,13 +69,25 @@ def access_severity(status: Column, path: Column) -> Column:
     )
 
 
-def syslog_time_us(ts: Column, year: int, tz: str = "UTC") -> Column:
+def syslog_time_us(ts: Column, year: int | Column, tz: str = "UTC") -> Column:
     """Syslog times carry neither year nor zone; both are options. NULL when not a time."""
-    text = F.concat(F.lit(f"{year} "), F.regexp_replace(ts, r"\s+", " "))
+    year = F.lit(year) if isinstance(year, int) else year
+    text = F.concat(year.cast("string"), F.lit(" "), F.regexp_replace(ts, r"\s+", " "))
     local = F.try_to_timestamp(text, F.lit("yyyy MMM d HH:mm:ss"))
     return F.unix_micros(F.to_utc_timestamp(local, tz))
 
 
+DAY_US = 24 * 3600 * 1_000_000
+
+
+def syslog_time_before_us(ts: Column, modified: Column, tz: str = "UTC") -> Column:
+    """The time in the latest year that isn't behind the file's last change, by more than a day of other zones."""
+    this = syslog_time_us(ts, F.year(modified), tz)
+    return F.when(this <= F.unix_micros(modified) + DAY_US, this).otherwise(
+        syslog_time_us(ts, F.year(modified) - 1, tz)
+    )
+
+
 def access_time_us(ts: Column) -> Column:
     return F.unix_micros(F.try_to_timestamp(ts, F.lit("dd/MMM/yyyy:HH:mm:ss Z")))
 

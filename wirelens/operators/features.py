@@ -7,6 +7,8 @@ hot window meets its raw packets in one task.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -186,3 +188,56 @@ def timeline(features: DataFrame, anomalies: DataFrame) -> DataFrame:
         .when(score.isNotNull(), "low")
         .alias("band"),
     )
+
+
+ENTITY_SUMS = {
+    "packets": "1",
+    "bytes": "size",
+    "syn_packets": "if(array_contains(tcp_flags, 'SYN'), 1, 0)",
+}
+PREFIXES = (32, 24, 16, 8)
+
+
+def _network(address: Column, prefix: int) -> Column:
+    """The leading parts of a dotted address: of `prefix` bits, a multiple of eight."""
+    return F.substring_index(address, ".", prefix // 8)
+
+
+def entity_features(
+    traffic: Traffic, window_seconds: int = 60, prefixes: tuple[int, ...] = (32, 24, 16)
+) -> DataFrame:
+    """Windows per sending host and per network of hosts: (capture_id, w, prefix, entity, counts).
+
+    `entity` is the address, or its leading parts. Packets are counted once per (window, source, destination)
+    and (window, source, port); each wider network is rolled up from the next narrower one, whose rows are fewer.
+    """
+    if not set(prefixes) <= set(PREFIXES):
+        raise ValueError(f"prefixes are among {PREFIXES}")
+    packets = traffic.anchored(traffic.packets, window_seconds * 1_000_000)
+    key = ["capture_id", "w", "entity"]
+    sums = [F.sum(c).alias(c) for c in ENTITY_SUMS]
+    base = packets.groupBy("capture_id", "w", "src_ip", "dst_ip", "dst_port").agg(
+        *[F.expr(f"sum({value})").alias(name) for name, value in ENTITY_SUMS.items()]
+    )
+    by_dst = base.groupBy("capture_id", "w", F.col("src_ip").alias("entity"), "dst_ip").agg(*sums)
+    by_port = base.select("capture_id", "w", F.col("src_ip").alias("entity"), "dst_port").distinct()
+    hosts = base.select("capture_id", "w", F.col("src_ip").alias("entity")).distinct().withColumn("hosts", F.lit(1))
+    levels = []
+    for prefix in sorted(prefixes, reverse=True):
+        if prefix < 32:
+            wider = _network(F.col("entity"), prefix).alias("entity")
+            by_dst = by_dst.select("capture_id", "w", wider, "dst_ip", *ENTITY_SUMS).groupBy(*key, "dst_ip").agg(*sums)
+            by_port = by_port.select("capture_id", "w", wider, "dst_port").distinct()
+            hosts = hosts.select("capture_id", "w", wider, "hosts")
+        hosts = hosts.groupBy(*key).agg(F.sum("hosts").alias("hosts"))
+        levels.append(
+            by_dst.groupBy(*key)
+            .agg(*sums, F.count("*").alias("unique_dst_ips"))
+            .join(by_port.groupBy(*key).agg(F.count("*").alias("unique_dst_ports")), key)
+            .join(hosts, key)
+            .select(
+                "capture_id", "w", F.lit(prefix).alias("prefix"), "entity", *ENTITY_SUMS, "hosts", "unique_dst_ips",
+                "unique_dst_ports",
+            )
+        )
+    return reduce(DataFrame.unionByName, levels)

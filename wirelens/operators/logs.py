@@ -28,7 +28,7 @@ def _entry(name: str, syslog: Column, access: Column) -> Column:
 def parse_lines(
     lines: DataFrame,
     *,
-    year: int = 1970,
+    year: int | None = None,
     tz: str = "UTC",
     per_line: bool = False,
     required: bool = False,
@@ -37,9 +37,14 @@ def parse_lines(
 
     The format is decided per file; with `per_line` each line is read by its own. Times that do not
     parse leave `ts_us` NULL and keep `ts_raw`. With `required`, no readable file is an error.
+
+    Syslog times carry no year. It is `year`, or else follows from `modified`, if the lines have this column: the time
+    of the file's last change, which no line is behind. With neither, a syslog line is an error.
     """
     adopt(lines.sparkSession)
     text = lines.withColumn("line", L.stripped("line")).filter(F.col("line") != "")
+    if "modified" not in text.columns:
+        text = text.withColumn("modified", F.lit(None).cast("timestamp"))
     if per_line:
         text = text.withColumn("log_format", L.line_format(F.col("line")))
     else:
@@ -53,7 +58,7 @@ def parse_lines(
     )
     # Exploded, so that the filter behind it isn't rewritten over the line: each line is matched once.
     parts = text.select(
-        "capture_id", "source_file", "seq", "line", "log_format", F.explode(F.array(split)).alias("part")
+        "capture_id", "source_file", "seq", "line", "log_format", "modified", F.explode(F.array(split)).alias("part")
     ).filter(F.size("part") > 1)
 
     def part(i: int) -> Column:
@@ -67,6 +72,7 @@ def parse_lines(
         "seq",
         "log_format",
         "line",
+        "modified",
         _entry("ts_raw", part(0), part(1)),
         _entry("origin", part(1), part(0)),
         _entry("service", part(2), F.lit("httpd")),
@@ -75,13 +81,20 @@ def parse_lines(
     )
     is_syslog = fmt == "syslog"
     message, ts_raw = F.col("message"), F.col("ts_raw")
+    if year is not None:
+        syslog_time = L.syslog_time_us(ts_raw, year, tz)
+    else:
+        unknown = F.raise_error("syslog times carry no year: pass `year`").cast("bigint")
+        syslog_time = F.when(F.col("modified").isNull(), unknown).otherwise(
+            L.syslog_time_before_us(ts_raw, F.col("modified"), tz)
+        )
     entries = fields.select(
         "capture_id",
         "source_file",
         "seq",
         "log_format",
         "ts_raw",
-        F.when(is_syslog, L.syslog_time_us(ts_raw, year, tz))
+        F.when(is_syslog, syslog_time)
         .otherwise(L.access_time_us(ts_raw))
         .alias("ts_us"),
         F.when(is_syslog, F.coalesce(L.first_ipv4(message), F.col("origin")))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wirelens.functions.text import iso_time
@@ -33,8 +33,13 @@ def top_ports(packets: DataFrame, k: int = 15) -> DataFrame:
     )
 
 
+def _file_name(path: str) -> Column:
+    """What follows the last slash."""
+    return F.regexp_extract(path, r"[^/\\]*$", 0)
+
+
 def capture_summary(traffic: Traffic, approximate: bool = False) -> DataFrame:
-    """One row per capture: packets, addresses, protocols, time range by arrival, log entries.
+    """One row per capture: its files, packets, addresses, protocols, time range by arrival, log entries.
 
     Distinct addresses are counted per (capture, address) first. `unique_ips` adds sources and
     destinations up, so an address seen in both roles counts twice.
@@ -70,12 +75,17 @@ def capture_summary(traffic: Traffic, approximate: bool = False) -> DataFrame:
     )
     summary = ends.join(names, "capture_id")
     if traffic.logs is not None:
-        entries = traffic.logs.groupBy("capture_id").agg(F.count("*").alias("log_entries"))
+        entries = traffic.logs.groupBy("capture_id").agg(
+            F.count("*").alias("log_entries"),
+            F.array_sort(F.collect_set(_file_name("source_file"))).alias("log_files"),
+        )
         summary = summary.join(entries, "capture_id", "left")
     else:
-        summary = summary.withColumn("log_entries", F.lit(0))
+        summary = summary.withColumns({"log_entries": F.lit(0), "log_files": F.lit(None).cast("array<string>")})
+    files = F.concat(F.array(_file_name("capture_id")), F.coalesce("log_files", F.array().cast("array<string>")))
     return summary.select(
         "capture_id",
+        F.array_join(files, ", ").alias("source_files"),
         "packet_count",
         "unique_src_ips",
         "unique_dst_ips",
@@ -84,3 +94,29 @@ def capture_summary(traffic: Traffic, approximate: bool = False) -> DataFrame:
         F.concat(iso_time("first_us"), F.lit(" – "), iso_time("last_us")).alias("time_range"),
         F.coalesce("log_entries", F.lit(0)).cast("bigint").alias("log_entries"),
     )
+
+
+SKETCHED = ("src_ip", "dst_ip")
+
+
+def address_sketches(packets: DataFrame) -> DataFrame:
+    """(capture_id, day, packets, src_ip_sketch, dst_ip_sketch): what later runs merge without the packets."""
+    return packets.groupBy("capture_id", F.to_date(F.timestamp_micros("ts_us")).alias("day")).agg(
+        F.count("*").alias("packets"), *[F.hll_sketch_agg(c).alias(f"{c}_sketch") for c in SKETCHED]
+    )
+
+
+def merged_sketches(sketches: DataFrame, *keys: str) -> DataFrame:
+    """Sketches of any days and captures as one per key: (keys, packets, src_ip_sketch, dst_ip_sketch)."""
+    return sketches.groupBy(*keys).agg(
+        F.sum("packets").alias("packets"),
+        *[F.hll_union_agg(f"{c}_sketch").alias(f"{c}_sketch") for c in SKETCHED],
+    )
+
+
+def sketched_distincts(sketches: DataFrame) -> DataFrame:
+    """Sketches as numbers of distinct addresses, within about two percent."""
+    kept = [c for c in sketches.columns if not c.endswith("_sketch")]
+    return sketches.select(
+        *kept, *[F.hll_sketch_estimate(f"{c}_sketch").alias(f"unique_{c}s") for c in SKETCHED]
+    )

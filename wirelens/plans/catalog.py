@@ -302,6 +302,19 @@ def baseline_stats(spark, sf_dir):
     return stats.select("capture_id", *[F.round(c, 6).alias(c) for c in features.FEATURE_NAMES])
 
 
+@query
+def entity_features(spark, sf_dir):
+    """Windows of hosts and their networks."""
+    return features.entity_features(traffic_of(spark, sf_dir, with_logs=False))
+
+
+@query
+def sketched_distincts(spark, sf_dir):
+    """Distinct addresses per capture from sketches that were stored by day."""
+    stored_days = scratch_table(summaries.address_sketches(packets_of(spark, sf_dir)), "sketches")
+    return summaries.sketched_distincts(summaries.merged_sketches(stored_days, "capture_id"))
+
+
 # --- rules ----------------------------------------------------------------------------------
 
 

@@ -60,7 +60,7 @@ def read_packet_records(
 
 
 def read_log_lines(spark: SparkSession, path: str, capture_id: str | None = None) -> DataFrame:
-    """Raw lines of text logs: (capture_id, source_file, seq, line); files are split by line."""
+    """Raw lines of text logs: (capture_id, source_file, seq, line, modified); files are split by line."""
     file = F.col("_metadata.file_path")
     return spark.read.text(path).select(
         (file if capture_id is None else F.lit(capture_id)).alias("capture_id"),
@@ -70,6 +70,7 @@ def read_log_lines(spark: SparkSession, path: str, capture_id: str | None = None
             F.monotonically_increasing_id().alias("line"),
         ).alias("seq"),
         F.col("value").alias("line"),
+        F.col("_metadata.file_modification_time").alias("modified"),
     )
 
 
@@ -78,11 +79,14 @@ def read_logs(
     path: str,
     *,
     capture_id: str | None = None,
-    year: int = 1970,
+    year: int | None = None,
     tz: str = "UTC",
     per_line: bool = False,
 ) -> DataFrame:
-    """Log entries of text files. A path without any readable format is an error."""
+    """Log entries of text files. A path without any readable format is an error.
+
+    Without `year`, syslog times are in the year that the file's last change allows.
+    """
     lines = spread(read_log_lines(spark, path, capture_id))
     return parse_lines(lines, year=year, tz=tz, per_line=per_line, required=True)
 
