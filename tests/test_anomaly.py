@@ -1,6 +1,9 @@
 """The vote: planted outliers, exact parts against numpy, repeatability."""
 
+import tracemalloc
+
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -180,3 +183,47 @@ def test_one_class_model_is_near_the_exact_dual(spark):
     got = [r["svm_score"] for r in svm.score_svm(rows, model, prepare.chunk_counts(stats)).orderBy("w").collect()]
     assert np.corrcoef(exact, got)[0, 1] > 0.5
     assert len(set(np.argsort(exact)[:6]) & set(np.argsort(got)[:12])) >= 3
+
+
+def test_distances_to_many_rows_take_little_memory():
+    tracemalloc.start()
+    try:
+        lof._distances(np.zeros((64, 18)), np.ones((40_000, 18)))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 100e6  # 20 MB of them are the result
+
+
+def test_few_cells_are_visited_when_some_windows_lie_far_out():
+    rng = np.random.default_rng(7)
+    x = np.zeros((6000, 18))
+    x[:, :3] = rng.normal(0, 1, (6000, 3)) * rng.pareto(1.5, (6000, 1))
+    points = pd.DataFrame(
+        {"capture_id": "c", "chunk": 0, "id": np.arange(6000), "weight": 1, "k": 20, "x": list(x)}
+    )
+    tree = lof._grow(points[["capture_id", "x"]].assign(leaf=100.0))
+    placed = lof._to_cells(points, tree)
+    assert placed.groupby("cell").size().max() < 200
+    parts = [part for _, part in placed.groupby("cell")]
+    boxes = pd.DataFrame(
+        [(p["cell"].iloc[0], np.vstack(p["x"]).min(axis=0), np.vstack(p["x"]).max(axis=0)) for p in parts],
+        columns=["cell", "low", "high"],
+    )
+    visits = lof._visits(pd.concat([lof._bounds(p) for p in parts]), boxes)
+    assert len(boxes) > 30 and visits["cells"].map(len).mean() < 8
+    assert visits["cells"].map(len).sum() >= 6000
+
+
+def test_outlier_factor_of_heavy_tailed_windows_is_exact(spark):
+    rng = np.random.default_rng(8)
+    x = rng.normal(0, 1, (400, 18)) * rng.pareto(1.0, (400, 1))
+    x[:, 5] = np.round(x[:, 5])
+    x[:40] = np.round(x[:40])  # some equal rows, and equal distances
+    frame = windows(spark, x)
+    stats = prepare.feature_stats(frame)
+    rows = scratch_table(prepare.scaled_rows(frame, stats), "scaled")
+    near = lof.local_outlier_factor(rows, prepare.chunk_counts(stats), cell_rows=10)
+    got = {r["w"]: r["lof"] for r in near.collect()}
+    expected = brute_lof((x - x.mean(0)) / x.std(0), 20)
+    assert [got[w] for w in range(400)] == pytest.approx(expected.tolist(), rel=1e-6)
