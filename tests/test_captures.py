@@ -2,10 +2,12 @@
 
 import struct
 
+import pandas as pd
 import pytest
 
 from wirelens.sources import captures
 from wirelens.sources.captures import CaptureSource, read_captures
+from wirelens.sources.frames import decode_frames
 
 T = 1773568800
 
@@ -156,3 +158,16 @@ def test_data_source(spark, tmp_path):
     got = spark.read.format("capture").load(str(tmp_path))
     assert got.rdd.getNumPartitions() == 2
     assert rows(got) == EXPECTED * 2
+
+
+def test_large_frames_come_in_batches_of_bounded_size(spark):
+    head = "00" * 12 + "0800" + "4500ea74000000004011" + "0000" + "0a000001" + "0a000002"
+    frames = spark.range(0, 300, 1, 1).selectExpr(
+        "'c' as capture_id", "id as seq", "id as ts_us", "1 as link",
+        f"unhex(concat('{head}', '0400', '0401', 'ea600000', repeat('00', 59992))) as frame",
+    )
+    packets = decode_frames(frames)
+    batches = frames.mapInPandas(
+        lambda found: (pd.DataFrame({"bytes": [pdf["frame"].map(len).sum()]}) for pdf in found), "bytes long"
+    )
+    assert max(r["bytes"] for r in batches.collect()) < 5e6 and packets.count() == 300

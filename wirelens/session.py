@@ -47,6 +47,8 @@ RUNTIME_SETTINGS = {
     # The JVM does not compile methods above this size. Wide projections (parsed log lines, packet
     # measures) would run interpreted as one method; operator by operator they are compiled.
     "spark.sql.codegen.hugeMethodLimit": "8000",
+    # By number of rows alone, batches of captured frames would fill the memory of Python workers.
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20),
     # Keyed streaming state with lists and timers needs this store.
     "spark.sql.streaming.stateStore.providerClass": (
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
