@@ -341,3 +341,17 @@ def test_a_batch_that_runs_again_leaves_its_windows_once(spark, tmp_path):
         write(batch.filter(f"w % 2 = {epoch}"), epoch)
     rows = scoring.read_scores(spark, str(tmp_path / "out")).collect()
     assert len(rows) == len({r.window_start_us for r in rows}) == 30
+
+
+def test_a_batch_is_computed_once(spark, tmp_path):
+    models = stored.train(some_windows(spark))
+    batch = some_windows(spark, 30).selectExpr("*", "timestamp_micros(window_start_us) as window_start").drop("window_start_us")
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for pdf in batches:
+            seen.add(len(pdf))
+            yield pdf
+
+    scoring.score_batches(models, str(tmp_path / "out"))(batch.mapInPandas(count, batch.schema), 0)
+    assert seen.value == 30 and scoring.read_scores(spark, str(tmp_path / "out")).count() == 30

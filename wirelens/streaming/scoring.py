@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from wirelens.operators.anomaly import stored
-from wirelens.session import scratch_folder
+from wirelens.operators.features import FEATURE_NAMES
+from wirelens.session import scratch_folder, scratch_table
 from wirelens.streaming.sources import closed, start_batches
 
 
@@ -19,10 +20,12 @@ def score_batches(models: stored.Models, path: str) -> Callable[[DataFrame, int]
 
     Every batch has a folder of its own, named by its number, that is replaced as a whole. A batch that
     is run again after a failure or a restart thus leaves its windows once. One checkpoint goes with one `path`.
+    The batch is written down first, as scoring reads it twice and each reading would run the stream's state again.
     """
 
     def write(batch: DataFrame, epoch: int) -> None:
         windows = batch.withColumn("window_start_us", F.unix_micros("window_start"))
+        windows = scratch_table(windows.select(*stored.KEY, *FEATURE_NAMES), "windows")
         stored.score(windows, models).write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
 
     return write
