@@ -135,3 +135,14 @@ def test_zeros_and_small_ids_share_words():
     assert len(token_files.pack(np.full(60, 1, np.uint64))[0]) == 1
     assert len(token_files.pack(np.full(4, 2**15 - 1, np.uint64))[0]) == 1
     assert len(token_files.pack(np.full(4, 2**15, np.uint64))[0]) == 2
+
+
+def test_answers_to_blocks_are_compressed(spark):
+    from wirelens.llm import interpolation
+    from wirelens.llm.blocks import text_blocks
+
+    text = " ".join(f"w{i}" for i in range(20_000))
+    rows = spark.createDataFrame([(1, text, True)], "doc_id long, text string, learn boolean")
+    blocks, _ = text_blocks(rows)
+    sizes = interpolation._ask(blocks, 4).selectExpr("sum(octet_length(counts)) as n").head()
+    assert sizes.n < 40_000  # 8 bytes for each of 40,000 words and pairs otherwise

@@ -8,7 +8,7 @@ learning document is scored with its own counts taken away from the corpus count
 
 Counts are exact over all learning documents and grow with them. Text blocks ask for the counts of their
 distinct words and word pairs (64-bit hashes, sorted, dealt out by key) and bring their own counts along;
-tasks add up and answer. A very common word or pair is asked for once per block. Weights come from a table
+tasks add up and answer, in compressed arrays. A very common word or pair is asked for once per block. Weights come from a table
 of log-probabilities rounded to 1/`STEPS` of a doubling: at most `BUCKETS` x 64 * `STEPS` squared cells,
 whatever the corpus, summed up by Spark.
 
@@ -76,7 +76,7 @@ class Tokens:
         """Corpus counts of every token and of every pair."""
         found = np.zeros(len(self.keys), np.int64)
         for part, which in self.of_parts():
-            found[which] = values_of(answers[part], np.int64)
+            found[which] = values_of(pa.decompress(answers[part], 8 * len(which), "zstd", asbytes=True), np.int64)
         found = found[self.key_of]
         return found[: self.n], found[self.n :]
 
@@ -177,7 +177,11 @@ def _ask(blocks: DataFrame, parts: int) -> DataFrame:
                 "block": table.column("block"),
                 "part": table.column("part"),
                 "counts": pa.array(
-                    [planes(c) for c in np.split(total[at], np.cumsum([len(k) for k in keys])[:-1])], pa.binary()
+                    [
+                        pa.compress(planes(c), "zstd", asbytes=True)
+                        for c in np.split(total[at], np.cumsum([len(k) for k in keys])[:-1])
+                    ],
+                    pa.binary(),
                 ),
                 "tokens": pa.array([int(total[words].sum())] + [0] * (n - 1)),
                 "distinct": pa.array([int((total[words] > 0).sum())] + [0] * (n - 1)),
