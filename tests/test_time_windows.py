@@ -6,6 +6,7 @@ import statistics
 import pytest
 from pyspark.sql import functions as F
 
+from wirelens.operators import time_windows
 from wirelens.operators.time_windows import first_burst, gap_statistics, greedy_windows, slot
 
 MIN = 60_000_000
@@ -50,6 +51,28 @@ def test_greedy_windows(spark, seed, fold_rows):
     assert {tuple(r) for r in got.collect()} == walk(rows, 8)
 
 
+def test_long_runs_follow_fewer_times_each_round(spark, monkeypatch):
+    """Sixty slots take six rounds; hops that meet go on as one, so all rounds hold few rows in all."""
+    rng = random.Random(5)
+    rows = [("k", rng.randrange(60 * MIN), rng.randrange(30)) for _ in range(6_000)]
+    events = spark.createDataFrame(rows, "k string, ts_us bigint, item int")
+    items = events.groupBy("k", slot(MIN).alias("slot"), "item").agg(
+        F.min("ts_us").alias("first_us"), F.max("ts_us").alias("last_us"), F.count("*").alias("n")
+    )
+    write, hops = time_windows.scratch_table, []
+
+    def counted(df, name):
+        table = write(df, name)
+        if name == "run-hops":
+            hops.append(table.count())
+        return table
+
+    monkeypatch.setattr(time_windows, "scratch_table", counted)
+    got = greedy_windows(events, items, ["k"], 8, MIN, fold_rows=0).groupBy("k", "open_us", "close_us").count()
+    assert {tuple(r) for r in got.collect()} == walk(rows, 8)
+    assert len(hops) == 6 and sum(hops) < 2.5 * len(rows)
+
+
 def test_greedy_window_is_inclusive_at_sixty_seconds(spark):
     for last, windows in ((MIN, 1), (MIN + 1, 2)):
         rows = [("k", 0, 1), ("k", 30_000_000, 2), ("k", last, 3)]

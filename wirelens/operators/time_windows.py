@@ -212,7 +212,9 @@ def _walk_long_runs(
 
     `next` maps every time to the opening that would follow it. The set of real openings is what
     the first time of the run reaches; each round doubles the reach, and each window fills at least
-    one slot, so the number of rounds is logarithmic in the slots of the longest run.
+    one slot, so the number of rounds is logarithmic in the slots of the longest run. After a round
+    only what is reached and times at which some hop lands are followed: those alone come up again,
+    and as hops meet, they become about half as many with each round.
     """
     rkeys = [*keys, "run"]
     ticks = scratch_table(ticks.select(*rkeys, "slot", "t"), "run-ticks")
@@ -251,9 +253,12 @@ def _walk_long_runs(
         hops = scratch_table(hops, "run-hops")
         ahead = reached.join(hops, [*rkeys, "t"]).select(*rkeys, F.col("next_t").alias("t"))
         reached = scratch_table(reached.unionByName(ahead).distinct(), "run-openings")
+        landed = hops.select(*rkeys, F.col("next_t").alias("t")).unionByName(reached).distinct()
         onward = hops.select(*rkeys, F.col("t").alias("next_t"), F.col("next_t").alias("after_t"))
-        hops = hops.join(onward, [*rkeys, "next_t"]).select(
-            *rkeys, "t", F.col("after_t").alias("next_t")
+        hops = (
+            landed.join(hops, [*rkeys, "t"])
+            .join(onward, [*rkeys, "next_t"])
+            .select(*rkeys, "t", F.col("after_t").alias("next_t"))
         )
     opened = reached.select(
         *rkeys, F.col("t").alias("open_us"), (slot(window_us, "t") + 1).alias("slot")
