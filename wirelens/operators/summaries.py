@@ -55,12 +55,12 @@ def capture_summary(traffic: Traffic, approximate: bool = False) -> DataFrame:
         )
         protocols = protocol_distribution(packets)
     else:
-        pairs = packets.groupBy("capture_id", "src_ip", "dst_ip", "protocol").agg(
-            F.count("*").alias("n"),
-            F.min_by("ts_us", "seq").alias("us0"),
-            F.max_by("ts_us", "seq").alias("us1"),
-            F.min("seq").alias("seq0"),
-            F.max("seq").alias("seq1"),
+        pairs = traffic.contacts.groupBy("capture_id", "src_ip", "dst_ip", "protocol").agg(
+            F.sum("n").alias("n"),
+            F.min_by("any_us0", "any_seq0").alias("us0"),
+            F.max_by("any_us1", "any_seq1").alias("us1"),
+            F.min("any_seq0").alias("seq0"),
+            F.max("any_seq1").alias("seq1"),
         )
         ends = pairs.groupBy("capture_id").agg(
             F.sum("n").alias("packet_count"),
@@ -75,8 +75,9 @@ def capture_summary(traffic: Traffic, approximate: bool = False) -> DataFrame:
     )
     summary = ends.join(names, "capture_id")
     if traffic.logs is not None:
-        entries = traffic.logs.groupBy("capture_id").agg(
-            F.count("*").alias("log_entries"),
+        of_files = traffic.entries.groupBy("capture_id", "source_file").agg(F.count("*").alias("n"))
+        entries = of_files.groupBy("capture_id").agg(
+            F.sum("n").alias("log_entries"),
             F.array_sort(F.collect_set(_file_name("source_file"))).alias("log_files"),
         )
         summary = summary.join(entries, "capture_id", "left")

@@ -8,7 +8,10 @@ either one slot of one key (at most one row per distinct microsecond) or one row
 from __future__ import annotations
 
 import math
+from typing import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -140,18 +143,22 @@ def gap_statistics(
 # --- greedy anchored windows ----------------------------------------------------------------
 
 
-def occupied_runs(items: DataFrame, keys: list[str], more_than: int) -> DataFrame:
+def occupied_runs(
+    items: DataFrame, keys: list[str], more_than: int, fold_rows: int = FOLD_ROWS
+) -> DataFrame:
     """Slots of those runs of adjacent occupied slots where a window may hold enough items.
 
     `items` has one row per (keys, slot, item) with first_us, last_us and n. An empty slot means a
     gap longer than the window, which always restarts the walk, so runs are independent. A window
     touches at most two adjacent slots, which bounds its number of distinct items.
+
+    A run is cut into `block`s of whole slots, each up to the one that exceeds `fold_rows` events. Of a block's first
+    slot and the next, `behind` and `second_behind` name the block before.
     """
     slots = items.groupBy(*keys, "slot").agg(
         F.count("*").alias("slot_items"),
         F.sum("n").alias("slot_n"),
         F.min("first_us").alias("slot_first_us"),
-        F.max("last_us").alias("slot_last_us"),
     )
     ordered = Window.partitionBy(*keys).orderBy("slot")
     starts = F.lag("slot").over(ordered).isNull() | (
@@ -165,91 +172,141 @@ def occupied_runs(items: DataFrame, keys: list[str], more_than: int) -> DataFram
     )
     run = F.max("run_start").over(ordered.rowsBetween(Window.unboundedPreceding, 0))
     in_run = Window.partitionBy(*keys, "run")
-    return (
+    walked = in_run.orderBy("slot")
+    before = F.sum("slot_n").over(walked.rowsBetween(Window.unboundedPreceding, -1))
+    in_blocks = (
         marked.withColumn("run", run)
         .withColumns(
             {
                 "run_reach": F.max("reach").over(in_run),
-                "run_n": F.sum("slot_n").over(in_run),
-                "run_slots": F.count("*").over(in_run),
+                "block": F.call_function(
+                    "div", F.coalesce(before, F.lit(0)), F.lit(max(fold_rows, 1)).cast("bigint")
+                ),
             }
         )
         .filter(F.col("run_reach") > more_than)
-        .select(*keys, "slot", "run", "run_n", "run_slots", "slot_first_us", "slot_last_us")
     )
-
-
-def _walk_short_runs(ticks: DataFrame, keys: list[str], window_us: int) -> DataFrame:
-    """One pass over the ordered times of a run; appends a window only when one closes."""
+    behind = F.lag("block").over(walked)
     return (
-        ticks.groupBy(*keys, "run")
-        .agg(F.array_sort(F.collect_list("t")).alias("times"))
-        .withColumn(
-            "windows",
-            F.expr(
-                f"""aggregate(times,
-                    named_struct('closed', cast(array() as array<struct<o:bigint,c:bigint>>),
-                                 'o', cast(null as bigint), 'c', cast(null as bigint)),
-                    (a, t) -> case
-                        when a.o is null then named_struct('closed', a.closed, 'o', t, 'c', t)
-                        when t - a.o <= {window_us}
-                            then named_struct('closed', a.closed, 'o', a.o, 'c', t)
-                        else named_struct('closed',
-                            concat(a.closed, array(named_struct('o', a.o, 'c', a.c))),
-                            'o', t, 'c', t) end,
-                    a -> concat(a.closed, array(named_struct('o', a.o, 'c', a.c))))"""
-            ),
+        in_blocks.withColumns(
+            {"starts_run": behind.isNull(), "behind": F.when(behind != F.col("block"), behind)}
+        )
+        .withColumns(
+            {
+                "second_behind": F.lag("behind").over(walked),
+                "run_blocks": F.count("behind").over(in_run) + 1,
+            }
+        )
+        .select(
+            *keys, "slot", "run", "run_blocks", "block", "behind", "second_behind", "starts_run",
+            "slot_first_us",
         )
-        .select(*keys, F.explode("windows").alias("x"))
-        .select(*keys, F.col("x.o").alias("open_us"), F.col("x.c").alias("close_us"))
     )
 
 
-def _walk_long_runs(
-    ticks: DataFrame, slots: DataFrame, keys: list[str], window_us: int, run_slots: int
-) -> DataFrame:
-    """Window openings of long runs by pointer doubling; no task sees more than one slot of a key.
+# Rows of a block, in the order in which they come at one time.
+STARTS, OWN, NEXT = 0, 1, 2
+
 
-    `next` maps every time to the opening that would follow it. The set of real openings is what
-    the first time of the run reaches; each round doubles the reach, and each window fills at least
-    one slot, so the number of rounds is logarithmic in the slots of the longest run. After a round
-    only what is reached and times at which some hop lands are followed: those alone come up again,
-    and as hops meet, they become about half as many with each round.
+def _in_blocks(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """`rows` (keys, run, block, t, kind, entry) dealt and sorted by block; `place` counts from 1 in each."""
+    group = [*keys, "run", "block"]
+    place = F.row_number().over(Window.partitionBy(*group).orderBy("t", "kind"))
+    return rows.withColumn("place", place).sortWithinPartitions(*group, "t", "kind")
+
+
+def _whole_blocks(
+    batches: Iterator[pa.RecordBatch], names: list[str]
+) -> Iterator[tuple[pa.Table, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Whole blocks, many at a time: a row of `names` for each, and for each row its block, t, kind and entry."""
+    heads: list[pa.RecordBatch] = []
+    held: list[list[np.ndarray]] = []
+
+    def joined():
+        first, t, kind, entry = (np.concatenate(part) for part in zip(*held))
+        return pa.Table.from_batches(heads), np.cumsum(first) - 1, t, kind, entry
+
+    for batch in batches:
+        first, t, kind, entry = (
+            batch.column(c).to_numpy(zero_copy_only=False) for c in ("place", "t", "kind", "entry")
+        )
+        first = first == 1
+        starts = np.flatnonzero(first)
+        cut = starts[-1] if len(starts) else 0
+        if len(starts):
+            held.append([part[:cut] for part in (first, t, kind, entry)])
+            heads.append(batch.select(names).take(pa.array(starts[:-1])))
+            if sum(len(part[0]) for part in held):
+                yield joined()
+            heads, held = [batch.select(names).take(pa.array(starts[-1:]))], []
+        held.append([part[cut:] for part in (first, t, kind, entry)])
+    if held:
+        yield joined()
+
+
+def _following(
+    block: np.ndarray, t: np.ndarray, window_us: int
+) -> tuple[np.ndarray, np.ndarray]:
+    """Times on one line, blocks further apart than a window, and where the first time behind each window stands."""
+    opens = np.flatnonzero(np.diff(block, prepend=-1))
+    spans = np.append(t[opens[1:] - 1], t[-1:]) - t[opens]
+    line = t - t[opens][block] + (np.cumsum(spans + window_us + 1) - spans)[block]
+    return line, np.searchsorted(line, line + window_us, side="right")
+
+
+def _hops_of_blocks(batches, names: list[str], window_us: int):
+    """Where the walk from each entry of a block first opens a window behind the block."""
+    for heads, block, t, kind, entry in _whole_blocks(batches, names):
+        _, to = _following(block, t, window_us)
+        stays = np.append(kind == OWN, False)
+        of = np.append(block, -1)
+        while (moves := stays[to] & (of[to] == block)).any():
+            to[moves] = to[to[moves]]
+        found = np.flatnonzero(entry & (of[to] == block))
+        yield from (
+            heads.take(pa.array(block[found]))
+            .append_column("t", pa.array(t[found]))
+            .append_column("next_t", pa.array(t[to[found]]))
+            .to_batches()
+        )
+
+
+def _windows_of_blocks(batches, names: list[str], window_us: int):
+    """The windows that open in each block from its start on."""
+    for heads, block, t, kind, _ in _whole_blocks(batches, names):
+        starts = kind == STARTS
+        line, to = _following(block, t, window_us)
+        stays = np.append(kind != NEXT, False)
+        of = np.append(block, -1)
+        at, opened = np.flatnonzero(starts), []
+        while len(at):
+            opened.append(at)
+            ahead = to[at]
+            at = ahead[stays[ahead] & (of[ahead] == block[at])]
+        rows = np.concatenate([np.empty(0, np.int64), *opened])
+        yield from (
+            heads.take(pa.array(block[rows]))
+            .append_column("open_us", pa.array(t[rows]))
+            .append_column("close_us", pa.array(t[to[rows] - 1]))
+            .to_batches()
+        )
+
+
+def _entered(ticks: DataFrame, runs: DataFrame, keys: list[str], window_us: int, blocks: int) -> DataFrame:
+    """Where the walks through runs of several blocks enter each of them: (keys, run, block, t).
+
+    A block is left for a time of the slot behind it or the first time of the slot after that, so these alone are
+    entries. Each block says for its own entries where its walk leaves to; what the start of a run reaches over these
+    hops follows by pointer doubling, in rounds logarithmic in the number of blocks. After a round only what is
+    reached and times at which some hop lands are followed: those alone come up again.
     """
     rkeys = [*keys, "run"]
-    ticks = scratch_table(ticks.select(*rkeys, "slot", "t"), "run-ticks")
-    bounds = slots.select(*rkeys, "slot", "slot_first_us", "slot_last_us")
-    asked = F.col("t") + window_us + 1
-    queries = ticks.select(
-        *rkeys,
-        F.expr(f"(t + {window_us + 1}) div {window_us}").alias("slot"),
-        asked.alias("at"),
-        F.lit(0).alias("is_event"),
-        F.col("t").alias("origin"),
-    )
-    events = ticks.select(
-        *rkeys, "slot", F.col("t").alias("at"), F.lit(1).alias("is_event"), F.lit(None).alias("origin")
+    schema = ticks.select(*rkeys, "t", F.col("t").alias("next_t")).schema
+    hops = _in_blocks(ticks, keys).mapInArrow(
+        lambda batches: _hops_of_blocks(batches, rkeys, window_us), schema
     )
-    later = (
-        Window.partitionBy(*rkeys, "slot")
-        .orderBy(F.desc("at"), F.desc("is_event"))
-        .rowsBetween(Window.unboundedPreceding, 0)
-    )
-    following = bounds.select(
-        *rkeys, (F.col("slot") - 1).alias("slot"), F.col("slot_first_us").alias("following_us")
-    )
-    hops = (
-        queries.unionByName(events)
-        .withColumn("hit", F.min(F.when(F.col("is_event") == 1, F.col("at"))).over(later))
-        .filter(F.col("is_event") == 0)
-        .join(following, [*rkeys, "slot"], "left")
-        .select(
-            *rkeys, F.col("origin").alias("t"), F.coalesce("hit", "following_us").alias("next_t")
-        )
-        .filter(F.col("next_t").isNotNull())
-    )
-    reached = ticks.groupBy(*rkeys).agg(F.min("t").alias("t"))
-    for _ in range(max(1, math.ceil(math.log2(run_slots + 1)))):
+    reached = runs.filter("starts_run").select(*rkeys, F.col("slot_first_us").alias("t"))
+    for _ in range(max(1, math.ceil(math.log2(blocks + 1)))):
         hops = scratch_table(hops, "run-hops")
         ahead = reached.join(hops, [*rkeys, "t"]).select(*rkeys, F.col("next_t").alias("t"))
         reached = scratch_table(reached.unionByName(ahead).distinct(), "run-openings")
@@ -260,23 +317,8 @@ def _walk_long_runs(
             .join(onward, [*rkeys, "next_t"])
             .select(*rkeys, "t", F.col("after_t").alias("next_t"))
         )
-    opened = reached.select(
-        *rkeys, F.col("t").alias("open_us"), (slot(window_us, "t") + 1).alias("slot")
-    )
-    tail = (
-        opened.join(ticks, [*rkeys, "slot"])
-        .filter(F.col("t") <= F.col("open_us") + window_us)
-        .groupBy(*rkeys, "open_us")
-        .agg(F.max("t").alias("tail_us"))
-    )
-    own = bounds.select(
-        *rkeys, (F.col("slot") + 1).alias("slot"), F.col("slot_last_us").alias("own_us")
-    )
-    return (
-        opened.join(own, [*rkeys, "slot"])
-        .join(tail, [*rkeys, "open_us"], "left")
-        .select(*keys, "open_us", F.coalesce("tail_us", "own_us").alias("close_us"))
-    )
+    entries = ticks.filter("entry").select(*rkeys, "block", "t")
+    return entries.join(reached, [*rkeys, "t"]).select(*rkeys, "block", "t")
 
 
 def greedy_windows(
@@ -291,34 +333,57 @@ def greedy_windows(
 
     A window opens at the first event, takes every event up to `window_us` later (inclusive), and
     the next event opens the next one. Only runs that could hold more than `more_than` distinct
-    items in a window are walked. Runs of up to `fold_rows` events are walked in one pass; longer
-    ones by `_walk_long_runs`.
+    items in a window are walked, block by block: a task holds the times of one, at most `fold_rows` events and
+    one slot, and of the slot behind it. Where walks enter the blocks of longer runs is found first, by `_entered`.
     """
-    is_long = F.col("run_n") > fold_rows
+    rkeys = [*keys, "run"]
     runs, size = measured_table(
-        occupied_runs(items, keys, more_than),
-        "runs",
-        longest=F.max(F.when(is_long, F.col("run_slots"))),
+        occupied_runs(items, keys, more_than, fold_rows), "runs", blocks=F.max("run_blocks")
     )
     kept = broadcast_table(runs, size["n"])
-    ticks = (
+    at_first = F.col("ts_us") == F.col("slot_first_us")
+    ahead = F.when(at_first, F.col("second_behind"))
+    is_entry = F.col("behind").isNotNull() | ahead.isNotNull() | (at_first & F.col("starts_run"))
+    times = (
         events.withColumn("slot", slot(window_us))
-        .join(kept.select(*keys, "slot", "run", "run_n"), [*keys, "slot"])
-        .select(*keys, "run", "run_n", "slot", F.col("ts_us").alias("t"))
+        .join(kept, [*keys, "slot"])
+        .select(
+            *rkeys, "run_blocks", "block", "behind", ahead.alias("ahead"), is_entry.alias("entry"),
+            F.col("ts_us").alias("t"),
+        )
+        .distinct()
     )
-    windows = _walk_short_runs(
-        ticks.filter(F.col("run_n") <= fold_rows), keys, window_us
+    is_long = F.col("run_blocks") > 1
+    long = (size["blocks"] or 0) > 1
+    if long:
+        times = scratch_table(times, "run-ticks")
+
+    def row(block: str, kind: int, entry: Column):
+        return F.struct(
+            F.col(block).alias("block"), F.lit(kind).alias("kind"), entry.alias("entry")
+        )
+
+    # A block's own times, and those behind it that a window of its may reach or lead to.
+    roles = F.array(
+        row("block", OWN, F.col("entry")), row("behind", NEXT, F.lit(False)), row("ahead", NEXT, F.lit(False))
     )
-    if size["longest"] is not None:
-        windows = windows.unionByName(
-            _walk_long_runs(
-                ticks.filter(is_long).drop("run_n").distinct(),
-                runs.filter(is_long),
-                keys,
-                window_us,
-                size["longest"],
-            )
+    ticks = (
+        times.select(*rkeys, "run_blocks", "t", F.explode(roles).alias("x"))
+        .select(*rkeys, "run_blocks", "t", "x.*")
+        .filter(F.col("block").isNotNull())
+    )
+    first = F.col("slot_first_us").alias("t")
+    starts = runs.filter("starts_run").select(*rkeys, "block", first)
+    if long:
+        found = _entered(
+            ticks.filter(is_long).drop("run_blocks"), runs.filter(is_long), keys, window_us, size["blocks"]
         )
+        starts = runs.filter(F.col("starts_run") & ~is_long).select(*rkeys, "block", first).unionByName(found)
+    started = starts.withColumns({"kind": F.lit(STARTS), "entry": F.lit(False)})
+    opening = runs.select(*keys, first.alias("open_us"), first.alias("close_us")).schema
+    windows = _in_blocks(ticks.drop("run_blocks").unionByName(started), keys).mapInArrow(
+        lambda batches: _windows_of_blocks(batches, keys, window_us), opening
+    )
     spread = windows.withColumn(
         "slot",
         F.explode(F.sequence(slot(window_us, "open_us"), slot(window_us, "close_us"))),

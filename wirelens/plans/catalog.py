@@ -85,8 +85,12 @@ def _once(name: str, spark: SparkSession, sf_dir: str, make):
     return _shared[key]
 
 
+def prepared_of(spark: SparkSession, sf_dir: str) -> Traffic:
+    return _once("prepared", spark, sf_dir, lambda: traffic_of(spark, sf_dir).prepared())
+
+
 def results_of(spark: SparkSession, sf_dir: str) -> rules.RuleResults:
-    return _once("results", spark, sf_dir, lambda: rules.rule_results(traffic_of(spark, sf_dir)))
+    return _once("results", spark, sf_dir, lambda: rules.rule_results(prepared_of(spark, sf_dir)))
 
 
 def threats_of(spark: SparkSession, sf_dir: str) -> classify.Threats:
@@ -473,7 +477,7 @@ def severity_counts(spark, sf_dir):
 
 @query
 def executive_facts(spark, sf_dir):
-    summary = summaries.capture_summary(traffic_of(spark, sf_dir))
+    summary = summaries.capture_summary(prepared_of(spark, sf_dir))
     return reports.executive_facts(threats_of(spark, sf_dir).threats, summary)
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wirelens.functions import net
@@ -39,7 +39,12 @@ _MINS = ["large_dns_first_us", "first_us"]
 _MAXS = ["large_dns_last_us", "last_us"]
 # Arrival extremes per kind of packet: earliest and latest `seq`, and the time each carries.
 _ARRIVALS = ["tcp", "xmas", "any"]
-_CONTACT_KEY = ["capture_id", "src_ip", "dst_ip", "dst_port", "minute"]
+_CONTACT_KEY = ["capture_id", "src_ip", "dst_ip", "dst_port", "protocol", "minute"]
+_TROUBLE = ["seq", "ts_us", "source_ip", "message", "severity", "service"]
+
+
+def _is_trouble() -> Column:
+    return (F.col("severity") != "info") & F.col("ts_us").isNotNull()
 
 
 def as_contacts(packets: DataFrame) -> DataFrame:
@@ -58,6 +63,7 @@ def as_contacts(packets: DataFrame) -> DataFrame:
         "dst_ip",
         "src_port",
         "dst_port",
+        "protocol",
         *[value.alias(name) for name, value in named.items()],
     )
 
@@ -81,8 +87,8 @@ class Traffic:
     """Packets and log entries of any number of captures.
 
     `contacts` is either the packets seen as one-packet contacts (a projection), or, after
-    `prepared()`, one row per (source, destination, port, minute) written once and read by every
-    rule that only needs those measures.
+    `prepared()`, one row per (source, destination, port, protocol, minute) written once and read by
+    every rule and summary that only needs those measures. Log entries are then parsed once, too.
     """
 
     packets: DataFrame
@@ -90,6 +96,7 @@ class Traffic:
     _contacts: DataFrame | None = field(default=None, repr=False)
     _origins: DataFrame | None = field(default=None, repr=False)
     _troubles: DataFrame | None = field(default=None, repr=False)
+    _entries: DataFrame | None = field(default=None, repr=False)
     is_prepared: bool = False
 
     def __post_init__(self) -> None:
@@ -109,24 +116,40 @@ class Traffic:
         """The same traffic with the contact table written out, for running many rules."""
         table = scratch_table(roll_up(as_contacts(self.packets), *_CONTACT_KEY), "contacts")
         troubles = self.kept_troubles if self.logs is not None else None
-        return Traffic(self.packets, self.logs, table, self._origins, troubles, is_prepared=True)
+        return Traffic(
+            self.packets, self.logs, table, self._origins, troubles, self._entries, is_prepared=True
+        )
 
     @property
     def kept_troubles(self) -> DataFrame:
-        """`troubles` written once, for operators that go over them several times."""
+        """`troubles` written once, for operators that go over them several times.
+
+        All entries are in the table, those below `info` without their details, so that `entries` counts them there.
+        """
         if self._troubles is None:
-            self._troubles = scratch_table(self.troubles, "troubles")
+            entries = self.logs if self.logs is not None else empty(self.spark, LOGS)
+            kept = entries.select(
+                "capture_id",
+                "source_file",
+                F.coalesce(_is_trouble(), F.lit(False)).alias("is_trouble"),
+                *[F.when(_is_trouble(), F.col(c)).alias(c) for c in _TROUBLE],
+            )
+            self._entries = scratch_table(kept, "entries")
+            self._troubles = self._entries.filter("is_trouble").select("capture_id", *_TROUBLE)
         return self._troubles
 
+    @property
+    def entries(self) -> DataFrame | None:
+        """`capture_id` and `source_file` of every log entry; None without logs."""
+        return (self.logs if self._entries is None else self._entries) if self.logs is not None else None
+
     @property
     def troubles(self) -> DataFrame:
         """Timed log entries above `info`: all that rules and features look at."""
         if self._troubles is not None:
             return self._troubles
         entries = self.logs if self.logs is not None else empty(self.spark, LOGS)
-        return entries.filter((F.col("severity") != "info") & F.col("ts_us").isNotNull()).select(
-            "capture_id", "seq", "ts_us", "source_ip", "message", "severity", "service"
-        )
+        return entries.filter(_is_trouble()).select("capture_id", *_TROUBLE)
 
     @property
     def origins(self) -> DataFrame:
