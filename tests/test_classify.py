@@ -33,6 +33,21 @@ def run(spark, rows, anomalies=None, **kw):
     return classify.classify(alerts, members_of(spark, rows), anomalies, **kw)
 
 
+def test_lone_alerts_are_not_walked(monkeypatch):
+    """Of islands inside a batch only those with several alerts; one that goes on in the next batch is whole."""
+    names = [f"i{i:03d}" for i in range(50)] + ["i050"] * 3
+    rows = pd.DataFrame({
+        "capture_id": "c", "alert_id": [f"a{i}" for i in range(53)], "island": names, "ord_key": "0",
+        "first_us": 0, "last_us": 5, "severity_score": 60, "method": 0,
+    })
+    walk, walked = classify._assign_island, []
+    monkeypatch.setattr(classify, "_assign_island", lambda island: walked.append(len(island)) or walk(island))
+    got = pd.concat(classify._assign(iter([rows[:30], rows[30:30], rows[30:51], rows[51:]])))
+    assert sorted(walked) == [1, 1, 1, 3]
+    assert sorted(got["alert_id"]) == sorted(rows["alert_id"]) and got["leads"].sum() == 51
+    assert (got["threat_no"] == 0).all() and (got["epoch"] == 0).all() and not got["joins_methods"].any()
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_merging_follows_the_order(spark, seed):
     rng = random.Random(seed)

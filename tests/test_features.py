@@ -84,6 +84,16 @@ def test_summary_names_the_files(traffic):
     assert found == {"c": "c, f", "/data/in/b.pcap": "b.pcap"}
 
 
+def test_summary_of_prepared_traffic_reads_what_the_rules_keep(traffic):
+    """Neither packets nor log lines are gone through again; entries below `info` count, too."""
+    rows = [packet(i, i % 7 * 50.0, src=f"10.0.0.{i % 3}", proto=("TCP", "UDP")[i % 2]) for i in range(40)]
+    t = traffic(rows, [log(i, i, severity=("high", "info")[i % 2]) for i in range(5)])
+    plain, prepared = summaries.capture_summary(t), summaries.capture_summary(t.prepared())
+    assert prepared.collect() == plain.collect() and plain.first()["log_entries"] == 5
+    tables = {path.split("/")[-2].rpartition("-")[0] for path in prepared.inputFiles()}
+    assert tables == {"contacts", "entries"}
+
+
 def test_hosts_and_their_networks(traffic):
     rows = [
         packet(0, 0.0, src="10.1.2.3", dst="9.9.9.9", dport=80, flags=["SYN"]),

@@ -143,3 +143,45 @@ def test_first_burst_of_many_events_in_one_window(spark):
     events = spark.range(500_000).selectExpr("'k' as k", "id * 100 as ts_us")
     (row,) = first_burst(events, ["k"], 101, MIN).collect()
     assert tuple(row) == ("k", 500_000, 0, 49_999_900)
+
+
+def test_long_runs_take_a_round_for_each_doubling_of_blocks(spark, monkeypatch):
+    """Sixty slots of some 100 events in seven blocks: three rounds, over the entries of blocks alone."""
+    rng = random.Random(6)
+    rows = [("k", rng.randrange(60 * MIN), rng.randrange(30)) for _ in range(6_000)]
+    rows += [("l", rng.randrange(3 * MIN), rng.randrange(30)) for _ in range(300)]
+    events = spark.createDataFrame(rows, "k string, ts_us bigint, item int")
+    items = events.groupBy("k", slot(MIN).alias("slot"), "item").agg(
+        F.min("ts_us").alias("first_us"), F.max("ts_us").alias("last_us"), F.count("*").alias("n")
+    )
+    write, hops = time_windows.scratch_table, []
+
+    def counted(df, name):
+        table = write(df, name)
+        if name == "run-hops":
+            hops.append(table.count())
+        return table
+
+    monkeypatch.setattr(time_windows, "scratch_table", counted)
+    got = greedy_windows(events, items, ["k"], 8, MIN, fold_rows=900).groupBy("k", "open_us", "close_us").count()
+    assert {tuple(r) for r in got.collect() if r[3] > 8} == walk(rows, 8)
+    assert len(hops) == 3 and sum(hops) < len(rows) / 4
+
+
+@pytest.mark.parametrize("seed", [11, 12, 13])
+def test_walks_pass_sparse_and_dense_blocks(spark, seed):
+    """Blocks of one slot, slots with one event and events a window apart, whatever the size of a block."""
+    rng = random.Random(seed)
+    times = [
+        rng.choice([0, 0, 1, MIN - 1, rng.randrange(MIN)]) + MIN * s
+        for s in range(30)
+        for _ in range(rng.choice([1, 1, 2, 9]))
+    ]
+    rows = [("k", t, rng.randrange(9)) for t in times]
+    events = spark.createDataFrame(rows, "k string, ts_us bigint, item int")
+    items = events.groupBy("k", slot(MIN).alias("slot"), "item").agg(
+        F.min("ts_us").alias("first_us"), F.max("ts_us").alias("last_us"), F.count("*").alias("n")
+    )
+    for fold_rows in (0, 3, 12):
+        got = greedy_windows(events, items, ["k"], 0, MIN, fold_rows).groupBy("k", "open_us", "close_us").count()
+        assert {tuple(r) for r in got.collect()} == walk(rows, 0)

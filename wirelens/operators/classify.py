@@ -338,8 +338,16 @@ def _assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Islands one after the other; rows arrive sorted by island and order."""
     held: list[pd.DataFrame] = []
     for batch in batches:
+        if batch.empty:
+            continue
         changes = (batch[["capture_id", "island"]] != batch[["capture_id", "island"]].shift()).any(axis=1)
-        for _, part in batch.groupby(changes.cumsum(), sort=False):
+        places = changes.cumsum()
+        # Islands of one alert inside a batch need no walk; those at its ends may go on in another.
+        alone = ~places.duplicated(keep=False) & ~places.isin([places.iloc[0], places.iloc[-1]])
+        yield batch.loc[alone, ["capture_id", "alert_id", "island"]].assign(
+            threat_no=0, epoch=0, leads=True, joins_methods=False
+        )
+        for _, part in batch[~alone].groupby(places[~alone], sort=False):
             key = tuple(part[["capture_id", "island"]].iloc[0])
             if held and key != tuple(held[0][["capture_id", "island"]].iloc[0]):
                 yield _assign_island(pd.concat(held, ignore_index=True))

@@ -86,7 +86,13 @@ def _once(name: str, spark: SparkSession, sf_dir: str, make):
 
 
 def prepared_of(spark: SparkSession, sf_dir: str) -> Traffic:
-    return _once("prepared", spark, sf_dir, lambda: traffic_of(spark, sf_dir).prepared())
+    """The traffic that all rules read, its packets written once instead of derived for each rule."""
+
+    def make():
+        found = traffic_of(spark, sf_dir)
+        return Traffic(scratch_table(found.packets, "packets"), found.logs).prepared()
+
+    return _once("prepared", spark, sf_dir, make)
 
 
 def results_of(spark: SparkSession, sf_dir: str) -> rules.RuleResults:
