@@ -185,3 +185,14 @@ def test_walks_pass_sparse_and_dense_blocks(spark, seed):
     for fold_rows in (0, 3, 12):
         got = greedy_windows(events, items, ["k"], 0, MIN, fold_rows).groupBy("k", "open_us", "close_us").count()
         assert {tuple(r) for r in got.collect()} == walk(rows, 0)
+
+
+@pytest.mark.parametrize("fold_rows", [0, 10**6])
+def test_events_without_time_or_key_open_no_window(spark, fold_rows):
+    rows = [(80, 1, 1), (80, MIN + 5, 2), (80, None, 3), (80, None, 4), (None, 7, 1), (None, 8, 2), (None, None, 3)]
+    events = spark.createDataFrame(rows, "port int, ts_us bigint, item int")
+    items = events.groupBy("port", slot(MIN).alias("slot"), "item").agg(
+        F.min("ts_us").alias("first_us"), F.max("ts_us").alias("last_us"), F.count("*").alias("n")
+    )
+    got = greedy_windows(events, items, ["port"], 0, MIN, fold_rows)
+    assert sorted(map(tuple, got.collect())) == [(80, 1, 1, 1), (80, MIN + 5, MIN + 5, 2)]

@@ -155,7 +155,8 @@ def occupied_runs(
     A run is cut into `block`s of whole slots, each up to the one that exceeds `fold_rows` events. Of a block's first
     slot and the next, `behind` and `second_behind` name the block before.
     """
-    slots = items.groupBy(*keys, "slot").agg(
+    # Without a time or a key no event joins a run.
+    slots = items.dropna(subset=[*keys, "slot"]).groupBy(*keys, "slot").agg(
         F.count("*").alias("slot_items"),
         F.sum("n").alias("slot_n"),
         F.min("first_us").alias("slot_first_us"),
