@@ -1,6 +1,10 @@
+import contextlib
+import gc
 import hashlib
 import itertools
+import os
 import random
+import threading
 
 import numpy as np
 import pyarrow as pa
@@ -10,6 +14,7 @@ from plain import Groups, words_of
 
 from wirelens.llm import multi_index, order_minhash, queries, repeats, simhash
 from wirelens.llm.common import components
+from wirelens.session import scratch_folder, scratch_table
 
 SF = "/root/testdata/sf0.001"
 
@@ -131,6 +136,93 @@ def test_blocks_of_hot_cells_give_the_same(spark, monkeypatch):
     assert all(got[i][0] <= want[i][0] for i in want)
 
 
+def grouped_vectors(rng, centers, dims, labels, spread=0.05):
+    rows = []
+    for c in range(centers):
+        center = rng.normal(size=dims)
+        for _ in range(rng.integers(1, 8)):
+            rows.append((len(rows), int(c % labels), (center + rng.normal(size=dims) * spread).tolist()))
+    return rows
+
+
+def test_regions_rounds_and_blocks_lose_nothing(spark, monkeypatch):
+    """Small limits, so that regions, rounds, blocks of both sides and passing visitors all come up."""
+    for name, most in (("HOST_BYTES", 4_000), ("GUEST_BYTES", 9_000), ("ROUND_BYTES", 20_000), ("ROUND_SHARE", 8), ("GUEST_ROWS", 40), ("BLOCK_ROWS", 9)):
+        monkeypatch.setattr(multi_index, name, most, raising=False)
+    rows = grouped_vectors(np.random.default_rng(4), 300, 16, 2)
+    rows += [(len(rows) + i, 1, [2 * x for x in rows[1][2]]) for i in range(3)]  # equal unit vectors
+    table = spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in multi_index.near_duplicates(table, target_recall=1.0).collect()}
+    want = brute_vectors(rows, 0.93)
+    assert sum(a for a, _ in want.values()) > 1000
+    assert sum(got[i] != want[i] for i in want) <= 0.01 * len(want)
+    assert all(got[i][0] <= want[i][0] for i in want)
+
+
+def test_vectors_take_little_disk(spark, monkeypatch):
+    """Scratch tables and shuffle files at any time, against the vectors themselves."""
+    monkeypatch.setattr(multi_index, "ROUND_BYTES", 1 << 20, raising=False)
+    n, dims = 20_000, 64
+    flat = np.random.default_rng(5).standard_normal(n * dims).astype(np.float32)
+    vectors = pa.ListArray.from_arrays(np.arange(0, n * dims + 1, dims, dtype=np.int32), flat)
+    table = spark.createDataFrame(pa.table({"vec_id": np.arange(n), "embedding": vectors, "label": np.zeros(n, np.int64)}))
+    table = scratch_table(table.repartition(8), "test-vectors")
+    local = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+    folders = [*local, scratch_folder(spark).removeprefix("file:")]
+
+    def used():
+        total = 0
+        for folder in folders:
+            for path, _, names in os.walk(folder):
+                for name in names:
+                    if not name.startswith("broadcast_"):
+                        with contextlib.suppress(OSError):  # a file may go meanwhile
+                            total += os.path.getsize(f"{path}/{name}")
+        return total
+
+    gc.collect()
+    before, most, over = used(), [0], threading.Event()
+
+    def watch():
+        while not over.wait(0.05):
+            most[0] = max(most[0], used() - before)
+
+    watcher = threading.Thread(target=watch)
+    watcher.start()
+    try:
+        assert multi_index.near_duplicates(table).count() == n
+    finally:
+        over.set()
+        watcher.join()
+    assert 0 < most[0] <= 4 * n * dims * 4 + (2 << 20)
+
+
+def test_reach_is_the_distance_of_the_last_visited_cell():
+    rng = np.random.default_rng(6)
+    grid = multi_index.Grid(rng.normal(size=(300, 8)), 12, 3)
+    one, two = grid.distances(rng.normal(size=(60, 8)))
+    rows, sums = np.arange(60)[:, None], (one[:, :, None] + two[:, None, :]).reshape(60, -1)
+    for n in (1, 7, 144, 999):
+        cells, reach = grid.visits(one, two, n), grid.reaches(one, two, n)
+        assert (sums[rows, cells].max(axis=1) == reach).all()
+        regions = grid.regions(one, two, reach)
+        assert regions[rows, grid.regions_of(cells)].all()
+        assert [set(np.flatnonzero(x)) for x in regions] == [set(grid.regions_of(np.flatnonzero(y <= r))) for y, r in zip(sums, reach)]
+
+
+def test_cells_are_told_alike_in_any_batch():
+    rng = np.random.default_rng(7)
+    vectors = rng.standard_normal((500, 64)).astype(np.float32)
+    units = multi_index._unit(vectors)
+    grid = multi_index.Grid(units, 20)
+    one, two = grid.distances(units)
+    for size in (1, 3, 64):
+        for i in range(0, 500, size):
+            some = multi_index._unit(vectors[i : i + size])
+            assert (some == units[i : i + size]).all()
+            assert all((x == y[i : i + size]).all() for x, y in zip(grid.distances(some), (one, two)))
+
+
 def test_no_vectors(spark):
     table = spark.createDataFrame([], "vec_id long, label int, embedding array<float>")
     assert multi_index.near_duplicates(table).count() == 0
